@@ -50,12 +50,13 @@ def slices(batches, rows: int = 1024):
             yield batch.slice(start, rows)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased words between white space, as 64-bit hashes.
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between white space, as (starts, vocabulary, codes).
 
-    Returns (starts, hashes): the words of text i are hashes[starts[i]:starts[i + 1]]. A null text has none.
+    The words of text i are vocabulary[codes[starts[i]:starts[i + 1]]]. A null text has none.
     """
-    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
     words = split.flatten()
     counts = np.asarray(pc.list_value_length(split), dtype=np.int64)
     full = np.asarray(pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), dtype=bool)
@@ -64,11 +65,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(counts)), counts)[full]
         counts = np.bincount(owner, minlength=len(counts))
     starts = np.concatenate(([0], np.cumsum(counts)))
-    if len(words) == 0:
-        return starts, np.empty(0, np.uint64)
     coded = words.dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return starts, known[np.asarray(coded.indices)]
+    return starts, coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+
+
+def hashes_of(strings: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in strings.to_pylist()), np.uint64, len(strings))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased words as 64-bit hashes: those of text i are hashes[starts[i]:starts[i + 1]]."""
+    starts, vocabulary, codes = coded_words(texts)
+    return starts, hashes_of(vocabulary)[codes]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, mixing, secret_scans, url_filters
-from ._common import table
+from . import chat, exact_topk, langid, mixing, quality, secret_scans, token_counts, url_filters
+from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
 URL_RULES = [
@@ -27,6 +27,23 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """id, text, label of the documents with one undisputed label."""
+    known = labels.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
+    known = known.filter("doc_id is not null and label = other").drop("other")
+    return docs.join(known, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows with crc32(doc_id) mod 3 = 1 are held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_of(F.col("doc_id")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    model = quality.train(_labelled(docs.filter(~held_out), labels, "quality"))
+    scored = quality.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted form."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,6 +80,20 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 5 = 0 are held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_of(F.col("doc_id")) % 5 == 0, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, by sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, keep=["doc_id"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -76,8 +107,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_quality": op2_quality,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_secret_scans": op4_secret_scans,
+        "op5_langid": op5_langid,
+        "op6_token_counts": op6_token_counts,
         "op8_mixing": op8_mixing,
         "op10_exact_topk": op10_exact_topk,
     }
