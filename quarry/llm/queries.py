@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, langid, mixing, quality, secret_scans, token_counts, url_filters
+from . import chat, decontamination, exact_topk, langid, mixing, quality, secret_scans, token_counts, url_filters
 from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
@@ -94,6 +94,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, keep=["doc_id"])
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -112,6 +118,7 @@ def queries() -> dict:
         "op4_secret_scans": op4_secret_scans,
         "op5_langid": op5_langid,
         "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
         "op10_exact_topk": op10_exact_topk,
     }
