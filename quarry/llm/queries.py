@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_topk, langid, mixing, quality, secret_scans, token_counts, url_filters
+from . import chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, secret_scans, token_counts, url_filters
 from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
@@ -27,7 +27,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """id, text, label of the documents with one undisputed label."""
     known = labels.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     known = known.filter("doc_id is not null and label = other").drop("other")
@@ -39,7 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_of(F.col("doc_id")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out)
-    model = quality.train(_labelled(docs.filter(~held_out), labels, "quality"))
+    model = quality.train(labelled(docs.filter(~held_out), labels, "quality"))
     scored = quality.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -105,6 +105,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, for shared five-word shingles of 0.8 or more."""
+    return ngram_jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all vectors for every vector whose id is divisible by 20."""
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
@@ -120,6 +125,7 @@ def queries() -> dict:
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_exact_topk": op10_exact_topk,
     }
 
