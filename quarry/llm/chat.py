@@ -71,10 +71,11 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     reach = nodes.select("tree", "id", F.col("score").alias("s"), F.lit(1).alias("k"), F.col("parent").alias("at"))
     for _ in jumps:
         up = reach.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("at").alias("at2"))
-        reach = cut(
-            reach.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("i")), "left")
-            .select("tree", "id", (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("k") + F.coalesce("k2", F.lit(0))).alias("k"), F.col("at2").alias("at"))
+        going, done = reach.filter("at is not null"), reach.filter("at is null")  # at the root a sum is complete
+        further = going.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("i")), "left").select(
+            "tree", "id", (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("k") + F.coalesce("k2", F.lit(0))).alias("k"), F.col("at2").alias("at")
         )
+        reach = cut(done.unionByName(further))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("s") / F.col("k")), "id"))
     scored = leaves.select("tree", "id").join(
         reach.select(F.col("tree").alias("t"), F.col("id").alias("i"), "s", "k"),
