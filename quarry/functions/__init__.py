@@ -1 +1 @@
-
+"""Column builders: no function here starts a job."""

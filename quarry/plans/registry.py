@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import retrieval
+
+PARTS = [retrieval]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for part in PARTS for f in part.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
