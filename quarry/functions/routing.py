@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -150,17 +151,22 @@ def model(question: Column, context_tokens: Column | None = None, threshold: int
     """(complexity, model, confidence) for a question; a large context needs the larger model."""
     low = trimmed(F.lower(question))
     n = F.size(F.split(question, r"[ \t\n\r]+"))
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-    said = lambda c, m, p: F.struct(F.lit(c).alias("complexity"), F.lit(m).alias("model"), F.lit(p).alias("confidence"))
-    out = (
-        F.when(any_of([question.rlike("(?i)" + p) for p in CODE_TASKS]), said("complex", "chat", 0.9))
-        .when(any_of([low.contains(w) for w in COMPLEX_WORDS]), said("complex", "chat", 0.85))
-        .when((n < 20) & any_of([low.startswith(w) | low.contains(" " + w) for w in SIMPLE_WORDS]), said("simple", "haiku", 0.8))
-        .when(n < 8, said("simple", "haiku", 0.7))
-        .when(n > 50, said("complex", "chat", 0.75))
-        .otherwise(said("moderate", "chat", 0.6))
+    simple = "|".join(re.escape(w) for w in SIMPLE_WORDS)
+    case = (
+        F.when(question.rlike("(?i)" + "|".join(CODE_TASKS)), 1)
+        .when(low.rlike("|".join(re.escape(w) for w in COMPLEX_WORDS)), 2)
+        .when((n < 20) & low.rlike(f"^(?:{simple})| (?:{simple})"), 3)
+        .when(n < 8, 4)
+        .when(n > 50, 5)
+        .otherwise(6)
     )
+    of = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), case)
+    complexity = of("complex", "complex", "simple", "simple", "complex", "moderate")
+    chosen = of("chat", "chat", "haiku", "haiku", "chat", "chat")
+    sure = of(0.9, 0.85, 0.8, 0.7, 0.75, 0.6)
     if context_tokens is None:
-        return out
-    upgraded = F.struct(out["complexity"].alias("complexity"), F.lit("chat").alias("model"), (out["confidence"] * 0.9).alias("confidence"))
-    return F.when((context_tokens > threshold) & (out["model"] == "haiku"), upgraded).otherwise(out)
+        return F.struct(complexity.alias("complexity"), chosen.alias("model"), sure.alias("confidence"))
+    more = (context_tokens > threshold) & (chosen == "haiku")
+    return F.struct(
+        complexity.alias("complexity"), F.when(more, "chat").otherwise(chosen).alias("model"), F.when(more, sure * 0.9).otherwise(sure).alias("confidence")
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import accounts, corpus, retrieval
 
-PARTS = [retrieval]
+PARTS = [retrieval, corpus, accounts]
 
 
 def queries() -> dict:
