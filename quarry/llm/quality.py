@@ -5,8 +5,8 @@ digits in a row are one sign each, other signs stay, and a word that repeats the
 own). Every indicator that a text has is scaled by r, the log-ratio of the smoothed rates at which texts of either
 class have it; a text's vector has length 1. A hinge-loss model is fitted on these by dual coordinate descent.
 
-Scale: the counts behind r cover every labelled text (one partially aggregated pass; at most `BUCKETS` rows per
-class leave a task). The fit takes at most `FIT_PER_CLASS` texts of each class, those with the lowest hash of their
+Scale: the counts behind r cover the labelled texts that are given (`LABELLED` bounds how many the queries give; one
+partially aggregated pass; at most `BUCKETS` rows per class leave a task). The fit takes at most `FIT_PER_CLASS` texts of each class, those with the lowest hash of their
 id, on the driver. Scoring is one pass without shuffle; the model sent to tasks is two arrays of `BUCKETS` numbers.
 """
 
@@ -24,6 +24,8 @@ from ._common import coded_words, fresh, hashes_of, ngrams, slices
 
 BUCKETS = 1 << 18
 FIT_PER_CLASS = 2000
+#: Bound of the sample of labelled rows that a model is learned from.
+LABELLED = 50_000
 #: Texts of the training rows that must have an indicator before it counts.
 LEAST_TEXTS = 5
 REPEATED = np.uint64(0x5EED)

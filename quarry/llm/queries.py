@@ -27,11 +27,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """id, text, label of the documents with one undisputed label."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = quality.LABELLED) -> DataFrame:
+    """id, text, label of documents with one undisputed label: all, or about `most` of them, those of the lowest hash.
+
+    The labels are bounded by that, so they are broadcast and no text is shuffled."""
     known = labels.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     known = known.filter("doc_id is not null and label = other").drop("other")
-    return docs.join(known, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+    n = known.count()
+    if n > most:
+        known = known.filter(F.abs(F.xxhash64("doc_id")) < 2.0**63 * most / n)
+    return docs.join(F.broadcast(known), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
