@@ -42,7 +42,7 @@ def targets(sizes: dict, weights=(1, 2, 3), most: float = 3.0) -> dict:
         over = [s for s in free if unit * weight[s] > most * sizes[s]]
         if not over:
             return out | {s: unit * weight[s] for s in free}
-        out |= {s: most * sizes[s] for s in over}
+        out |= {s: float(most * sizes[s]) for s in over}
         left -= sum(out[s] for s in over)
         free = [s for s in free if s not in out]
     return out
@@ -155,7 +155,7 @@ def mix(
     sizes, counts = {r["source"]: r["words"] for r in totals}, {r["source"]: r["n"] for r in totals}
     target = targets(sizes, weights, most)
     times = {s: min(most, int(target[s] // n)) if n else 0 for s, n in sizes.items()}
-    state = _refined(sized, {s: target[s] - times[s] * n for s, n in sizes.items()}, counts)
+    state = _refined(sized, {s: float(target[s] - times[s] * n) for s, n in sizes.items()}, counts)
     took = _folded(sized, state)
     states = [
         (s, n, target[s], times[s], state[s][0], [x[0] for x in took.get(s, [])], [x[1] for x in took.get(s, [])])

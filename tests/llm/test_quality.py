@@ -64,3 +64,5 @@ def test_disputed_labels_are_left_out(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (None, 1)], "doc_id long, quality int")
     assert [(r["id"], r["label"]) for r in queries.labelled(docs, labels, "quality").collect()] == [(2, 1)]
     assert queries.labelled(docs, labels.filter(F.lit(False)), "quality").count() == 0
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("quality"))
+    assert 200 < queries.labelled(many, many, "quality", most=400).count() < 600
