@@ -43,11 +43,35 @@ def crc_of(column):
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches cut into slices of at most `rows` rows, so that a batch of long texts stays small."""
+#: Rows of one Arrow batch that carries whole texts; a batch of long ones must fit beside others in a task.
+ARROW_ROWS = 1000
+
+
+def hold_batches(df: DataFrame) -> None:
+    """Let the session's Arrow batches have at most ARROW_ROWS rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def with_text(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int, bool]:
+    """The kept columns and the text for a Python pass: (rows, place of the text, whether it is one more column).
+
+    A text that is kept anyhow is sent once."""
+    hold_batches(docs)
+    if text_col in kept:
+        return docs.select(*kept), kept.index(text_col), False
+    (name,) = fresh(docs, "text_")
+    return docs.select(*kept, F.col(text_col).cast("string").alias(name)), len(kept), True
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into slices of at most `rows` rows, so that what a slice needs stays small; memory that isn't
+    used goes back at the end."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:

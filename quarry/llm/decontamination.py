@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import coded_words, fresh, mixed, slices
+from ._common import coded_words, hold_batches, mixed, slices, with_text
 
 SEED, KEEP, PART, RARE = 3, 2, 6, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -151,11 +151,12 @@ def _found(items: Items, texts: pa.Array):
 
 def _counted(docs: DataFrame, items: Items) -> np.ndarray:
     """In how many documents each of the block's seeds is."""
+    hold_batches(docs)
     distinct = np.unique(items.seeds)
 
     def count(batches):
         sums = np.zeros(len(distinct), np.int64)
-        for part in slices(batches, 512):
+        for part in slices(batches):
             h, _, text = _runs(*_known(*coded_words(part.column(0)), items.words))
             place = np.searchsorted(distinct, h)
             ok = distinct[np.minimum(place, len(distinct) - 1)] == h
@@ -205,7 +206,7 @@ def leaks(
         kept = items.kept(_counted(rows.select("text"), items))
 
         def search(batches, items=kept):
-            for part in slices(batches, 512):
+            for part in slices(batches):
                 if (got := _found(items, part.column(1))) is None:
                     continue
                 text, item, score, end = got
@@ -223,18 +224,18 @@ def leaks(
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = SCORE, block: int = BLOCK) -> DataFrame:
     """`docs` without the rows whose text holds a test item with score `least` or more; one pass per block."""
     tests = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id is not null").distinct()
-    (text,) = fresh(docs, "text_")
     kept = docs
     for items in _blocks(tests, block):
         rare = items.kept(_counted(docs.select(F.col(text_col).cast("string").alias("text")), items))
 
-        def drop(batches, items=rare):
-            for part in slices(batches, 512):
+        rows, at, _ = with_text(kept, kept.columns, text_col)
+
+        def drop(batches, items=rare, at=at):
+            for part in slices(batches):
                 keep = np.ones(part.num_rows, bool)
-                if (got := _found(items, part.column(part.num_columns - 1))) is not None:
+                if (got := _found(items, part.column(at).cast(pa.string()))) is not None:
                     keep[got[0][got[2] >= least]] = False
-                left = part.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(left.columns[:-1], left.schema.names[:-1])
+                yield part.filter(pa.array(keep))
 
-        kept = kept.withColumn(text, F.col(text_col).cast("string")).mapInArrow(drop, docs.schema)
+        kept = rows.mapInArrow(drop, docs.schema)
     return kept

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, slices
+from ._common import fresh, hold_batches, slices, with_text
 
 DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240229
 #: Most languages that can be learned; more is an error.
@@ -91,6 +91,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 sums[lang][grams] += n
         yield from told()
 
+    hold_batches(labelled)
     rows = labelled.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(lang_col).isNotNull())
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
@@ -115,13 +116,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """
     kept = docs.columns if keep is None else keep
     languages, prototypes = model.languages, model.prototypes
-    c_lang, c_score, text = fresh(docs, "lang_pred", "score", "text_")
+    c_lang, c_score = fresh(docs, "lang_pred", "score")
+    rows, at, _ = with_text(docs, kept, text_col)
     schema = docs.select(*kept).schema.add(c_lang, "string").add(c_score, "double")
 
     def judge(batches):
         for part in slices(batches):
             said, scores = [], []
-            for t in part.column(part.num_columns - 1).to_pylist():
+            for t in part.column(at).cast(pa.string()).to_pylist():
                 grams, n = trigrams(t)
                 if not len(grams) or not languages:
                     said.append("und")
@@ -132,6 +134,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 best = int(np.argmax(cosine))
                 said.append(languages[best])
                 scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*kept, c_lang, c_score])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*kept, c_lang, c_score])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias(text)).mapInArrow(judge, schema)
+    return rows.mapInArrow(judge, schema)

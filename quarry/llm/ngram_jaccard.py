@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, fresh, ngrams, slices, word_hashes
+from ._common import cut, fresh, hold_batches, ngrams, slices, word_hashes
 from ._graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -78,7 +78,7 @@ def _signed(rows: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     """id, t, class (digest of the shingle set), size, keys of each row; class is null without a word."""
 
     def sign(batches):
-        for part in slices(batches, 512):
+        for part in slices(batches):
             starts, hashes = shingle_sets(part.column(2), words)
             keys = _prefixes(starts, hashes, trees, depth).astype(np.int64)
             raw = hashes.tobytes()
@@ -193,7 +193,7 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
     texts = rows.join(wanted, (F.col("t") == F.col("m_t")) & F.col("id").eqNullSafe(F.col("m_id")))
 
     def shingle(batches):
-        for part in slices(batches, 512):
+        for part in slices(batches):
             starts, hashes = shingle_sets(part.column(0), words)
             sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], ["class", "comp", "copies", "blocks", "block", "shingles"])
@@ -224,6 +224,7 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
 
 def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float):
     """(signed rows, classes with the id and t of their component's first row, and links)."""
+    hold_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("string").alias("text"))
     signed = cut(_signed(rows, words, TREES, depth_for(similarity, recall)))
     classes = cut(_classes(signed))

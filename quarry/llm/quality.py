@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import coded_words, fresh, hashes_of, ngrams, slices
+from ._common import coded_words, fresh, hashes_of, hold_batches, ngrams, slices, with_text
 
 BUCKETS = 1 << 18
 FIT_PER_CLASS = 2000
@@ -64,7 +64,7 @@ def _counted(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         sums, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-        for part in slices(batches, 512):
+        for part in slices(batches):
             label = np.asarray(part.column(1), np.int64)
             owner, bucket = indicators(part.column(0))
             np.add.at(sums, (label[owner], bucket), 1)
@@ -106,6 +106,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
 def train(labelled: DataFrame, fit_per_class: int = FIT_PER_CLASS, cost: float = 4.0) -> Model:
     """`labelled`: id, text, label (0 or 1). Null labels are left out; without both classes the score is the share
     of class 1 (0.5 without any row)."""
+    hold_batches(labelled)
     rows = labelled.filter("label in (0, 1)").select("id", "text", F.col("label").cast("long").alias("label"))
     counts, texts = _counted(rows)
     if not texts.all():
@@ -120,7 +121,7 @@ def train(labelled: DataFrame, fit_per_class: int = FIT_PER_CLASS, cost: float =
         parts.append(of if texts[c] <= fit_per_class else of.filter(F.col("h") < below))
 
     def features(batches):
-        for part in slices(batches, 512):
+        for part in slices(batches):
             owner, bucket = indicators(part.column(0))
             cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             some = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
@@ -151,15 +152,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """
     kept = docs.columns if keep is None else keep
     ratio, weight, bias = model.ratio, model.weight * model.ratio, model.bias
-    name, text = fresh(docs, "score", "text_")
+    (name,) = fresh(docs, "score")
+    rows, at, _ = with_text(docs, kept, text_col)
     schema = docs.select(*kept).schema.add(name, "double")
 
     def judge(batches):
-        for part in slices(batches, 512):
-            owner, bucket = indicators(part.column(part.num_columns - 1).cast(pa.string()))
+        for part in slices(batches):
+            owner, bucket = indicators(part.column(at).cast(pa.string()))
             n = part.num_rows
             norm = np.sqrt(np.bincount(owner, np.square(ratio[bucket], dtype=np.float64), n))
             margin = np.bincount(owner, weight[bucket], n) / np.maximum(norm, 1e-9) + bias
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-4 * np.clip(margin, -50, 50))))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(1 / (1 + np.exp(-4 * np.clip(margin, -50, 50))))], [*kept, name])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias(text)).mapInArrow(judge, schema)
+    return rows.mapInArrow(judge, schema)

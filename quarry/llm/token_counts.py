@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ._common import fresh, slices
+from ._common import fresh, hold_batches, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A sentence's or line's end, with the white space after it.
@@ -109,7 +109,7 @@ def count_tokens(
         schema = schema.add(name, ArrayType(LongType()) if name == names[1] else LongType())
 
     def count(batches):
-        for part in slices(batches, 256):
+        for part in slices(batches):
             total, per, outside, crossing = [], [], [], []
             spans = part.column(part.num_columns - 1).to_pylist()
             for t, given in zip(part.column(part.num_columns - 2).to_pylist(), spans, strict=True):
@@ -132,5 +132,6 @@ def count_tokens(
                 [*kept, *names],
             )
 
+    hold_batches(docs)
     given = F.lit(None).cast("array<struct<start: int, end: int>>") if sections_col is None else F.col(sections_col)
     return docs.select(*kept, F.col(text_col).cast("string").alias(text), given.alias(sections)).mapInArrow(count, schema)
