@@ -53,26 +53,26 @@ def fixed_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     )
 
 
-def job_states(log: DataFrame, terminal: list[str], minutes: int = 30) -> DataFrame:
-    """(job, status): the last status of each job after each batch; one that hears nothing for so many minutes
-    before it has ended is failed."""
+def job_states(log: DataFrame, terminal: list[str], minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """(job, status, at): the last status of each job after each batch, and when it came (microseconds); a job that
+    hasn't ended and of which nothing is heard for so many minutes of event time is failed."""
 
     def run(key, batches, state: GroupState):
         if state.hasTimedOut:
-            status = state.get[1]
+            at, status = state.get
             state.remove()
             if status not in terminal:
-                yield pd.DataFrame([(key[0], "failed")], columns=["job", "status"])
+                yield pd.DataFrame([(key[0], "failed", at)], columns=["job", "status", "at"])
             return
         at, status = state.get if state.exists else (-1, None)
         for us, said in pd.concat(list(batches)).sort_values(["us", "seq"])[["us", "status"]].itertuples(index=False):
             if us >= at:
                 at, status = us, said
         state.update((int(at), status))
-        state.setTimeoutDuration(minutes * 60_000)
-        yield pd.DataFrame([(key[0], status)], columns=["job", "status"])
+        state.setTimeoutTimestamp(max(int(at) // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], status, at)], columns=["job", "status", "at"])
 
-    rows = log.select("job", "status", "seq", F.unix_micros("ts").alias("us"))
+    rows = log.withWatermark("ts", late).select("job", "status", "seq", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("job").applyInPandasWithState(
-        run, "job long, status string", "at long, status string", "update", GroupStateTimeout.ProcessingTimeTimeout
+        run, "job long, status string, at long", "at long, status string", "update", GroupStateTimeout.EventTimeTimeout
     )
