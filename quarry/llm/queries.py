@@ -135,5 +135,53 @@ def queries() -> dict:
     }
 
 
+_HOST = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
+_URLS = rf"""u as (select page_id, url, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+c as (select *, case when contains(url, '://') then regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') end canon from u),
+l as (select distinct canon from c where regexp_matches(host, '(^|\.)({LISTED_HOSTS})\.'))"""
+
+
+def _rule_sql(pick: str) -> str:
+    order = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v if pick == 'verdict' else h + p}'" for v, h, p in order
+    )
+    return f"case {cases} end"
+
+
+def _escaped_length(column: str) -> str:
+    marks = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+    return f"(length({column}) + length({column}) - length(replace({column}, chr(92), '')) + {marks})"
+
+
+_TALKS = """t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all
+select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text))"""
+_TURNS = r"string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)"
+_LEARNT = "coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')"
+
+SQL = {
+    "op1_url_filters": f"""with {_URLS} select page_id, host, path, {_rule_sql('rule')} rule,
+coalesce({_rule_sql('verdict')}, case when l.canon is not null then 'block' else 'allow' end) verdict, l.canon is not null listed from c left join l on l.canon = c.canon""",
+    "op3_chat_formatting": f"""with {_TALKS} select conv_id, count(*) n_turns, sha256({_TURNS}) turns_sha256, length({_LEARNT}) loss_chars, sha256({_LEARNT}) loss_sha256,
+sum({len(chat.TURN + chat.TEXT + chat.END)} + {_escaped_length('role')} + {_escaped_length('text')})::bigint formatted_chars from t group by conv_id""",
+    "op9_ngram_jaccard": r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') w from documents),
+s as (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) g from w where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+x as (select a.doc_id a, b.doc_id b, count(*) m from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select a, b from x join n na on na.doc_id = a join n nb on nb.doc_id = b where m >= 0.8 * (na.n + nb.n - m) - 1e-9),
+r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.other),
+c as (select doc_id, min(other) class_id from r group by 1), k as (select a doc_id, count(*) n from e group by 1)
+select doc_id, class_id, coalesce(k.n, 0) n_links from c left join k using (doc_id)""",
+    "op10_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
+where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id, score from p
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
