@@ -38,12 +38,21 @@ def knn(chunks: DataFrame, query: list[float], k: int = 15, above: float | None
     return top(found.select(id_col, "similarity"), k, F.desc("similarity"), F.col(id_col))
 
 
-def knn_per_query(chunks: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id") -> DataFrame:
-    """(qid, id, similarity, rank) of a small query set (qid, query) against all chunks, ranked per query."""
-    pairs = chunks.join(F.broadcast(queries), F.lit(True))
-    scored = pairs.withColumn("similarity", F.round(V.cosine(F.col("embedding"), F.col("query")), DIGITS)).filter("similarity is not null")
+def knn_per_query(chunks: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id", most: int = 1000) -> DataFrame:
+    """(qid, id, similarity, rank) of a stated query set (qid, query) against all chunks, ranked per query.
+
+    The set is a constant of the plan, of at most `most` vectors; each chunk is scored where it is read, and a partial
+    top-k per query leaves a task."""
+    given = queries.orderBy("qid").limit(most + 1).collect()
+    if len(given) > most:
+        raise ValueError(f"more than {most} queries; search them in blocks")
+    if not given:
+        return chunks.select(F.lit(0).cast("long").alias("qid"), id_col, F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).filter(F.lit(False))
+    asked = F.explode(F.array(*[F.struct(F.lit(r["qid"]).cast("long").alias("qid"), V.literal(r["query"]).alias("query")) for r in given]))
+    pairs = chunks.filter("embedding is not null").select(id_col, "embedding", asked.alias("q"))
+    scored = pairs.withColumn("similarity", F.round(V.cosine(F.col("embedding"), F.col("q.query")), DIGITS)).filter("similarity is not null")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), id_col))
-    return scored.select("qid", id_col, "similarity").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.select("q.qid", id_col, "similarity").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def postings(chunks: DataFrame, fields: dict[str, tuple[Column, str]], id_col: str = "id") -> DataFrame:
