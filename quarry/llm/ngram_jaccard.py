@@ -201,22 +201,16 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
     sets = texts.select("text", "class", "comp", "copies", "blocks", "block").mapInArrow(
         shingle, "class binary, comp binary, copies long, blocks int, block int, shingles array<long>"
     )
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    small = sets.filter("blocks = 1").select(
-        F.lit(None).cast("binary").alias("unit"), F.pmod(F.xxhash64("comp", F.lit(2)), F.lit(units)).cast("int").alias("i"), F.lit(-1).alias("j"),
+    # a component of one block goes to a unit with others, a larger one to a group per pair of its blocks
+    alone = F.col("blocks") == 1
+    spread = sets.withColumn("other", F.explode(F.when(alone, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    dealt = spread.select(
+        F.when(~alone, F.col("comp")).alias("unit"),
+        F.when(alone, F.pmod(F.xxhash64("comp", F.lit(2)), F.lit(units)).cast("int")).otherwise(F.least("block", "other")).alias("i"),
+        F.when(alone, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("j"),
         "comp", "block", "class", "copies", "shingles",
     )
-    big = (
-        sets.filter("blocks > 1")
-        .withColumn("other", others)
-        .select(
-            F.col("comp").alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            "comp", "block", "class", "copies", "shingles",
-        )
-    )
-    found = cut(
-        small.unionByName(big).groupBy("unit", "i", "j").applyInArrow(_verified(similarity), "class binary, root binary, links long")
-    )
+    found = cut(dealt.groupBy("unit", "i", "j").applyInArrow(_verified(similarity), "class binary, root binary, links long"))
     labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     return sums.join(labels.select(F.col("node").alias("class"), "label"), "class")
