@@ -93,12 +93,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     hold_batches(labelled)
     rows = labelled.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(lang_col).isNotNull())
+    found = rows.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     lang, gram, n = got["lang"].to_pylist(), np.asarray(got["gram"]), np.asarray(got["n"])
     languages = sorted(set(lang))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} can be learned")
     place = {x: i for i, x in enumerate(languages)}
     of = np.fromiter((place[x] for x in lang), np.int64, len(lang))
     out = np.zeros((len(languages), DIMENSIONS))
