@@ -7,7 +7,7 @@ Candidates are verified exactly, on whole shingle sets.
 
 Texts with equal sets are one class, formed by partial aggregation; only classes go on. Each trie node links its
 members to its least one, and the components of those links are the units within which all pairs are verified: a
-component is dealt into blocks of about `BLOCK` shingles, and each pair of blocks is one group for a task, so a
+component is dealt into blocks of about `BLOCK` shingles or `BLOCK_ROWS` classes, and each pair of blocks is one group for a task, so a
 component of any size is spread and nothing is capped. A group returns one row per class (its number of links there,
 and one link that keeps it connected), never the pairs.
 
@@ -31,7 +31,8 @@ from ._graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
-BLOCK = 400_000
+#: Most shingles and most classes of a block, on average.
+BLOCK, BLOCK_ROWS = 400_000, 800
 BROADCAST_ROWS = 200_000
 SEED = 20240301
 
@@ -179,14 +180,16 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
     stars = keyed.join(nodes, "key").filter(F.col("class") != F.col("least")).select(F.col("class").alias("a"), F.col("least").alias("b"))
     candidate = components(stars.distinct())
     members = classes.drop("keys").join(candidate.select(F.col("node").alias("class"), F.col("label").alias("comp")), "class")
-    weights = members.groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    needed = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / BLOCK_ROWS))
+    weights = members.groupBy("comp").agg(needed.alias("blocks"))
     large = weights.filter("blocks > 1")
     members = members.join(large, "comp", "left").select(
         "class", "comp", "id", "t", "copies", "size", F.coalesce("blocks", F.lit(1)).cast("int").alias("blocks")
     )
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int")))
-    total = members.agg(F.count("*").alias("n"), F.sum(F.when(F.col("blocks") == 1, F.col("size"))).alias("w")).first()
-    units = max(1, -(-(total["w"] or 0) // BLOCK))
+    one = F.col("blocks") == 1
+    total = members.agg(F.count("*").alias("n"), F.sum(F.when(one, F.col("size"))).alias("w"), F.count_if(one).alias("rows")).first()
+    units = max(1, -(-(total["w"] or 0) // BLOCK), -(-total["rows"] // BLOCK_ROWS))
     wanted = members.select(F.col("id").alias("m_id"), F.col("t").alias("m_t"), "class", "comp", "copies", "blocks", "block")
     if total["n"] <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
