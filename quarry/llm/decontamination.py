@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased, signs around and in them dropped. Every run of `SEED` words of a test item is a seed. In how
-many documents a seed occurs is counted over all documents; an item keeps those of its seeds that are among its
-`KEEP` rarest in each part of `PART` words (so every part keeps some, however often a leak was copied), or occur in
-at most `RARE` documents. Where a document holds a kept seed, the stretch of words around it is aligned with the
-item (local alignment, word against word); the score over that of the item with itself is the `score`.
-
-Scale: the test items are taken in blocks of at most `BLOCK` items, which bounds what is sent to tasks; per block
-there are two passes over the documents (counting, aligning) that shuffle one number per seed and task. The join of
-seeds and the alignment happen where a document is read, so a passage in a third of all documents costs no shuffle,
-and no two documents ever meet.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
+
+Words are lower-cased, signs around and in them dropped. Every run of `SEED` words of a test item is a seed, and none is
+left out for being common. Where a document holds a seed, the stretch of words around it is aligned with the item (local
+alignment, word against word); the score over that of the item with itself is the `score`. A stretch is not aligned if
+it holds so few of the item's words that it can't reach the least score. So a copy is missed only if its edits leave no
+`SEED` words of the item side by side.
+
+Scale: the test items are taken in blocks of at most `BLOCK` items, which bounds what is sent to tasks; per block there
+is one pass over the documents, without a shuffle. The join of seeds and the alignment happen where a document is read,
+so a passage in a third of all documents costs no shuffle, and no two documents ever meet. A document with a seed that
+many items have is compared with each of them; matches are taken `HITS` at a time, which bounds their memory.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from ._common import coded_words, hold_batches, mixed, slices, with_text
 
-SEED, KEEP, PART, RARE = 3, 2, 6, 20
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK = 20_000
+HITS = 500_000
 
 
 class Items:
@@ -43,17 +44,8 @@ class Items:
         h, at, item = _runs(self.starts, self.codes)
         order = np.argsort(h, kind="stable")
         self.seeds, self.at, self.item = h[order], at[order], item[order]
-
-    def kept(self, documents: np.ndarray) -> Items:
-        """With the rare seeds only; `documents`: in how many documents each seed is."""
-        part = self.item * (1 << 32) + self.at // PART
-        order = np.lexsort((documents, part))
-        rank = np.empty(len(part), np.int64)
-        first = np.searchsorted(part[order], part[order], "left")
-        rank[order] = np.arange(len(part)) - first
-        keep = (rank < KEEP) | (documents <= RARE)
-        self.seeds, self.at, self.item = self.seeds[keep], self.at[keep], self.item[keep]
-        return self
+        owner = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        self.has = np.unique(owner * len(self.words) + self.codes)
 
 
 def _bare(vocabulary: pa.Array) -> pa.Array:
@@ -110,33 +102,77 @@ def align(queries: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def _found(items: Items, texts: pa.Array):
-    """(text, item, score, end) for each text and item with a seed in common: the best of its stretches."""
-    starts, codes = _known(*coded_words(texts), items.words)
+def _spans(counts: np.ndarray, most: int):
+    """Slices of consecutive entries whose counts sum up to at most `most`; one that alone has more is a slice."""
+    sums, low = np.cumsum(counts), 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + most, "right")))
+        yield slice(low, high)
+        low = high
+
+
+def _places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] of them), first[1], ..."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - first, counts)
+
+
+def _candidates(items: Items, starts: np.ndarray, codes: np.ndarray, least: float) -> np.ndarray:
+    """Rows (text, item, stretch): where a text has a seed of an item, and enough of its words for the least score."""
     h, at, text = _runs(starts, codes)
     low, high = np.searchsorted(items.seeds, h, "left"), np.searchsorted(items.seeds, h, "right")
-    n = high - low
-    if not n.sum():
+    hits = np.flatnonzero(high > low)
+    found = [np.empty((0, 3), np.int64)]
+    for part in _spans((high - low)[hits], HITS):
+        mine = hits[part]
+        n = high[mine] - low[mine]
+        hit, seed = np.repeat(mine, n), _places(low[mine], n)
+        item = items.item[seed]
+        stretch = (at[hit] - items.at[seed]) // np.diff(items.starts)[item]
+        key = np.unique(np.stack((text[hit], item, stretch), 1), axis=0)
+        first, last = _window(items, key, least)
+        first = np.maximum(first, 0)
+        last = np.minimum(last, np.diff(starts)[key[:, 0]])
+        for some in _spans(last - first, HITS):
+            width = (last - first)[some]
+            word = codes[_places((starts[key[:, 0]] + first)[some], width)]
+            look = np.repeat(key[some, 1], width) * len(items.words) + word
+            there = (word >= 0) & (items.has[np.minimum(np.searchsorted(items.has, look), len(items.has) - 1)] == look)
+            n_there = np.bincount(np.repeat(np.arange(len(width)), width)[there], minlength=len(width))
+            found.append(key[some][n_there >= least * np.diff(items.starts)[key[some, 1]] - 1e-9])
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _window(items: Items, key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """First word and the place after the last of the window of each (text, item, stretch).
+
+    What scores `least` or more has at most 2 * (1 - least) words put in for each of the item's, on either side of the seed.
+    """
+    length = np.diff(items.starts)[key[:, 1]]
+    more = np.ceil(MATCH * max(1 - least, 0) / -GAP * length).astype(np.int64)
+    return key[:, 2] * length - more, (key[:, 2] + 2) * length + more
+
+
+def _found(items: Items, texts: pa.Array, least: float):
+    """(text, item, score, end) for each text and item with a seed in common: the best of its stretches that can score `least`."""
+    starts, codes = _known(*coded_words(texts), items.words)
+    key = _candidates(items, starts, codes, least)
+    if not len(key):
         return None
-    hit = np.repeat(np.arange(len(h)), n)
-    seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    item = items.item[seed]
-    length = np.diff(items.starts)[item]
-    stretch = (at[hit] - items.at[seed]) // length
-    key = np.unique(np.stack((text[hit], item, stretch), 1), axis=0)
-    text, item, stretch = key[np.argsort(np.diff(items.starts)[key[:, 1]], kind="stable")].T
+    key = key[np.argsort(np.diff(items.starts)[key[:, 1]], kind="stable")]
+    text, item, _ = key.T
+    low, high = _window(items, key, least)
     length = np.diff(items.starts)[item]
     best, end = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     done = 0
     while done < len(text):
-        cells = 3 * length[done : done + 512].max()
+        cells = (high - low)[done : done + 512].max()
         take = max(1, min(512, 200_000 // cells))
         part = slice(done, done + take)
         longest = length[part].max()
         q = np.arange(longest)[None, :]
         inside = q < length[part, None]
         query = np.where(inside, items.codes[np.where(inside, items.starts[item[part], None] + q, 0)], -2)
-        w = np.arange(3 * longest)[None, :] + (stretch[part] * length[part] - length[part] // 2)[:, None]
+        w = np.arange((high - low)[part].max())[None, :] + low[part, None]
         there = (w >= 0) & (w < np.diff(starts)[text[part], None])
         window = np.where(there, codes[np.where(there, starts[text[part], None] + w, 0)], -1)
         best[part], stop = align(query, window)
@@ -149,28 +185,6 @@ def _found(items: Items, texts: pa.Array):
     return text[first], item[first], score[first], end[first]
 
 
-def _counted(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each of the block's seeds is."""
-    hold_batches(docs)
-    distinct = np.unique(items.seeds)
-
-    def count(batches):
-        sums = np.zeros(len(distinct), np.int64)
-        for part in slices(batches):
-            h, _, text = _runs(*_known(*coded_words(part.column(0)), items.words))
-            place = np.searchsorted(distinct, h)
-            ok = distinct[np.minimum(place, len(distinct) - 1)] == h
-            pair = np.unique(text[ok] * len(distinct) + place[ok])
-            sums += np.bincount(pair % len(distinct), minlength=len(distinct))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["seed", "n"])
-
-    got = docs.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(distinct), np.int64)
-    out[np.asarray(got["seed"], np.int64)] = np.asarray(got["n"], np.int64)
-    return out[np.searchsorted(distinct, items.seeds)]
-
-
 def _blocks(items: DataFrame, block: int):
     n = items.count()
     parts = max(1, -(-n // block))
@@ -202,12 +216,12 @@ def leaks(
     tests = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id is not null").distinct()
     schema = f"`{id_col}` long, `{item_col}` long, score double, end_word long"
     found = None
+    hold_batches(docs)
     for items in _blocks(tests, block):
-        kept = items.kept(_counted(rows.select("text"), items))
 
-        def search(batches, items=kept):
+        def search(batches, items=items):
             for part in slices(batches):
-                if (got := _found(items, part.column(1))) is None:
+                if (got := _found(items, part.column(1), least)) is None:
                     continue
                 text, item, score, end = got
                 good = score >= least
@@ -226,14 +240,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least:
     tests = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id is not null").distinct()
     kept = docs
     for items in _blocks(tests, block):
-        rare = items.kept(_counted(docs.select(F.col(text_col).cast("string").alias("text")), items))
-
         rows, at, _ = with_text(kept, kept.columns, text_col)
 
-        def drop(batches, items=rare, at=at):
+        def drop(batches, items=items, at=at):
             for part in slices(batches):
                 keep = np.ones(part.num_rows, bool)
-                if (got := _found(items, part.column(at).cast(pa.string()))) is not None:
+                if (got := _found(items, part.column(at).cast(pa.string()), least)) is not None:
                     keep[got[0][got[2] >= least]] = False
                 yield part.filter(pa.array(keep))
 

@@ -74,6 +74,44 @@ def test_against_plain_search(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in rows if r[0] not in bad), key=str)
 
 
+def trigrams(text):
+    return {tuple(text[i : i + D.SEED]) for i in range(len(text) - D.SEED + 1)}
+
+
+def test_edited_copies_of_common_items(spark):
+    """Each item is leaked into 60 documents, much edited: a copy is found by whichever of its words were left alone."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(rng.randint(15, 20)) for _ in range(10)]
+    docs = []
+    for k in range(600):
+        copy = list(items[k % 10])
+        if k % 20 == 19:  # one long passage put in at the middle
+            copy[len(copy) // 2 : len(copy) // 2] = text(len(copy) - 2)
+        else:
+            for at in rng.sample(range(len(copy)), len(copy) * (15, 20, 25, 30)[k % 4] // 100):
+                copy[at] = f"new{rng.randrange(10**6)}"
+        before = text(rng.randint(0, 40))
+        docs.append(before + copy + text(rng.randint(0, 40)))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    true = {(i, k % 10) for i, k in enumerate(range(600)) if plain_score(items[k % 10], docs[i]) >= D.SCORE and trigrams(items[k % 10]) & trigrams(docs[i])}
+    assert len(true) > 550
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(d, b).collect()} == true
+    assert {r["doc_id"] for r in D.clean(d, b).collect()} == set(range(600)) - {i for i, _ in true}
+
+
+def test_hits_in_parts(spark, monkeypatch):
+    """Taken a few at a time, seed hits give the same as all at once."""
+    items, docs = made(4)
+    coded = D.Items(list(range(12)), [" ".join(t) for t in items])
+    texts = D.pa.array([" ".join(t) for t in docs])
+    whole = D._found(coded, texts, D.SCORE)
+    monkeypatch.setattr(D, "HITS", 7)
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, D._found(coded, texts, D.SCORE), strict=True))
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
