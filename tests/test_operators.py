@@ -80,6 +80,27 @@ def test_chunks_of_code():
     assert chunking.chunk("  \n", "a.ts") == [] and chunking.chunk(None, "a.ts") == [] and chunking.python_symbols("def (") == []
 
 
+def test_long_units_are_whole():
+    """The last unit of a file is in its chunk to the end: by the syntax tree, by indentation, and with a brace left open."""
+    body = "".join(f"    field_{i} = {i}\n" for i in range(200))
+    tree = f'"""A text.\ndef not_one(of, the, units): it stands in a string, though it is long.\n"""\n@one\n@two(\n    3)\nclass Last(\n):\n{body}'
+    (row,) = chunking.chunk(tree, "a.py")
+    assert row[1:3] == (4, 209) and row[4:6] == ("class", "Last") and row[6] == "\n".join(tree.split("\n")[3:])
+    assert chunking.chunk("\ufeff" + tree, "a.py")[0][1:] == row[1:]
+    (row,) = chunking.chunk(f"class Last:\n{body}    print 'old'\n", "a.py")
+    assert row[1:3] == (1, 203) and "field_199" in row[6] and "print 'old'" in row[6]
+    (row,) = chunking.chunk("class Last {\n" + "  call()\n" * 200 + "  end()\n", "a.ts")
+    assert row[1:3] == (1, 203) and "end()" in row[6]
+    (row,) = chunking.chunk("class Last:\r    x = 1\n" + body, "a.py")
+    assert row[1] == 1 and "field_199" in row[6]
+
+
+def test_long_class_is_indexed(spark):
+    content = "class Last:\n" + "".join(f"    field_{i} = {i}\n" for i in range(200))
+    rows = chunking.chunk_files(spark.createDataFrame([("a.py", content)], "path string, content string")).collect()
+    assert [r["content"] for r in rows] == [content]
+
+
 def test_chunks_of_text():
     lines = [f"line {i} " + "x" * 90 for i in range(100)]
     rows = chunking.chunk("\n".join(lines), "notes.txt")
