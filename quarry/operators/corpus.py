@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
+from quarry.operators.folds import folded
 
 
 def judged_files(files: DataFrame, rules: list[str] = ()) -> DataFrame:
@@ -34,7 +35,7 @@ def prioritised(files: DataFrame, by: str, most_lines: int = P.LARGE_LINES, rule
     folders or important, and if still too many, the ones that fit, important first, a file that doesn't fit being
     passed over.
 
-    Only repositories that still are too large come together as lists of (size, path), for the fold that packs them.
+    Only the files of repositories that still are too large are sorted, for the fold that packs them row by row.
     """
     def too_large(rows: DataFrame, name: str) -> DataFrame:
         lines = F.ceil(F.sum("size") / F.lit(float(P.CHARS_PER_LINE)))
@@ -43,29 +44,23 @@ def prioritised(files: DataFrame, by: str, most_lines: int = P.LARGE_LINES, rule
     j = too_large(judged_files(files, rules).filter("included"), "large")
     j = too_large(j.filter("not large or priority or important"), "still")
     done = j.filter("not (large and still)").select(by, "path", "size", "language")
-    packed = (
-        j.filter("large and still")
-        .groupBy(by)
-        .agg(F.array_sort(F.collect_list(F.struct((~F.col("important")).alias("later"), "path", "size", "language", "lines"))).alias("files"))
-        .select(by, F.explode(_fitting(F.col("files"), most_lines)).alias("f"))
-        .select(by, "f.path", "f.size", "f.language")
-    )
-    return done.unionByName(packed)
+    later = j.filter("large and still").select(by, "path", F.col("size").cast("long").alias("size"), "language", "lines", (~F.col("important")).alias("later"))
 
+    def start():
+        used = 0
 
-def _fitting(files: Column, most: int) -> Column:
-    """Files, in their order, as long as they fit into what is left; others are passed over."""
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"),
-        F.expr("cast(array() as array<struct<later: boolean, path: string, size: bigint, language: string, lines: bigint>>)").alias("took"),
-    )
-    return F.aggregate(
-        files, start,
-        lambda a, f: F.when(
-            a["used"] + f["lines"] <= most, F.struct((a["used"] + f["lines"]).alias("used"), F.concat(a["took"], F.array(f)).alias("took"))
-        ).otherwise(a),
-        lambda a: a["took"],
-    )
+        def fits(later, path, size, language, lines):
+            """A file that doesn't fit into what is left is passed over."""
+            nonlocal used
+            if lines is None or used + lines > most_lines:
+                return False
+            used += lines
+            return True
+
+        return fits
+
+    packed = folded(later, by, ["later", "path", "size", "language", "lines"], start, "fits", "boolean").filter("fits")
+    return done.unionByName(packed.select(by, "path", "size", "language"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", sha: str = "sha") -> DataFrame:

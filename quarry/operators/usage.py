@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.folds import folded
+
 # Tokens and repositories by plan (-1: no limit), and the price a month.
 PLANS = [("free", 40_000, 1, 0), ("plus", 1_000_000, 5, 19), ("pro", 4_000_000, -1, 60)]
 #: Requests per seconds by purpose.
@@ -83,19 +85,22 @@ def sliding_counts(requests: DataFrame, key: str, ts: str, limit: int, seconds:
 def fixed_windows(requests: DataFrame, key: str, ts: str, limit: int, seconds: int, id_col: str) -> DataFrame:
     """Each request (key, id) with its place in a window that its key's first request opens and that lasts `seconds`;
     the first request after it has passed opens the next."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    order = F.array_sort(F.collect_list(F.struct(us.alias("us"), F.col(id_col).alias("id"))))
-    row = "array<struct<id: bigint, n_window: bigint>>"
-    start = F.struct(F.lit(None).cast("long").alias("reset"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as {row})").alias("out"))
+    rows = requests.select(key, F.col(id_col).cast("long").alias(id_col), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+
+    def start():
+        reset, n = None, 0
 
-    def step(a, x):
-        new = a["reset"].isNull() | (a["reset"] < x["us"])
-        n = F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1)
-        reset = F.when(new, x["us"] + seconds * 1_000_000).otherwise(a["reset"])
-        return F.struct(reset.alias("reset"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), n.alias("n_window")))).alias("out"))
+        def place(us, _):
+            nonlocal reset, n
+            if reset is None or reset < us:
+                reset, n = None if us is None else us + seconds * 1_000_000, 0
+            n += 1
+            return n
 
-    folded = requests.groupBy(key).agg(F.aggregate(order, start, step, lambda a: a["out"]).alias("w"))
-    return folded.select(key, F.explode("w").alias("x")).select(key, F.col("x.id").alias(id_col), F.col("x.n_window"), (F.col("x.n_window") <= limit).alias("allowed"))
+        return place
+
+    placed = folded(rows, key, ["_us", id_col], start, "n_window", "long")
+    return placed.drop("_us").withColumn("allowed", F.col("n_window") <= limit)
 
 
 def latest(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -147,20 +152,22 @@ def unseen(new: DataFrame, history: DataFrame, content: str) -> DataFrame:
 
 def subscription_states(events: DataFrame, key: str, kind: str, order: str) -> DataFrame:
     """(key, status, plan) after all events of a subscription: created and updated set both; payment_failed makes it
-    past_due; payment_succeeded makes a past_due one active; deleted makes it free and canceled."""
-    row = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("kind"), F.col("plan"), F.col("status"))))
-    start = F.struct(F.lit("none").alias("status"), F.lit("free").alias("plan"))
-
-    def step(a, x):
-        k = x["kind"]
-        status = (
-            F.when(k.isin("created", "updated"), F.coalesce(x["status"], a["status"])).when(k == "payment_failed", "past_due")
-            .when((k == "payment_succeeded") & (a["status"] == "past_due"), "active").when(k == "deleted", "canceled").otherwise(a["status"])
-        )
-        plan = F.when(k.isin("created", "updated"), F.coalesce(x["plan"], a["plan"])).when(k == "deleted", "free").otherwise(a["plan"])
-        return F.struct(status.alias("status"), plan.alias("plan"))
-
-    return events.groupBy(key).agg(F.aggregate(row, start, step).alias("s")).select(key, "s.status", "s.plan")
+    past_due; payment_succeeded makes a past_due one active; deleted makes it free and canceled.
+
+    The last events that set the status and the plan, and the last payment, say it all, so no key's events are gathered."""
+    k, row = F.col(kind), F.struct(F.col(order).alias("o"), F.col(kind).alias("kind"), F.col("plan"), F.col("status"))
+    last = lambda which: F.max(F.when(which, row))
+    given = k.isin("created", "updated")
+    found = events.groupBy(key).agg(
+        last((given & F.col("status").isNotNull()) | k.isin("deleted", "payment_failed")).alias("s"),
+        last((given & F.col("plan").isNotNull()) | (k == "deleted")).alias("p"),
+        last(k == "payment_succeeded").alias("paid"),
+    )
+    s, said = F.col("s.kind"), F.col("s.status")
+    status = F.when(s == "deleted", "canceled").when(s == "payment_failed", "past_due").otherwise(F.coalesce(said, F.lit("none")))
+    plan = F.when(F.col("p.kind") == "deleted", "free").otherwise(F.coalesce("p.plan", F.lit("free")))
+    paid = (status == "past_due") & F.coalesce(F.col("paid") > F.col("s"), F.lit(False))
+    return found.select(key, F.when(paid, "active").otherwise(status).alias("status"), plan.alias("plan"))
 
 
 # Dollars per million tokens in and out.

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import paths as P
 from quarry.operators import chunking, context, corpus, retrieval, usage
 from quarry.sources import store
 
@@ -190,6 +191,71 @@ def test_fixed_windows(spark):
     assert got == want
 
 
+def gathers(df):
+    return "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_key_is_gathered_in_one_row(spark):
+    """One user or repository may hold all rows: batches of a few rows give what one batch gives."""
+    rows = spark.range(5000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 50 > 0, 7).alias("user_id"), F.timestamp_seconds(F.col("id") * 7 % 5003).alias("ts"),
+        F.lit("r").alias("repo"), F.concat(F.lit("lib/f"), F.col("id"), F.lit(".py")).alias("path"), (F.col("id") % 4000 + 1).alias("size"),
+        F.lit("payment_failed").alias("kind"), F.lit("x").alias("plan"), F.lit("y").alias("status"),
+    )
+    made = lambda: [
+        usage.fixed_windows(rows, "user_id", "ts", 5, 100, "event_id"), corpus.prioritised(rows, "repo", 2000),
+        usage.subscription_states(rows, "user_id", "kind", "event_id"),
+    ]
+    assert not any(gathers(df) for df in made())
+    whole = [sorted(map(str, df.collect())) for df in made()]
+    assert [len(x) for x in whole][::2] == [5000, 2] and len(whole[1]) > 50
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [sorted(map(str, df.collect())) for df in made()] == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_large_repository_is_not_split(spark):
+    """Where a join splits the rows of one repository over tasks, they are still packed together."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 100 > 0, "r").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("repo"), F.concat(F.lit("lib/f"), F.col("id"), F.lit(".py")).alias("path"),
+        (F.col("id") % 4000 + 1).alias("size"),
+    )
+    prefix = "spark.sql.adaptive."
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "1k", "advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.1", "coalescePartitions.enabled": "false", "autoBroadcastJoinThreshold": "-1"}
+    conf = {f"{prefix}{k}": v for k, v in small.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = corpus.prioritised(rows.repartition(20), "repo", 2000).filter("repo = 'r'").agg(F.sum(P.lines_of(F.col("size"))), F.count("*")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert kept[0] <= 2000 and kept[1] > 10
+
+
+def test_subscriptions_against_fold(spark):
+    rng = random.Random(8)
+    kinds = ["created", "updated", "payment_failed", "payment_succeeded", "deleted", "other", None]
+    rows = [(k, rng.choice([None, *range(20)]), rng.choice(kinds), rng.choice([None, "plus", "pro"]), rng.choice([None, "active", "past_due"])) for k in range(150) for _ in range(k % 12)]
+    low = lambda row: tuple((x is not None, x) if x is not None else (False, 0) for x in row[1:])
+    want = {}
+    for k, _, kind, plan, status in sorted(rows, key=lambda row: (row[0], low(row))):
+        s, p = want.get(k, ("none", "free"))
+        if kind in ("created", "updated"):
+            s, p = status or s, plan or p
+        elif kind == "payment_failed" or (kind == "payment_succeeded" and s == "past_due"):
+            s = "past_due" if kind == "payment_failed" else "active"
+        elif kind == "deleted":
+            s, p = "canceled", "free"
+        want[k] = (s, p)
+    df = spark.createDataFrame(rows, "id long, o long, kind string, plan string, status string")
+    assert {r["id"]: (r["status"], r["plan"]) for r in usage.subscription_states(df, "id", "kind", "o").collect()} == want
+
+
 def test_sliding_window_edge(spark):
     df = spark.createDataFrame([(1, 0), (1, 59), (1, 60), (1, 60)], "k long, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = sorted(r["n_window"] for r in usage.sliding_counts(df, "k", "ts", 2, 60).collect())
