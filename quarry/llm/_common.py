@@ -28,13 +28,22 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it. Where none is named, one machine that is all there
+    is (tests) makes its own; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared checkpoint folder; its lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -77,9 +86,10 @@ def slices(batches, rows: int = 256):
 def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between white space, as (starts, vocabulary, codes).
 
-    The words of text i are vocabulary[codes[starts[i]:starts[i + 1]]]. A null text has none.
+    The words of text i are vocabulary[codes[starts[i]:starts[i + 1]]]. A null text has none. Texts are trimmed before
+    they are split: the split reads past the end of a last text that ends in white space, and finds words there.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.utf8_trim_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     split = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
     words = split.flatten()
     counts = np.asarray(pc.list_value_length(split), dtype=np.int64)
