@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share, as the session names it. Where none is named, one machine that is all there
     is (tests) makes its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return tempfile.mkdtemp(prefix="checkpoints-")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder; its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """`df`, computed once, written as a table in the shared folder and read from there; its lineage ends there.
+
+    A table has its true size, by which Spark chooses joins. A checkpoint keeps the size that was estimated for its
+    plan, which a join multiplies: over some rounds of joins that becomes a number of millions of digits."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_of(column):

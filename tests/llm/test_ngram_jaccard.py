@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quarry.llm import ngram_jaccard as J
@@ -60,9 +61,11 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("block", [400_000, 700])
-def test_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, most", [(400_000, 40), (700, 1000), (700, 2)])
+def test_against_all_pairs(spark, monkeypatch, block, most):
+    """Groups in one block, in many, and groups that go back to their nodes."""
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "MOST_BLOCKS", most)
     rows = made()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, Class string").repartition(5)
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in J.join(docs).collect()), key=str)
@@ -89,7 +92,54 @@ def test_unique(spark, monkeypatch, most):
 def test_depth():
     for s in (0.8, 0.9):
         d = J.depth_for(s)
-        assert 1 - (1 - s**d) ** J.TREES >= J.RECALL and (d == J.DEPTH or 1 - (1 - s ** (d + 1)) ** J.TREES < J.RECALL)
+        assert J.found_at(s, d) >= J.RECALL and (d == J.DEPTH or J.found_at(s, d + 1) < J.RECALL)
+
+
+def test_runs():
+    """Nodes of sorted paths: those that branch, and those at the edge of a task's part."""
+    shared = np.array([0, 8, 5, 8, 8, 2, 8])  # 8 rows
+    at = lambda level: [tuple(int(v) for v in x) for x in zip(*J._runs(shared, level, level == 8), strict=True)]
+    assert at(8) == [(0, 1, 1), (1, 3, 0), (3, 6, 0), (6, 8, 1)]
+    assert at(6) == [(0, 1, 1), (6, 8, 1)]
+    assert at(5) == [(0, 1, 1), (1, 6, 0), (6, 8, 1)]
+    assert at(2) == [(0, 1, 1), (1, 8, 1)]
+
+
+def test_values_shared():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n)) for n in (1, 5, 80, 200, 250, 40)]
+    starts, flat = np.concatenate(([0], np.cumsum([len(x) for x in sets]))), np.concatenate(sets)
+    a, b = np.triu_indices(6, 1)
+    assert J._shared(starts, flat, a, b).tolist() == [len(np.intersect1d(sets[i], sets[k])) for i, k in zip(a, b, strict=True)]
+
+
+@pytest.mark.parametrize("strip", [1_000_000, 5])
+def test_pairs(strip):
+    group, block = np.array([1, 1, 1, 2, 5, 5, 5, 5]), np.array([0, 1, 0, 0, 0, 1, 1, 0])
+    every = {(i, k) for i in range(8) for k in range(i + 1, 8) if group[i] == group[k]}
+    got = [p for a, b in J._pairs(group, block, False, strip) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(every) and set(got) == every
+    got = [p for a, b in J._pairs(group, block, True, strip) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert set(got) == {(i, k) for i, k in every if block[i] != block[k]}
+
+
+def test_each_pair_meets_once():
+    """Whatever the paths, a pair that shares a node is verified at one level, in one node."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2, (12, J.TREES, J.DEPTH)).astype(np.uint16)
+    values[:, :, :5] = values[:1, :, :5] + (rng.random((12, J.TREES, 1)) < 0.7)
+    times = np.zeros((12, 12), int)
+    for level in range(J.DEPTH, 4, -1):
+        keys = lambda d: np.stack([J._node_keys(values[:, t], t, d) for t in range(J.TREES)])  # noqa: E731, B023
+        here, deeper = keys(level), keys(level + 1) if level < J.DEPTH else None
+        for t in range(J.TREES):
+            for key in np.unique(here[t]):
+                inside = np.flatnonzero(here[t] == key)
+                a, b = (inside[x] for x in np.triu_indices(len(inside), 1))
+                on = J._meet(a, b, np.full(12, t), np.full(12, -1), np.ones(12, bool), here, deeper)
+                times[a[on], b[on]] += 1
+    shares = (values[:, None, :, :5] == values[None, :, :, :5]).all(-1).any(-1)
+    assert (times == np.triu(shares, 1)).all()
 
 
 def test_empty(spark):
