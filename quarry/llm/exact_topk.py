@@ -1,27 +1,28 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Every vector is read as a sparse row of (term, weight) pairs, term being the component's place. The
-candidates of a task are taken in blocks; a block's postings list, for each term, the rows that hold it
-with their weights. Each term of the queries scatters its weighted posting list into dense score arrays
-(one per query), a partition selection keeps the k best per query, and the kept rows of all blocks and
-tasks merge through a ranking window per query.
-
-Scale: the query set is dealt into blocks of at most `query_block` rows, the only thing that is sent to
-every task (at most query_block * dimensions * 8 bytes); each block scans the candidates once. A task
-returns at most k rows per query, however many candidates it reads. Nothing is approximated.
+Every vector is read as a sparse row of (term, weight) pairs, term being the component's place. Queries and candidates
+are dealt into blocks by a hash of their id, and every pair of a query block and a candidate block is a task's work: the
+postings of the candidates list, for each term, the rows that hold it with their weights; each term of the queries
+scatters its weighted posting list into dense score arrays (one per query), and a partition selection keeps the k best
+per query. The kept rows of all pairs of blocks merge through a ranking window per query.
+
+Scale: nothing goes through the driver but two counts. A block has about `QUERY_BLOCK` or `CANDIDATE_BLOCK` rows, so what
+a task holds is bounded, and at most k rows per query and candidate block leave it. Candidates are shuffled once per
+query block and queries once per candidate block, which is what comparing all of them costs; larger blocks make that
+less. Nothing is approximated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 4096
+CANDIDATE_BLOCK = 65_536
+#: Candidates whose score arrays are held at once.
+STEP = 4096
 
 
 def quantised(vector: str, scale: float):
@@ -40,17 +41,27 @@ def _dense(arrays: pa.Array) -> np.ndarray:
     return out
 
 
-def _best(keys: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest keys of each row (all, if there are fewer)."""
-    if keys.shape[1] <= k:
-        return np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
-    return np.argpartition(keys, keys.shape[1] - k, axis=1)[:, -k:]
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest scores of each row, the first on a tie (all, if there are fewer)."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    over = scores > least
+    equal = scores == least
+    room = k - over.sum(1, keepdims=True)
+    return np.nonzero(over | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(scores), k)
 
 
 def _accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Inner products of every query with every row of the block, term by term."""
+    """Inner products of every query with every row of the block, term by term; an error if one may pass 64 bits."""
     terms = min(queries.shape[1], block.shape[1])
-    peak = sum(int(abs(queries[:, t]).max(initial=0)) * int(abs(block[:, t]).max(initial=0)) for t in range(terms))
+    largest = lambda x, t: max(int(x[:, t].max(initial=0)), -int(x[:, t].min(initial=0)))
+    peak = sum(largest(queries, t) * largest(block, t) for t in range(terms))
+    if peak >= 2**63:
+        peak = int(np.abs(queries[:, :terms].astype(object)).dot(np.abs(block[:, :terms].astype(object)).T).max(initial=0))
+        if peak >= 2**63:
+            raise OverflowError("a score may pass 64 bits; give a smaller scale")
     kind = np.int32 if peak < 2**31 else np.int64
     scores = np.zeros((len(queries), len(block)), kind)
     for t in range(terms):
@@ -78,6 +89,7 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     query_block: int = QUERY_BLOCK,
+    candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """The k rows of highest integer inner product for each row that fulfils `is_query`.
 
@@ -85,22 +97,26 @@ def top_k(
     smaller id. Rows with the query's own id are no candidates of it. Rows with a null id, a null vector, or
     a null or non-finite component take no part; vectors of other lengths count as filled with zeros, empty
     ones score 0. An id that repeats stays as many candidates, and is searched for as often as its vectors
-    differ, under the one query_id. Other columns are ignored; an empty table gives no rows.
+    differ, under the one query_id. Other columns are ignored; an empty table gives no rows. Scores are exact in 64
+    bits; if the sizes of the components could take one beyond that, the search is an error.
     """
     usable = vectors.select(
         F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v")
     ).filter("id is not null and v is not null")
     queries = usable.filter(is_query(F.col("id"))).distinct()
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    parts = []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        sent = mine.toArrow()
-        parts.append(_search(usable, sent["id"].combine_chunks(), sent["v"].combine_chunks(), k))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    n, cores = usable.count(), usable.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-queries.count() // query_block))
+    c_blocks = max(1, -(-n // candidate_block), min(cores, -(-n // STEP)))
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = F.monotonically_increasing_id()
+    asked = queries.select(block(q_blocks).alias("q"), every(c_blocks).alias("c"), "id", "v")
+    given = usable.select(F.pmod(F.xxhash64("id", row), F.lit(c_blocks)).cast("int").alias("c"), "id", "v").select(every(q_blocks).alias("q"), "c", "id", "v")
+
+    def search(asked: pa.Table, given: pa.Table) -> pa.Table:
+        return _search(asked, given, k)
+
+    found = asked.groupBy("q", "c").cogroup(given.groupBy("q", "c")).applyInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -109,39 +125,29 @@ def top_k(
     )
 
 
-def _search(candidates: DataFrame, ids: pa.Array, vectors: pa.Array, k: int) -> DataFrame:
-    query_ids, rows = np.asarray(ids, np.int64), _dense(vectors)
-    least = np.iinfo(np.int64).min
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.empty((len(query_ids), 0), np.int64)
-        best_id = np.empty((len(query_ids), 0), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, CANDIDATE_BLOCK):
-                part = batch.slice(start, CANDIDATE_BLOCK)
-                own = np.asarray(part.column(0), np.int64)
-                order = np.argsort(-own, kind="stable")
-                own, block = own[order], _dense(part.column(1))[order]
-                new_score, new_id = [], []
-                for q in range(0, len(query_ids), 256):
-                    scores = _accumulate(rows[q : q + 256], block).astype(np.int64)
-                    # the place breaks ties: a larger place is a smaller id
-                    keys = scores * len(own) + np.arange(len(own))
-                    keys[query_ids[q : q + 256, None] == own[None, :]] = least
-                    at = _best(keys, k)
-                    kept = np.take_along_axis(scores, at, 1)
-                    kept[np.take_along_axis(keys, at, 1) == least] = least
-                    new_score.append(kept)
-                    new_id.append(own[at])
-                if new_score:
-                    best_score = np.hstack((best_score, np.vstack(new_score)))
-                    best_id = np.hstack((best_id, np.vstack(new_id)))
-                    top = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(best_score, top, 1), np.take_along_axis(best_id, top, 1)
-        there = best_score != least
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(query_ids, there.sum(1))), pa.array(best_id[there]), pa.array(best_score[there])],
-            ["query_id", "id", "score"],
-        )
-
-    return candidates.mapInArrow(search, "query_id long, id long, score long")
+def _search(asked: pa.Table, given: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, score): the k best of `given` for each row of `asked`."""
+    query_ids = np.asarray(asked["id"], np.int64)
+    own = np.asarray(given["id"], np.int64)
+    out = [(np.empty(0, np.int64),) * 3]
+    if len(query_ids) and len(own):
+        rows = _dense(asked["v"].combine_chunks())
+        order = np.argsort(own, kind="stable")  # the first column of a tie has the smaller id
+        own, block = own[order], _dense(given["v"].combine_chunks().take(pa.array(order)))
+        for q in range(0, len(query_ids), 256):
+            mine = query_ids[q : q + 256]
+            ids = np.empty((len(mine), 0), np.int64)
+            best, there = ids, np.empty((len(mine), 0), bool)
+            for c in range(0, len(own), STEP):
+                scores = _accumulate(rows[q : q + 256], block[c : c + STEP]).astype(np.int64)
+                other = mine[:, None] != own[None, c : c + STEP]
+                low = np.where(other, scores, np.iinfo(np.int64).min)
+                at = _best(low, k)
+                best, ids, there = (
+                    np.hstack((x, y)) for x, y in ((best, np.take_along_axis(low, at, 1)), (ids, own[c : c + STEP][at]), (there, np.take_along_axis(other, at, 1)))
+                )
+                at = _best(best, k)
+                best, ids, there = (np.take_along_axis(x, at, 1) for x in (best, ids, there))
+            out.append((np.repeat(mine, there.sum(1)), ids[there], best[there]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), columns, strict=True)})
