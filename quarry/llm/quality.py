@@ -6,8 +6,8 @@ own). Every indicator that a text has is scaled by r, the log-ratio of the smoot
 class have it; a text's vector has length 1. A hinge-loss model is fitted on these by dual coordinate descent.
 
 Scale: the counts behind r cover the labelled texts that are given (`LABELLED` bounds how many the queries give; one
-partially aggregated pass; at most `BUCKETS` rows per class leave a task). The fit takes at most `FIT_PER_CLASS` texts of each class, those with the lowest hash of their
-id, on the driver. Scoring is one pass without shuffle; the model sent to tasks is two arrays of `BUCKETS` numbers.
+partially aggregated pass; at most `BUCKETS` rows per class leave a task). The fit takes at most `FIT_PER_CLASS` texts of
+each class, those with the lowest hash of their id and text, on the driver. Scoring is one pass without shuffle; the model sent to tasks is two arrays of `BUCKETS` numbers.
 """
 
 from __future__ import annotations
@@ -116,18 +116,20 @@ def train(labelled: DataFrame, fit_per_class: int = FIT_PER_CLASS, cost: float =
     ratio = np.where(counts.sum(0) >= LEAST_TEXTS, np.log(rate[1] / rate[0]), 0)
     parts = []
     for c in (0, 1):
-        of = rows.filter(F.col("label") == c).withColumn("h", F.abs(F.xxhash64("id")))
-        below = 2.0**63 * fit_per_class / texts[c]
-        parts.append(of if texts[c] <= fit_per_class else of.filter(F.col("h") < below))
+        # by the text too, so that ids that repeat or are null don't pass the bound; not the hash that chose the rows
+        of = rows.filter(F.col("label") == c).withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(1)), 1))
+        if texts[c] > fit_per_class:
+            of = of.filter(F.col("h") < min(2.0**63, 2.0**64 * fit_per_class / texts[c])).orderBy("h").limit(fit_per_class)
+        parts.append(of)
 
     def features(batches):
         for part in slices(batches):
             owner, bucket = indicators(part.column(0))
             cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             some = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(1), some], ["label", "at"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), some], ["label", "h", "at"])
 
-    sample = parts[0].unionByName(parts[1]).select("text", "label").mapInArrow(features, "label long, at array<int>").toArrow()
+    sample = parts[0].unionByName(parts[1]).select("text", "label", "h").mapInArrow(features, "label long, h long, at array<int>").toArrow()
     label = np.asarray(sample["label"])
     at, x, y = [], [], np.where(label == 1, 1.0, -1.0)
     lists = sample["at"].combine_chunks()
@@ -139,7 +141,7 @@ def train(labelled: DataFrame, fit_per_class: int = FIT_PER_CLASS, cost: float =
         at.append(some)
         x.append(v / max(np.sqrt(v @ v), 1e-9))
     balance = np.where(label == 1, len(label) / max(1, 2 * (label == 1).sum()), len(label) / max(1, 2 * (label == 0).sum()))
-    order = np.lexsort((np.array([len(v) for v in at]), label))  # the order of rows must not depend on tasks
+    order = np.lexsort((np.asarray(sample["h"]), label))  # the order of rows must not depend on tasks; like rows are alike
     w = descend([at[i] for i in order], [x[i] for i in order], y[order], cost * balance[order], BUCKETS)
     return Model(ratio.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]))
 

@@ -30,7 +30,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = quality.LABELLED) -> DataFrame:
     """id, text, label of documents with one undisputed label: all, or about `most` of them, those of the lowest hash.
 
-    The labels are bounded by that, so they are broadcast and no text is shuffled."""
+    The labels are bounded by that, so they are broadcast and no text is shuffled. A document whose id repeats is as
+    many rows."""
     known = labels.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     known = known.filter("doc_id is not null and label = other").drop("other")
     n = known.count()

@@ -1,5 +1,7 @@
 """Quality classifier: held-out accuracy, and what odd tables give."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -50,6 +52,66 @@ def test_odd_rows(spark):
     assert got[1, "a"] < 0.5 < got[2, "b"] and got[5, "d"] < 0.5 and got[3, None] == got[None, "c"]
 
 
+def plain_indicators(text):
+    words = (text or "").split()
+    shape = lambda w: re.sub(r"\d+", "0", re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", w)))
+    shapes = ["again" if i and w == words[i - 1] else shape(w) for i, w in enumerate(words)]
+    out = set()
+    for kind, (values, n) in enumerate((([w.lower() for w in words], 1), ([w.lower() for w in words], 2), (shapes, 1), (shapes, 2), (shapes, 3))):
+        out |= {(kind, *values[i : i + n]) for i in range(max(1, len(values) - n + 1)) if values}
+    return out
+
+
+def test_against_plain_counts(spark):
+    """Ratios and scores put together indicator by indicator; the fit by its optimum."""
+    rng = random.Random(5)
+    words = ["Alpha", "beta", "gamma", "delta", "x1", "y22", "EPS"]
+    text = lambda c: " ".join(rng.choice(words[:5] if c else words[2:]) for _ in range(rng.randint(3, 9)))
+    rows = [(i, text(i % 2), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    model = quality.train(df.repartition(3))
+    of = [plain_indicators(t) for _, t, _ in rows]
+    n = [sum(c == k for _, _, c in rows) for k in (0, 1)]
+    ratio = {}
+    for g in set().union(*of):
+        have = [sum(g in s for s, (_, _, c) in zip(of, rows, strict=True) if c == k) for k in (0, 1)]
+        ratio[g] = np.log((have[1] + 1) / (n[1] + 2) / ((have[0] + 1) / (n[0] + 2))) if sum(have) >= quality.LEAST_TEXTS else 0.0
+    assert np.allclose(sorted(x for x in ratio.values() if x), np.sort(model.ratio[model.ratio != 0]), atol=1e-6)
+    bucket = {}
+    for (_, t, _), mine in zip(rows, of, strict=True):  # an indicator's bucket is what all its texts have in common
+        at = set(quality.indicators(pa.array([t]))[1].tolist())
+        for g in mine:
+            bucket[g] = bucket.get(g, at) & at
+    for g, at in bucket.items():
+        assert any(abs(model.ratio[b] - ratio[g]) < 1e-6 for b in at)
+    got = {r["id"]: r["score"] for r in quality.score(df, model).collect()}
+    for i, t, c in rows:
+        at = quality.indicators(pa.array([t]))[1]
+        v = model.ratio[at].astype(float)
+        margin = v @ model.weight[at] / max(np.sqrt(v @ v), 1e-9) + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-4 * margin))) < 1e-5
+        assert np.isclose(v @ v, sum(ratio[g] ** 2 for g in of[i]), rtol=1e-4)
+    again = quality.train(df.orderBy(F.desc("id")).repartition(7))
+    assert (again.weight == model.weight).all() and again.bias == model.bias  # tasks and order don't matter
+
+
+def test_descent_reaches_the_optimum():
+    """The gap between the hinge loss and its dual is closed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    y, cost = np.where(x[:, 0] + rng.normal(size=60) > 0, 1.0, -1.0), np.full(60, 0.7)
+    w = quality.descend([np.arange(4)] * 60, list(x), y, cost, 4, rounds=2000)
+    primal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w[:4] + w[4]))).sum()
+    assert all(primal(w) <= primal(w + d) + 1e-2 for d in rng.normal(size=(300, 5)) * 0.1)
+
+
+def test_bound_of_the_fit(spark):
+    """The fit's sample is bounded, ids that repeat or are null included, also behind the bound of labelled rows."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("id"), F.concat(F.lit("w"), "id").alias("text"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    model = quality.train(rows, fit_per_class=100)
+    assert np.isfinite(model.bias)
+
+
 def test_without_labels(spark):
     none = spark.createDataFrame([], "id long, text string, label int")
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
