@@ -1,11 +1,12 @@
 """Language identification by hyperdimensional profiles.
 
-Letters have random vectors of +1 and -1 in `DIMENSIONS` dimensions. A trigram's vector binds (multiplies) those of
-its letters, the first permuted (rolled) twice, the second once. A text bundles (adds) the vectors of its trigrams,
-a language those of all its texts; a text gets the language whose prototype has the highest cosine with it.
+Every letter has a random vector of +1 and -1 in `DIMENSIONS` dimensions, drawn by its code point. A trigram's vector
+binds (multiplies) those of its letters, the first permuted (rolled) twice, the second once. A text bundles (adds) the
+vectors of its trigrams, a language those of all its texts; a text gets the language whose prototype has the highest
+cosine with it.
 
-Scale: learning counts trigrams of every labelled text by language within tasks; at most 64 ** 3 counts per language
-leave a task. Prediction is one pass without shuffle, with one vector per language sent to the tasks.
+Scale: learning adds vectors within tasks; one vector per language leaves a task and they are summed in Spark. The
+prototypes (4 KB a language) come to the driver and go to every task. Prediction is one pass without shuffle.
 """
 
 from __future__ import annotations
@@ -20,46 +21,47 @@ from pyspark.sql import functions as F
 
 from ._common import fresh, hold_batches, slices, with_text
 
-DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240229
-#: Most languages that can be learned; more is an error.
-MOST_LANGUAGES = 4096
+DIMENSIONS, SEED = 1024, 20240229
+#: Languages whose sums a task holds before it lets them go.
+HELD = 512
+#: Trigrams that are bound at once.
+BOUND = 1024
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, 1 to 26 for a to z, 27 to 63 for other letters."""
-    out = np.zeros(0x110000, np.int64)
-    for cp in range(0x110000):
-        if chr(cp).isalpha():
-            out[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % (SYMBOLS - 27)
-    return out
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(1)
-def _vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIMENSIONS), np.int8) * np.int8(2) - np.int8(1)
-    return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
+@lru_cache(20_000)
+def _letter(point: int) -> np.ndarray:
+    """Vector of a letter; that of point 0 stands for what lies between words."""
+    return np.random.default_rng((SEED, point)).integers(0, 2, DIMENSIONS, np.int8) * np.int8(2) - np.int8(1)
 
 
-def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams of a text's letters, what lies between words being one sign, with their counts; none without a letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _letters()[points]
+def trigrams(text: str | None) -> np.ndarray:
+    """Every trigram of a text's letters, as a number; what lies between words is one sign. None without a letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    s = np.where(_is_letter()[points], points, 0)
     if not s.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64)
     s = np.concatenate(([0], s, [0]))
     s = s[(s != 0) | np.concatenate(([True], s[:-1] != 0))]
-    return np.unique(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], return_counts=True)
+    return s[:-2] << 42 | s[1:-1] << 21 | s[2:]
 
 
-def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def bundle(grams: np.ndarray) -> np.ndarray:
     """Sum of the trigrams' vectors."""
-    first, second, third = _vectors()
+    grams, counts = np.unique(grams, return_counts=True)
+    letters, code = np.unique(np.concatenate((grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF)), return_inverse=True)
+    vectors = np.stack([_letter(int(p)) for p in letters]) if len(letters) else np.empty((0, DIMENSIONS), np.int8)
+    twice, once = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
+    a, b, c = code.reshape(3, -1)
     out = np.zeros(DIMENSIONS)
-    for i in range(0, len(grams), 4096):
-        g = grams[i : i + 4096]
-        bound = first[g // SYMBOLS**2] * second[g // SYMBOLS % SYMBOLS] * third[g % SYMBOLS]
-        out += counts[i : i + 4096].astype(np.float32) @ bound.astype(np.float32)
+    for i in range(0, len(grams), BOUND):
+        on = slice(i, i + BOUND)
+        bound = twice[a[on]] * once[b[on]] * vectors[c[on]]
+        out += counts[on].astype(np.float32) @ bound.astype(np.float32)
     return out
 
 
@@ -72,41 +74,37 @@ class Model:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Prototypes of all languages of `labelled`. Null languages and texts without a letter teach nothing."""
 
-    def count(batches):
+    def add(batches):
         sums: dict[str, np.ndarray] = {}
 
         def told():
-            for lang, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
+            names = list(sums)
+            values = pa.array(np.concatenate([sums[x] for x in names]))
+            offsets = pa.array(np.arange(0, DIMENSIONS * len(names) + 1, DIMENSIONS, dtype=np.int32))
             sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(offsets, values)], ["lang", "v"])
 
         for part in slices(batches):
+            of: dict[str, list] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if lang not in sums:
-                    if len(sums) >= 64:
-                        yield from told()
-                    sums[lang] = np.zeros(SYMBOLS**3, np.int64)
-                grams, n = trigrams(text)
-                sums[lang][grams] += n
-        yield from told()
+                of.setdefault(lang, []).append(trigrams(text))
+            for lang, grams in of.items():
+                sums[lang] = sums.get(lang, 0) + bundle(np.concatenate(grams))
+            if len(sums) >= HELD:
+                yield told()
+        if sums:
+            yield told()
 
     hold_batches(labelled)
-    rows = labelled.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(lang_col).isNotNull())
-    found = rows.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()
-    lang, gram, n = got["lang"].to_pylist(), np.asarray(got["gram"]), np.asarray(got["n"])
-    languages = sorted(set(lang))
-    place = {x: i for i, x in enumerate(languages)}
-    of = np.fromiter((place[x] for x in lang), np.int64, len(lang))
-    out = np.zeros((len(languages), DIMENSIONS))
-    for i in range(len(languages)):
-        out[i] = bundle(gram[of == i], n[of == i])
-        out[i] /= max(np.sqrt(out[i] @ out[i]), 1e-9)
-    return Model(languages, out)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
+    parts = rows.mapInArrow(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
+    sums = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
+    got = sums.select("lang", F.transform("v", lambda x: x["x"].cast("float")).alias("v")).toArrow().sort_by("lang")
+    languages = got["lang"].to_pylist()
+    out = np.asarray(got["v"].combine_chunks().flatten(), np.float32).reshape(-1, DIMENSIONS)
+    taught = np.flatnonzero(out.any(axis=1))
+    out = out[taught] / np.linalg.norm(out[taught], axis=1, keepdims=True)
+    return Model([languages[i] for i in taught], out)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -125,12 +123,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         for part in slices(batches):
             said, scores = [], []
             for t in part.column(at).cast(pa.string()).to_pylist():
-                grams, n = trigrams(t)
+                grams = trigrams(t)
                 if not len(grams) or not languages:
                     said.append("und")
                     scores.append(0.0)
                     continue
-                v = bundle(grams, n)
+                v = bundle(grams)
                 cosine = prototypes @ v / max(np.sqrt(v @ v), 1e-9)
                 best = int(np.argmax(cosine))
                 said.append(languages[best])
