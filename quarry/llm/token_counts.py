@@ -7,17 +7,20 @@ is a binary search per section boundary. A token that crosses a boundary goes to
 first   the section that holds its first character
 most    the section that holds most of its characters, the earlier one on a tie (the default)
 
-Scale: one pass without shuffle. A task holds the vocabulary, read once per Python worker from `vocabulary`.
+Scale: one pass without shuffle. A task holds the vocabulary, read once per Python worker; the file `vocabulary` of the
+driver's machine is sent to the others.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -25,11 +28,14 @@ from pyspark.sql.types import ArrayType, LongType
 from ._common import fresh, hold_batches, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: A sentence's or line's end, with the white space after it.
-SENTENCE = r"[.!?]+\s+|\n\s*"
+#: A sentence's or line's end, with the white space after it. A run of signs is read once, from where it begins.
+SENTENCE = r"(?<![.!?])[.!?]++\s+|\n\s*"
 #: How the vocabulary's texts are cut into words before merging (a fixed value that belongs to it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space (as that pattern has it) beyond which it may fail.
+LONG_BLANK = re.compile(r"[^\S\x1c-\x1f]{10000,}")
+
 
 @lru_cache(2)
 def _encoder(vocabulary: str):
@@ -43,10 +49,21 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def _encoded(encoder, text: str) -> list[int]:
+    """Tokens of a text. The encoder's pattern fails on very long white space, all of which but the last character
+    before a word is one piece; such pieces are encoded by themselves."""
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoder.encode_ordinary(text[at : run.start()]) + encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def token_spans(text: str, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """First and last character (last exclusive) that each token of the text touches."""
     encoder, lengths = _encoder(vocabulary)
-    ids = np.asarray(encoder.encode_ordinary(text), np.int64)
+    ids = np.asarray(_encoded(encoder, text), np.int64)
     if not len(ids):
         return ids, ids
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -108,13 +125,17 @@ def count_tokens(
     for name in names:
         schema = schema.add(name, ArrayType(LongType()) if name == names[1] else LongType())
 
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    sent = os.path.basename(vocabulary)
+
     def count(batches):
+        file = SparkFiles.get(sent)
         for part in slices(batches):
             total, per, outside, crossing = [], [], [], []
             spans = part.column(part.num_columns - 1).to_pylist()
             for t, given in zip(part.column(part.num_columns - 2).to_pylist(), spans, strict=True):
                 t = t or ""
-                starts, ends = token_spans(t, vocabulary)
+                starts, ends = token_spans(t, file)
                 if sections_col is None:
                     s_end = section_ends(t, boundary)
                     s_start = np.concatenate(([0], s_end[:-1])) if len(s_end) else s_end

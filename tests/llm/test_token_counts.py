@@ -1,5 +1,8 @@
 """Token counts against another library's offsets, and the rules against one token at a time."""
 
+import re
+import time
+
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -17,6 +20,27 @@ def test_spans():
         assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == other.encode(text, add_special_tokens=False).offsets
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 9 + "b", " " * 9, "a" + "\n" * 9 + "b\u2003" + " " * 7 + "\n", "x\t\t\t\t\t\t", "\u00a0" * 8 + "é" + " " * 6 + "!"])
+def test_long_white_space_is_cut_where_the_pattern_cuts(monkeypatch, text):
+    want = T.token_spans(text)
+    monkeypatch.setattr(T, "LONG_BLANK", re.compile(r"[^\S\x1c-\x1f]{5,}"))
+    assert all((a == b).all() for a, b in zip(want, T.token_spans(text), strict=True))
+
+
+@pytest.mark.parametrize("text", ["." * 1_000_000, "?!" * 500_000 + " end", "a" * 1_000_000, " " * 1_000_000, "\n" * 300_000])
+def test_long_runs_take_no_square_of_their_length(text):
+    began = time.monotonic()
+    ends, spans = T.section_ends(text), T.token_spans(text)
+    assert ends[-1] == spans[1][-1] == len(text)
+    assert time.monotonic() - began < 60
+
+
+def test_sections():
+    parts = lambda t: [t[a:b] for a, b in zip([0, *T.section_ends(t)[:-1]], T.section_ends(t), strict=True)]
+    assert parts("One. Two?! three.four\n\n five... ") == ["One. ", "Two?! ", "three.four\n\n ", "five... "]
+    assert not len(T.section_ends(""))
+
+
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_rules(rule):
     rng = np.random.default_rng(3)
