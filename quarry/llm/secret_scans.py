@@ -2,7 +2,7 @@
 
 Two first-order character models, of random strings and of ordinary identifiers, are counted from labelled
 samples. A token of `LEAST` or more characters of the key alphabet whose log-likelihood ratio is at least
-`RATIO` is reported as `random`, unless it overlaps what a rule has found. Rules (`assign`, `access`, `hex`) are
+`RATIO` is reported as `random`, unless it lies within what a rule has found. Rules (`assign`, `access`, `hex`) are
 matched leftmost and without overlap, each kind for itself, over whole texts.
 
 Scale: a scan is one narrow projection, without shuffle; each text is handled by itself, however long, and
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_of, fresh
+from ._common import fresh
 
 # Fixed values of the rules.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,10 +33,12 @@ CODES = 128
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled strings (string, random): hashes in five alphabets, and words of about SAMPLE_DOCS texts, alone and
-    joined as identifiers are. The texts are those whose id has the lowest crc32; a null id counts as 0."""
+    joined as identifiers are. The texts are those of the lowest hash of id and text, so null ids and ids that repeat
+    pass no bound; what rows that repeat wholly say counts once."""
     n = docs.count()
-    below = 2**32 if n <= SAMPLE_DOCS else int(2**32 * SAMPLE_DOCS / n)
-    some = docs.filter(F.coalesce(crc_of(F.col(id_col)), F.lit(0)) < below)
+    some = docs
+    if n > SAMPLE_DOCS:
+        some = docs.filter(F.shiftrightunsigned(F.xxhash64(id_col, text_col), 1) < 2.0**63 * SAMPLE_DOCS / n)
     word = F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"[A-Za-z]{2,}"), 0))
     words = some.select(word.alias("w")).distinct()
     other = F.reverse("w")  # a second word's stand-in: what joins matters, not which words
@@ -89,19 +91,44 @@ def ratio(string: Column, model: list[float]) -> Column:
 
 
 def _placed(text: Column, pattern: str, matches: Column, kind: int) -> Column:
-    """(start, kind, end) of each match: texts between matches and the matches themselves, measured in turn."""
+    """(start, kind, end) of each match: texts between matches and the matches themselves, measured in turn.
+
+    Taken in pieces of as many matches as there are pieces, so that n matches cost n ** 1.5 steps: a fold that appends
+    to an array copies it each time."""
     gaps = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    placed = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end")))).alias("out"),
+    n = F.size(matches)
+    piece = F.ceil(F.sqrt(n)).cast("int")
+    lengths = F.transform(F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, n).alias("g")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m")))
+    # an argument of a function is computed once, what stands in a lambda once for each element
+    pieces = F.transform(F.array(lengths), lambda x: F.transform(F.sequence(F.lit(0), piece - 1), lambda k: F.slice(x, k * piece + 1, piece)))[0]
+    empty_at = F.expr("cast(array() as array<struct<part: array<struct<g: int, m: int>>, at: int>>)")
+    begun = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), empty_at.alias("out")),
+        lambda a, p: F.struct(
+            F.aggregate(p, a["at"], lambda at, x: at + x["g"] + x["m"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct(p.alias("part"), a["at"].alias("at")))).alias("out"),
         ),
         lambda a: a["out"],
     )
-    return F.when(F.size(matches) > 0, placed).otherwise(empty)
+    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
+    placed = F.transform(
+        begun,
+        lambda p: F.aggregate(
+            p["part"],
+            F.struct(p["at"].alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["g"] + x["m"]).alias("at"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
+            ),
+            lambda a: a["out"],
+        ),
+    )
+    return F.when(n > 0, F.flatten(placed)).otherwise(empty)
+
+
+def _number(start: Column, end: Column) -> Column:
+    return F.shiftleft(start.cast("long"), 32) + end
 
 
 def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
@@ -110,8 +137,8 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
 
     A null text is empty; empty texts have no spans; rows that repeat are each scanned; other columns stay.
     """
-    text, c_base, c_spans, *names = fresh(docs, "text_", "base", "spans", "assign", "value", "access", "hex", "token", "placed", "added")
-    assign, value, access, hexes, tokens, placed, added = names
+    text, c_base, c_spans, *names = fresh(docs, "text_", "base", "spans", "assign", "value", "access", "hex", "token", "good", "placed", "added")
+    assign, value, access, hexes, tokens, good, placed, added = names
     t = F.col(text)
     found = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumns(
         {
@@ -123,15 +150,27 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
     )
     found = found.withColumn(value, F.when(F.size(assign) > 0, F.regexp_extract_all(t, F.lit(ASSIGN), 2)))
     # a failing match keeps its place, so that others are counted from the right one
-    all_assign = _placed(t, ASSIGN, F.col(assign), 0)
-    good = F.filter(all_assign, lambda s, i: F.length(F.get(F.col(value), i)) >= ASSIGN_LEAST)
-    base = F.array_sort(F.concat(good, _placed(t, ACCESS, F.col(access), 1), _placed(t, HEX, F.col(hexes), 2)))
+    pairs = F.arrays_zip(_placed(t, ASSIGN, F.col(assign), 0).alias("s"), F.col(assign).alias("m"), F.col(value).alias("v"))
+    found = found.withColumn(good, F.when(F.size(assign) > 0, F.filter(pairs, lambda x: F.length(x["v"]) >= ASSIGN_LEAST)))
+    none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
+    ruled = F.coalesce(F.transform(good, lambda x: x["s"]), none)
+    base = F.array_sort(F.concat(ruled, _placed(t, ACCESS, F.col(access), 1), _placed(t, HEX, F.col(hexes), 2)))
     found = found.withColumn(c_base, base).withColumn(placed, _placed(t, TOKEN, F.col(tokens), 3))
-    likely = F.filter(
-        placed,
-        lambda s, i: ~F.exists(c_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(F.get(F.col(tokens), i), model) >= RATIO),
+    likely = F.filter(placed, lambda s, i: ratio(F.get(F.col(tokens), i), model) >= RATIO)
+    # what lies within a rule's span: a token that is one, or one that an assignment's own text has. As numbers, for
+    # which array_except hashes
+    inside = F.transform(
+        good,
+        lambda x: F.transform(
+            _placed(x["m"], TOKEN, F.regexp_extract_all(x["m"], F.lit(TOKEN), 0), 3),
+            lambda s: _number(x["s"]["start"] + s["start"], x["s"]["start"] + s["end"]),
+        ),
     )
-    found = found.withColumn(added, F.when(F.size(placed) > 0, likely).otherwise(F.col(placed)))
+    no_number = F.array().cast("array<bigint>")
+    known = F.concat(F.transform(c_base, lambda s: _number(s["start"], s["end"])), F.coalesce(F.flatten(inside), no_number))
+    new = F.array_except(F.transform(likely, lambda s: _number(s["start"], s["end"])), known)
+    back = F.transform(new, lambda n: F.struct(F.shiftright(n, 32).cast("int").alias("start"), F.lit(3).alias("kind"), n.bitwiseAND(0xFFFFFFFF).cast("int").alias("end")))
+    found = found.withColumn(added, F.when(F.size(placed) > 0, back).otherwise(none))
     found = found.withColumn(c_spans, F.array_sort(F.concat(c_base, added)))
     return found.drop(text, *names)
 
