@@ -4,10 +4,10 @@ Words are lower-cased, signs around and in them dropped. Every run of `SEED` wor
 left out for being common. Where a document holds a seed, the stretch of words around it is aligned with the item (local
 alignment, word against word); the score over that of the item with itself is the `score`. A stretch is not aligned if
 it holds so few of the item's words that it can't reach the least score. So a copy is missed only if its edits leave no
-`SEED` words of the item side by side.
+`SEED` words of the item side by side. An item of fewer words is one seed: it matches where all of it stands.
 
-Scale: the test items are taken in blocks of at most `BLOCK` items, which bounds what is sent to tasks; per block there
-is one pass over the documents, without a shuffle. The join of seeds and the alignment happen where a document is read,
+Scale: the test items are taken in blocks of about `BLOCK` items or `BLOCK_CHARS` characters, which bounds what is sent to
+tasks; per block there is one pass over the documents, without a shuffle. The join of seeds and the alignment happen where a document is read,
 so a passage in a third of all documents costs no shuffle, and no two documents ever meet. A document with a seed that
 many items have is compared with each of them; matches are taken `HITS` at a time, which bounds their memory.
 """
@@ -25,7 +25,7 @@ from ._common import coded_words, hold_batches, mixed, slices, with_text
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
-BLOCK = 20_000
+BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 HITS = 500_000
 
 
@@ -39,9 +39,12 @@ class Items:
         self.ids = np.array(ids, np.int64)
         self.words = pc.unique(bare.filter(full))
         self.starts, self.codes = _known(starts, vocabulary, codes, self.words)
-        self.seeds = np.empty(0, np.uint64)
-        self.at = self.item = np.empty(0, np.int64)
-        h, at, item = _runs(self.starts, self.codes)
+        length = np.diff(self.starts)
+        runs = [_runs(self.starts, self.codes, n) for n in range(1, SEED + 1)]
+        # a seed of fewer words is one only for an item that has no more
+        runs = [[x[(length[run[2]] == n) | (n == SEED)] for x in run] for n, run in enumerate(runs, 1)]
+        self.lengths = [n for n, run in enumerate(runs, 1) if len(run[0])]
+        h, at, item = (np.concatenate(x) for x in zip(*runs, strict=True))
         order = np.argsort(h, kind="stable")
         self.seeds, self.at, self.item = h[order], at[order], item[order]
         owner = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
@@ -65,19 +68,19 @@ def _known(starts: np.ndarray, vocabulary: pa.Array, codes: np.ndarray, words: p
     return starts, out
 
 
-def _runs(starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word in its text, text) of every run of SEED known words. A text of fewer words has none."""
-    if len(codes) < SEED:
+def _runs(starts: np.ndarray, codes: np.ndarray, n: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word in its text, text) of every run of n known words. A text of fewer words has none."""
+    if len(codes) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    good = np.ones(len(codes) - SEED + 1, bool)
-    for k in range(SEED):
+    good = np.ones(len(codes) - n + 1, bool)
+    for k in range(n):
         good &= codes[k : len(good) + k] >= 0
     first = np.flatnonzero(good)
     text = np.searchsorted(starts, first, "right") - 1
-    inside = first + SEED <= starts[text + 1]
+    inside = first + n <= starts[text + 1]
     first, text = first[inside], text[inside]
-    h = np.zeros(len(first), np.uint64)
-    for k in range(SEED):
+    h = np.full(len(first), SEED - n, np.uint64)
+    for k in range(n):
         h = mixed(h * np.uint64(0x100000001B3) + codes[first + k].astype(np.uint64) + np.uint64(1))
     return h, first - starts[text], text
 
@@ -118,7 +121,7 @@ def _places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _candidates(items: Items, starts: np.ndarray, codes: np.ndarray, least: float) -> np.ndarray:
     """Rows (text, item, stretch): where a text has a seed of an item, and enough of its words for the least score."""
-    h, at, text = _runs(starts, codes)
+    h, at, text = (np.concatenate(x) for x in zip(*[_runs(starts, codes, n) for n in items.lengths], strict=True))
     low, high = np.searchsorted(items.seeds, h, "left"), np.searchsorted(items.seeds, h, "right")
     hits = np.flatnonzero(high > low)
     found = [np.empty((0, 3), np.int64)]
@@ -186,8 +189,8 @@ def _found(items: Items, texts: pa.Array, least: float):
 
 
 def _blocks(items: DataFrame, block: int):
-    n = items.count()
-    parts = max(1, -(-n // block))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // block), -(-chars // BLOCK_CHARS))
     for b in range(parts):
         mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == b)
         got = mine.toArrow()
@@ -209,8 +212,10 @@ def leaks(
 ) -> DataFrame:
     """One row per document row and test item whose score is `least` or more: id, item_id, score, end_word.
 
-    Null texts and items, and items of fewer than SEED words, match nothing. Null ids stay null; rows that repeat
-    each give their rows. end_word is the place after the passage's last word. Empty tables give no rows.
+    Null texts and items, and items without a word, match nothing; neither do items with a null id, which have no name
+    to report (`clean` uses them). An item of fewer than SEED words matches where all of them stand side by side. Null
+    document ids stay null; rows that repeat each give their rows. end_word is the place after the passage's last word.
+    Empty tables give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id is not null").distinct()
@@ -236,8 +241,12 @@ def leaks(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = SCORE, block: int = BLOCK) -> DataFrame:
-    """`docs` without the rows whose text holds a test item with score `least` or more; one pass per block."""
-    tests = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id is not null").distinct()
+    """`docs` without the rows whose text holds a test item with score `least` or more; one pass per block.
+
+    Items are taken by their text, whatever their id, null included. Null and empty texts, and documents when there is no
+    item, stay; rows that repeat stay or go together; null ids are like any other.
+    """
+    tests = benchmark.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct().select(F.xxhash64("text").alias("id"), "text")
     kept = docs
     for items in _blocks(tests, block):
         rows, at, _ = with_text(kept, kept.columns, text_col)

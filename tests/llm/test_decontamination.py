@@ -68,6 +68,7 @@ def test_against_plain_search(spark):
                 if score >= D.SCORE:
                     assert abs(pairs[i, k] - score) < 1e-9
         assert (102, 8) in pairs and sum(r["doc_id"] == 0 for r in got) == 2
+    b = b.filter("item_id is not null")
     bad = {r["doc_id"] for r in got}
     kept = D.clean(d, b)
     assert kept.columns == d.columns
@@ -112,6 +113,15 @@ def test_hits_in_parts(spark, monkeypatch):
     assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, D._found(coded, texts, D.SCORE), strict=True))
 
 
+def test_short_items_and_items_without_an_id(spark):
+    rows = [(1, "here are Two words, side by side"), (2, "two and words"), (3, "one"), (4, "a solo part"), (5, "x y z w v u"), (6, None), (7, ""), (None, "two words"), (4, "a solo part")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, "two words"), (2, "solo"), (None, "x y z w"), (3, "?!")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["score"]) for r in D.leaks(d, b).collect()), key=str)
+    assert got == sorted([(1, 1, 1.0), (4, 2, 1.0), (4, 2, 1.0), (None, 1, 1.0)], key=str)
+    assert sorted(r["doc_id"] for r in D.clean(d, b).collect()) == [2, 3, 6, 7]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
