@@ -6,9 +6,9 @@ that has bits. A page whose bits are all set in its block is a possible hit; onl
 hash join with the list itself, which removes false positives. So the result is exact, whatever the filter's
 rate of false positives.
 
-Scale: the filter has at most `MAX_BLOCKS` blocks (40 bytes each), so its size is bounded however long the list;
-it is broadcast for that. Distinct canonical URLs of the possible hits are formed per task before they are
-shuffled, so one URL on many pages is one row in the join.
+Scale: the filter is broadcast up to `BROADCAST_BLOCKS` blocks (40 bytes each); a longer list has a larger filter, which
+pages meet in a shuffled join, so it filters as well for any length. Distinct canonical URLs of the possible hits are
+formed per task before they are shuffled to the list; where pages join, the rows of one URL are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fresh
+from ._graph import salted
 
-#: Bits per listed URL when the filter isn't at its bound, bits per block, bits set per URL.
+#: Bits per listed URL, bits per block, bits set per URL.
 BITS_PER_URL, BLOCK, PROBES = 16, 256, 6
-MAX_BLOCKS = 1 << 18
+BROADCAST_BLOCKS = 1 << 18
 #: Query parameters that say how a reader came, not what the page is.
 TRACKING = r"utm_[a-z]+|ref|fbclid|gclid"
 
@@ -41,7 +42,7 @@ def canonical(url: Column) -> Column:
     """Host without www. and default port, path without a last slash, and the query's parameters but for tracking
     ones, sorted; scheme and fragment don't count. Null without ://."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
+    path = F.rtrim(path_of(url), F.lit("/"))
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})(=|$)"))
     asked = F.concat_ws("&", F.array_sort(kept))
@@ -98,11 +99,11 @@ def judge(
     (else it is counted).
     """
     n = listed.count() if listed_rows is None else listed_rows
-    blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_URL // BLOCK)))
+    blocks = max(1, -(-n * BITS_PER_URL // BLOCK))
     c_host, c_path, c_rule, c_verdict, c_possible, c_listed, c_canon, c_block, on_list, *c_words = fresh(
         pages, "host", "path", "rule", "verdict", "possible", "listed", "canon", "block", "on_list", "w0", "w1", "w2", "w3"
     )
-    canon_list = listed.select(canonical(F.col(listed_col)).alias("key")).filter("key is not null")
+    canon_list = listed.select(canonical(F.col(listed_col)).alias("key")).filter("key is not null").distinct()
     table = bloom(canon_list, "key", blocks).toDF(c_block, *c_words)
     url = F.col(url_col)
     host, path = host_of(url), path_of(url)
@@ -110,18 +111,23 @@ def judge(
     seen = pages.withColumns({c_host: host, c_path: path, c_canon: canonical(url)})
     seen = seen.withColumns({c_rule: rule, c_verdict: said})
     block, words = _block_and_bits(F.col(c_canon), blocks)
-    seen = seen.withColumn("_" + c_block, block).join(F.broadcast(table), F.col("_" + c_block) == F.col(c_block), "left")
+    seen = seen.withColumn(c_block, block)
+    if blocks <= BROADCAST_BLOCKS:
+        seen = seen.join(F.broadcast(table), c_block, "left")
+    else:  # pages without a URL are in no block; by number, so that they and those of one URL are in no single task
+        none = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30)).cast("int")
+        seen = salted(seen.withColumn(c_block, F.coalesce(c_block, none)), table, c_block, F.monotonically_increasing_id(), "left")
     all_set = F.lit(True)
     for have, want in zip(c_words, words, strict=True):
         all_set = all_set & (F.col(have).bitwiseAND(want) == want)
     seen = seen.withColumn(c_possible, F.coalesce(all_set & F.col(c_canon).isNotNull(), F.lit(False)))
-    seen = seen.drop("_" + c_block, c_block, *c_words)
+    seen = seen.drop(c_block, *c_words)
     hits = seen.filter(c_possible).select(F.col(c_canon).alias("key")).distinct()
-    true_hits = hits.join(canon_list, "key", "left_semi").select(F.col("key").alias(on_list))
-    checked = seen.filter(c_possible).join(true_hits, F.col(c_canon) == F.col(on_list), "left")
-    checked = checked.withColumn(c_listed, F.col(on_list).isNotNull()).drop(on_list)
+    true_hits = hits.join(canon_list, "key", "left_semi").select(F.col("key").alias(c_canon), F.lit(True).alias(on_list))
+    checked = salted(seen.filter(c_possible), true_hits, c_canon, F.monotonically_increasing_id(), "left")
+    checked = checked.withColumn(c_listed, F.coalesce(on_list, F.lit(False))).drop(on_list)
     rest = seen.filter(~F.col(c_possible)).withColumn(c_listed, F.lit(False))
-    both = checked.unionByName(rest)
+    both = checked.unionByName(rest).select(*pages.columns, c_host, c_path, c_rule, c_verdict, c_possible, c_listed)
     return both.withColumn(
         c_verdict, F.coalesce(c_verdict, F.when(F.col(c_listed), F.lit("block")).otherwise(F.lit("allow")))
-    ).drop(c_canon)
+    )

@@ -29,9 +29,11 @@ def plain_rule(host, path):
     return max(fits, key=lambda x: len(x[0])) if fits else (None, None)
 
 
-@pytest.mark.parametrize("blocks", [1, 1 << 18])
-def test_judge(spark, monkeypatch, blocks):
-    monkeypatch.setattr(url_filters, "MAX_BLOCKS", blocks)  # with one block nearly every page is a possible hit
+@pytest.mark.parametrize("bits, most", [(16, 1 << 18), (0, 1 << 18), (16, 0)])
+def test_judge(spark, monkeypatch, bits, most):
+    """As it is, with one block (nearly every page is a possible hit), and with a filter too large to be broadcast."""
+    monkeypatch.setattr(url_filters, "BITS_PER_URL", bits)
+    monkeypatch.setattr(url_filters, "BROADCAST_BLOCKS", most)
     urls = ODD + [f"http://h{i % 7}.example.org/p{i}" for i in range(400)]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string, Rule string")
     listed = spark.createDataFrame([(u,) for u in [*urls[::5], "http://a.com/p?a=1&b=2", None]], "url string")
@@ -48,7 +50,7 @@ def test_judge(spark, monkeypatch, blocks):
         assert (r["_host"], r["path"], r["_Rule" if "_Rule" in r else "_rule"]) == (host, path, rule)
         assert r["listed"] == on_list and (not on_list or r["possible"])
         assert r["verdict"] == (verdict or ("block" if on_list else "allow"))
-    if blocks == 1:
+    if bits == 0:
         assert sum(r["possible"] for r in found) > sum(r["listed"] for r in found)
 
 
@@ -58,6 +60,16 @@ def test_canonical_forms_agree(spark):
     assert rows.select(url_filters.canonical(F.col("url"))).distinct().count() == 1
 
 
+def test_long_urls_and_a_common_one(spark):
+    long = ["http://a.com/" + "/" * 500_000 + "x", "http://a.com/" + "/" * 500_000, "http://a.com/p?" + "&".join(f"k{i}=v" for i in range(50_000)), "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    many = spark.range(3000).select(F.col("id") + 10, F.lit("https://www.a.com/#top").alias("url")).toDF("page_id", "url")
+    listed = spark.createDataFrame([("http://a.com",)] * 20 + [(long[2],)], "url string")
+    rows = url_filters.judge(pages.union(many), listed, [])
+    assert rows.count() == 3004
+    assert {r["page_id"] for r in rows.filter("listed and page_id < 10").collect()} == {1, 2} and rows.filter("listed").count() == 3002
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
