@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, fresh
+from ._graph import salted
 
 BITS, FOLD = 9, 256
 #: A hash in the bucket that begins at lo and is 2 ** width wide (63: all).
 INSIDE = "shiftright(hash, width) = shiftright(lo, width)"
 WORDS = r"[^\x20\x09-\x0D]+"
-#: State is broadcast up to this size; beyond it, Spark chooses the join.
-BROADCAST_BYTES = 8 << 20
+#: State is broadcast up to this size; beyond it, it joins by shuffle, a source's rows being dealt to several tasks.
+BROADCAST_BYTES = 32 << 20
 
 
 def targets(sizes: dict, weights=(1, 2, 3), most: float = 3.0) -> dict:
@@ -48,11 +49,17 @@ def targets(sizes: dict, weights=(1, 2, 3), most: float = 3.0) -> dict:
     return out
 
 
-def _with_state(rows: DataFrame, states: list[tuple], schema: str) -> DataFrame:
-    state = rows.sparkSession.createDataFrame(states, schema).withColumnRenamed("source", "state_source")
-    if len(states) * (FOLD * 16 + 200) <= BROADCAST_BYTES:
-        state = F.broadcast(state)
-    return rows.join(state, F.col("source").eqNullSafe(F.col("state_source"))).drop("state_source")
+def _with_state(rows: DataFrame, states: list[tuple], schema: str, source: Column) -> DataFrame:
+    """`rows` with the columns of the state (source first in `states` and `schema`) of their source."""
+    state = rows.sparkSession.createDataFrame(states, schema)
+    name = state.columns[0]
+    size = sum(100 + 16 * sum(len(x) for x in s if isinstance(x, list)) for s in states)
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(state), source.eqNullSafe(F.col(name))).drop(name)
+    (key,) = fresh(rows, "key")
+    told = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("none"))
+    state = state.withColumn(key, told(F.col(name))).drop(name)
+    return salted(rows.withColumn(key, told(source)), state, key, F.monotonically_increasing_id()).drop(key)
 
 
 def _refined(sized: DataFrame, budgets: dict, rows: dict) -> dict:
@@ -66,7 +73,7 @@ def _refined(sized: DataFrame, budgets: dict, rows: dict) -> dict:
         for s, n in active.items():
             lo, width, left = state[s]
             asked.append((s, lo, width, max(0, width - min(BITS, math.ceil(math.log2(2 * n / FOLD)))), left))
-        inside = _with_state(sized, asked, "source string, lo long, width int, next int, left double").filter(INSIDE)
+        inside = _with_state(sized, asked, "state_source string, lo long, width int, next int, left double", F.col("source")).filter(INSIDE)
         sums = inside.groupBy("source", F.expr("shiftright(hash, next)").alias("bucket"), "next", "left").agg(
             F.sum("size").alias("words"), F.count("*").alias("n")
         )
@@ -94,7 +101,7 @@ def _refined(sized: DataFrame, budgets: dict, rows: dict) -> dict:
 
 def _folded(sized: DataFrame, state: dict) -> dict:
     """Per source, what of its boundary bucket is taken: [(hash, rows taken of it, rows that there are)]."""
-    rows = _with_state(sized, [(s, *x) for s, x in state.items()], "source string, lo long, width int, left double")
+    rows = _with_state(sized, [(s, *x) for s, x in state.items()], "state_source string, lo long, width int, left double", F.col("source"))
     same = (
         rows.filter(INSIDE)
         .groupBy("source", "hash", "size", "left")
@@ -164,10 +171,7 @@ def mix(
     names = fresh(docs, "source_size", "target", "times", "below", "whole", "some", "state_source")
     s_size, s_target, s_times, s_below, s_hashes, s_counts, s_source = names
     schema = f"`{s_source}` string, `{s_size}` long, `{s_target}` double, `{s_times}` int, `{s_below}` long, `{s_hashes}` array<long>, `{s_counts}` array<long>"
-    table = docs.sparkSession.createDataFrame(states, schema)
-    if len(states) * (FOLD * 16 + 200) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    joined = rows.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(s_source)))
+    joined = _with_state(rows, states, schema, F.col(source_col).cast("string"))
     # like rows of the last bucket: so many of them as were counted; an index within the like rows of one task's
     # share, since any of them stands for the others
     place = F.array_position(s_hashes, F.col(hashed)).cast("int")

@@ -57,6 +57,35 @@ def test_sources(spark, monkeypatch, fold):
     assert sorted(map(str, rows)) == sorted(map(str, mixed(spark, texts[::-1]).repartition(7).collect()))
 
 
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_which_rows_are_taken(spark, monkeypatch, most):
+    """The choice, worked out by hand: rows below the threshold in hash order, then those of the last bucket that fit."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", most)
+    texts = [(i, "hot" if i % 3 else None if i % 2 else f"s{i % 5}", "w " * (i * 7 % 40)) for i in range(1500)] + [(1, "s9", "long " * 200_000)]
+    df = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    hashed = df.select("*", F.shiftrightunsigned(F.xxhash64("doc_id", "source", "text"), 1).alias("h"), F.size(F.split(F.trim("text"), " ")).alias("n")).collect()
+    got = {(r["doc_id"], r["source"]): r for r in mixed(spark, texts).collect()}
+    for source in {t[1] for t in texts}:
+        rows = sorted((r["h"], 0 if not r["text"] else r["n"], r["doc_id"]) for r in hashed if r["source"] == source)
+        size, target = sum(n for _, n, _ in rows), got[rows[0][2], source]["target"]
+        times = min(3, int(target // size)) if size else 0
+        left, more = target - times * size, [got[i, source]["taken"] - times * n for _, n, i in rows]
+        taken = [k for k, (_, n, _) in enumerate(rows) if n and more[k] == n]
+        assert all(m in (0, n) for m, (_, n, _) in zip(more, rows, strict=True)) and sum(more) <= left + 1e-6
+        # up to the first row that is passed over all are taken; after the last one that is taken none is
+        passed = [k for k, (_, n, _) in enumerate(rows) if n and not more[k]]
+        upto, k = 0, 0
+        while passed and k < passed[0]:
+            upto, k = upto + rows[k][1], k + 1
+        assert not passed or upto + rows[passed[0]][1] > left
+        assert not taken or not passed or taken[-1] - passed[0] <= mixing.FOLD
+
+
+def test_many_sources(spark):
+    texts = [(i, f"s{i}", "a b c") for i in range(3000)] + [(i, "hot", "x y") for i in range(1500)]
+    check(mixed(spark, texts).collect(), texts, lambda s, t: 3)
+
+
 def test_like_rows(spark):
     """A third of all rows are the same one: just some of them are taken."""
     texts = [(7, "a", "x y z")] * 500 + [(i, "b", "u v " * 3) for i in range(900)] + [(9, "c", "p q")] * 30
