@@ -9,8 +9,6 @@ mix           sources are brought to their target weights
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, ngram_jaccard, quality, secret_scans
-from quarry.llm._common import crc_of, fresh, table
+from quarry.llm._common import crc_of, fresh, shared_folder, table
 from quarry.llm.queries import labelled
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -76,8 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each read from what the one before has written in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    out = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
