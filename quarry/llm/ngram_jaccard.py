@@ -38,7 +38,7 @@ from ._common import cut, fresh, hold_batches, mixed, ngrams, slices, word_hashe
 from ._graph import components, salted
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 20, 8, 0.999
+TREES, DEPTH, RECALL = 20, 7, 0.999
 #: Most classes of a node that is dealt as it is.
 SMALL = 16
 #: Most shingles and most classes of a block, on average, and most blocks of a group.
@@ -358,43 +358,42 @@ def _verified(level: int, floor: int, similarity: float):
     return verify
 
 
+def _thick(members: DataFrame) -> DataFrame:
+    """(class, comp): classes that larger nodes, of whatever level, connect."""
+    thick = members.filter(F.col("n") > SMALL).select("key", "class")
+    least = thick.groupBy("key").agg(F.min("class").alias("least"))
+    stars = salted(thick, least, "key", F.col("class")).filter("class <> least")
+    comps = components(stars.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    return comps.select(F.col("node").alias("class"), F.shiftrightunsigned(F.xxhash64("label"), 1).alias("comp"))
+
+
 def _groups(here: DataFrame) -> DataFrame:
     """(group, tree, comp, class, size, active): what is verified together. tree is -1 for a group of classes that larger
     nodes connect; in a single node, comp says which classes have such a group."""
-    node = [F.col("key").alias("group"), "tree"]
     rest = ["class", "size", "active"]
-    none = F.lit(None).cast("long").alias("comp")
-    thick = here.filter(F.col("n") > SMALL)
-    if thick.isEmpty():
-        return here.select(*node, none, *rest)
-    least = thick.groupBy("key").agg(F.min("class").alias("least"))
-    stars = salted(thick.select("key", "class"), least, "key", F.col("class")).filter("class <> least")
-    comps = components(stars.select(F.col("class").alias("a"), F.col("least").alias("b")).distinct())
-    comps = comps.select(F.col("node").alias("class"), F.shiftrightunsigned(F.xxhash64("label"), 1).alias("comp"))
-    joined = here.join(comps, "class", "left")
-    inside = joined.filter("comp is not null").select("comp", *rest).distinct()
+    inside = here.filter("comp is not null").select("comp", *rest).distinct()
     blocks = F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_ROWS)
     whole = inside.groupBy("comp").agg(blocks.alias("blocks")).filter(F.col("blocks") <= MOST_BLOCKS).select("comp", F.lit(True).alias("whole"))
-    joined = cut(salted(joined, whole, "comp", F.col("class"), "left").withColumn("comp", F.when(F.col("whole"), F.col("comp"))))
+    joined = salted(here, whole, "comp", F.col("class"), "left").withColumn("comp", F.when(F.col("whole"), F.col("comp")))
     single = joined.filter((F.col("n") <= SMALL) | F.col("comp").isNull())
-    mixed_ = single.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("out"))
-    mixed_ = mixed_.filter("out > 0 or low <> high").select("key")  # in others, all are of one group
-    single = salted(single, mixed_, "key", F.col("class"))
-    return single.select(*node, "comp", *rest).union(
-        joined.filter("comp is not null").select(F.col("comp").alias("group"), F.lit(-1).alias("tree"), none, *rest).distinct()
+    several = single.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("out"))
+    several = several.filter("out > 0 or low <> high").select("key")  # in others, all are of one group
+    single = salted(single, several, "key", F.col("class"))
+    return single.select(F.col("key").alias("group"), "tree", "comp", *rest).union(
+        joined.filter("comp is not null").select(F.col("comp").alias("group"), F.lit(-1).alias("tree"), F.lit(None).cast("long").alias("comp"), *rest).distinct()
     )
 
 
 def _links_at(here: DataFrame, sets: DataFrame, level: int, floor: int, similarity: float) -> DataFrame:
     """class, root, links, number, stand: the links found at one level."""
     groups = cut(_groups(here))
-    needed = F.ceil(F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_ROWS))
-    large = groups.groupBy("group").agg(needed.cast("int").alias("blocks")).filter("blocks > 1")
+    needed = F.ceil(F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_ROWS)).cast("int")
+    large = groups.groupBy("group").agg(needed.alias("blocks")).filter("blocks > 1")
+    total = groups.agg(F.sum("size").alias("w"), F.count("*").alias("rows")).first()
+    units = max(1, math.ceil((total["w"] or 0) / BLOCK), math.ceil(total["rows"] / BLOCK_ROWS))
     groups = salted(groups, large, "group", F.col("class"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    groups = cut(groups.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int")))
+    groups = groups.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
     alone = F.col("blocks") == 1
-    total = groups.filter(alone).agg(F.sum("size").alias("w"), F.count("*").alias("rows")).first()
-    units = max(1, math.ceil((total["w"] or 0) / BLOCK), math.ceil(total["rows"] / BLOCK_ROWS))
     # a group of one block goes to a unit with others, a larger one to a unit per pair of its blocks
     spread = groups.withColumn("other", F.explode(F.when(alone, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = spread.select(
@@ -415,23 +414,21 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float,
     floor = depth_for(similarity, recall)
     members = cut(_members(_nodes(classes, floor)))
     sets = _sets_of(rows, members.select("class").distinct().join(classes, "class"), words)
-    found = content = None
+    members = members.join(_thick(members), "class", "left")
+    found = None
     for level in range(DEPTH, floor - 1, -1):
         here = members.filter(F.col("level") == level)
-        if content is None:
+        if found is None:
             here = here.withColumn("active", F.lit(True))
         else:
+            per = found.groupBy("class").agg(F.sum("number").alias("n"), F.sum(F.get("stand", F.lit(DEPTH - level - 1))).alias("of"))
+            content = per.filter(F.col("n") >= recall * F.col("of")).select("class", F.lit(True).alias("content"))
             here = here.join(content, "class", "left").withColumn("active", F.col("content").isNull()).drop("content")
+            here = cut(here)
             asked = here.filter("active").select("key").distinct()
-            here = cut(salted(here, asked, "key", F.col("class")))
-        if here.isEmpty():
-            continue
+            here = salted(here, asked, "key", F.col("class"))
         new = cut(_links_at(here, sets, level, floor, similarity))
         found = new if found is None else found.union(new)
-        per = found.groupBy("class").agg(F.sum("number").alias("n"), F.sum(F.get("stand", F.lit(DEPTH - level))).alias("of"))
-        content = cut(per.filter(F.col("n") >= recall * F.col("of")).select("class", F.lit(True).alias("content")))
-    if found is None:
-        return classes.select("class", F.col("class").alias("label"), F.lit(0).cast("long").alias("links")).filter(F.lit(False))
     labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     return sums.join(labels.select(F.col("node").alias("class"), "label"), "class")
