@@ -24,8 +24,11 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def with_similarity(chunks: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
-    """Chunks that have a comparable vector, with their cosine; null and zero vectors are left out."""
+def with_similarity(chunks: DataFrame, query: list[float] | None, vector: str = "embedding") -> DataFrame:
+    """Chunks that have a comparable vector, with their cosine; null and zero vectors are left out. Without a query (None)
+    there are none."""
+    if query is None:
+        return chunks.withColumn("similarity", F.lit(None).cast("double")).filter(F.lit(False))
     q = V.literal(query)
     return chunks.withColumn("similarity", F.round(V.cosine(F.col(vector), q), DIGITS)).filter("similarity is not null and not isnan(similarity)")
 
@@ -216,15 +219,22 @@ def overlap_score(query: str, document: Column) -> Column:
 
 
 def rank_changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, old_rank, new_rank, change) of the rows that both lists (id, score) have."""
-    rank = lambda df, name: df.withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), id_col))).select(id_col, name)
-    both = rank(before, "old_rank").join(rank(after, "new_rank"), id_col)
-    return both.withColumn("change", F.col("old_rank") - F.col("new_rank"))
-
-
-def rerank_metrics(changes: DataFrame) -> DataFrame:
+    """(id, old_rank, new_rank, change) of the rows of the list `after` (id, score); places count from 0, a row moved up has
+    a negative change, and one that `before` lacks has none. Both are lists of best results, as `top` gives them."""
+    rank = lambda df, name: df.withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).select(id_col, name)
+    both = rank(after, "new_rank").join(rank(before, "old_rank"), id_col, "left")
+    return both.select(id_col, "old_rank", "new_rank", (F.col("new_rank") - F.col("old_rank")).alias("change"))
+
+
+def rerank_metrics(changes: DataFrame, id_col: str = "id", risers: int = 3) -> DataFrame:
+    """One row: mean change over all reranked rows (a row without an old place counts as 0), how many changed place, how
+    many there are, and the rows that rose most, as id:from:to, comma-joined."""
+    rise = F.when(F.col("change") < 0, F.struct("change", "new_rank", "old_rank", F.col(id_col).alias("id")))
+    best = F.slice(F.array_sort(F.collect_list(rise)), 1, risers)
+    told = F.transform(best, lambda x: F.concat_ws(":", x["id"].cast("string"), x["old_rank"].cast("string"), x["new_rank"].cast("string")))
     return changes.agg(
-        F.round(F.coalesce(F.avg(F.abs("change")), F.lit(0.0)), 6).alias("avg_change"), F.count_if(F.col("change") != 0).alias("reordered"), F.count("*").alias("n")
+        F.round(F.coalesce(F.try_divide(F.sum("change").cast("double"), F.count("*").cast("double")), F.lit(0.0)), 6).alias("avg_change"),
+        F.count_if(F.col("change") != 0).alias("reordered"), F.count("*").alias("n"), F.array_join(told, ",").alias("risers"),
     )
 
 

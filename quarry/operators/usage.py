@@ -151,23 +151,28 @@ def unseen(new: DataFrame, history: DataFrame, content: str) -> DataFrame:
 
 
 def subscription_states(events: DataFrame, key: str, kind: str, order: str) -> DataFrame:
-    """(key, status, plan) after all events of a subscription: created and updated set both; payment_failed makes it
-    past_due; payment_succeeded makes a past_due one active; deleted makes it free and canceled.
+    """(key, status, plan) after all events of a subscription. created makes it, with its status (or active) and plan (or
+    plus); while it is there, updated sets both, payment_failed makes it past_due, payment_succeeded makes a past_due one
+    active, and deleted makes it free and canceled. Events of one that isn't there, not yet or no longer, change nothing.
 
-    The last events that set the status and the plan, and the last payment, say it all, so no key's events are gathered."""
+    The last events that make it, end it, set the status and the plan, and the last payment, say it all, so no key's
+    events are gathered. A subscription that is there has been made after it was last deleted, which set both."""
     k, row = F.col(kind), F.struct(F.col(order).alias("o"), F.col(kind).alias("kind"), F.col("plan"), F.col("status"))
     last = lambda which: F.max(F.when(which, row))
-    given = k.isin("created", "updated")
     found = events.groupBy(key).agg(
-        last((given & F.col("status").isNotNull()) | k.isin("deleted", "payment_failed")).alias("s"),
-        last((given & F.col("plan").isNotNull()) | (k == "deleted")).alias("p"),
+        last(k == "created").alias("made"),
+        last(k == "deleted").alias("ended"),
+        last(k.isin("created", "payment_failed") | ((k == "updated") & F.col("status").isNotNull())).alias("s"),
+        last((k == "created") | ((k == "updated") & F.col("plan").isNotNull())).alias("p"),
         last(k == "payment_succeeded").alias("paid"),
     )
-    s, said = F.col("s.kind"), F.col("s.status")
-    status = F.when(s == "deleted", "canceled").when(s == "payment_failed", "past_due").otherwise(F.coalesce(said, F.lit("none")))
-    plan = F.when(F.col("p.kind") == "deleted", "free").otherwise(F.coalesce("p.plan", F.lit("free")))
-    paid = (status == "past_due") & F.coalesce(F.col("paid") > F.col("s"), F.lit(False))
-    return found.select(key, F.when(paid, "active").otherwise(status).alias("status"), plan.alias("plan"))
+    status = F.when(F.col("s.kind") == "payment_failed", "past_due").otherwise(F.coalesce("s.status", F.lit("active")))
+    status = F.when((status == "past_due") & F.coalesce(F.col("paid") > F.col("s"), F.lit(False)), "active").otherwise(status)
+    never, over = F.col("made").isNull(), F.coalesce(F.col("ended") > F.col("made"), F.lit(False))
+    return found.select(
+        key, F.when(never, "none").when(over, "canceled").otherwise(status).alias("status"),
+        F.when(never | over, "free").otherwise(F.coalesce("p.plan", F.lit("plus"))).alias("plan"),
+    )
 
 
 # Dollars per million tokens in and out.

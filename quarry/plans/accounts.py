@@ -281,6 +281,12 @@ _M = f"{_Q}, m as (select id, q, {_PICK(1, _lit('moderate'))} complexity, {_PICK
 _AGO = "floor(epoch(timestamp '{0}' - {1}))::bigint"
 
 SQL = {
+    "subscription_states": """with e as (select user_id, event_id o, case event_type when 'signup' then 'created' when 'view' then 'payment_succeeded' when 'click' then 'payment_failed'
+when 'purchase' then 'updated' else 'deleted' end kind, case when json_extract(props, '$.k')::bigint > 50 then 'pro' else 'plus' end plan from events),
+g as (select user_id, max(o) filter (kind = 'created') made, max(o) filter (kind = 'deleted') ended, max(o) filter (kind = 'payment_succeeded') paid, max(o) filter (kind = 'payment_failed') failed,
+max(o) filter (kind in ('created', 'updated')) given from e group by 1)
+select g.user_id, case when made is null then 'none' when ended > made then 'canceled' when failed > given and not coalesce(paid > failed, false) then 'past_due' else 'active' end status,
+case when made is null or ended > made then 'free' else plan end plan from g left join e on e.user_id = g.user_id and e.o = given""",
     "usage_total": f"with {_U} select {_SUM} from u",
     "usage_by_type": f"with {_U} select event_type, {_SUM} from u group by 1",
     "usage_by_model": f"with {_U} select model, {_SUM} from u group by 1",

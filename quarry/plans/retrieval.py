@@ -17,8 +17,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _first_vector(spark: SparkSession, d: str) -> list[float]:
-    return list(_vectors(spark, d).filter("id = 0").first()["embedding"])
+def _first_vector(spark: SparkSession, d: str) -> list[float] | None:
+    row = _vectors(spark, d).filter("id = 0 and embedding is not null").first()
+    return None if row is None else list(row["embedding"])
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,8 @@ def knn_threshold(spark, d):
 def _centres(spark, d) -> DataFrame:
     """One query per label: the mean vector of its rows, a set as large as the number of labels."""
     v = _vectors(spark, d).filter("label is not null")
-    size = v.select(F.size("embedding")).first()[0]
+    first = v.select(F.size("embedding")).first()
+    size = first[0] if first else 0
     return v.groupBy(F.col("label").cast("long").alias("qid")).agg(V.mean_vector("embedding", size).alias("query"))
 
 
@@ -147,17 +149,23 @@ def union_strategy(spark, d):
     return R.top(R.dedupe_best(meta.unionByName(vec), "ord").select("id", "score"), 20, F.desc("score"), F.col("id"))
 
 
-def rerank_results(spark, d):
-    fused = R.hybrid_rrf(*_legs(spark, d), 50).select("id", F.col("combined_score").alias("score"))
+def _fused(spark, d) -> DataFrame:
+    return R.hybrid_rrf(*_legs(spark, d), 50).select("id", F.col("combined_score").alias("score"))
+
+
+def _reranked(spark, d, fused: DataFrame) -> DataFrame:
     docs = _docs(spark, d).select("id", "text").join(F.broadcast(fused), "id")
     return R.rerank(docs, R.overlap_score("the and onen reth thon", F.col("text")), 10).select("id", "score", "original_score")
 
 
+def rerank_results(spark, d):
+    return _reranked(spark, d, _fused(spark, d))
+
+
 def rerank_metrics(spark, d):
-    vec, txt = _legs(spark, d)
-    a = R.top(vec.select("id", F.col("similarity").alias("score")), 400, F.desc("score"), F.col("id"))
-    b = R.top(txt, 400, F.desc("score"), F.col("id"))
-    return R.rerank_metrics(R.rank_changes(a, b))
+    """What reranking did to the fused list."""
+    fused = _fused(spark, d)
+    return R.rerank_metrics(R.rank_changes(fused, _reranked(spark, d, fused)))
 
 
 QUERIES = [
@@ -244,7 +252,11 @@ m as (select id, max(score)::double score from u group by id) select * from m or
     "rerank_results": f"""with {_RRF}, f as (select id, combined_score original_score from rrf order by combined_score desc, id limit 50),
 s as (select f.id, round(len(list_intersect(list_distinct({_W.format('text')}), ['the', 'and', 'onen', 'reth', 'thon'])) / 5.0::double, 9) score, original_score
 from f join documents on doc_id = f.id) select * from s order by score desc, id limit 10""",
-    "rerank_metrics": f"""with {_VEC}, {_TXT}, a as (select id, row_number() over (order by similarity desc, id) o from vec qualify o <= 400),
-b as (select id, row_number() over (order by score desc, id) n from txt qualify n <= 400), c as (select o - n change from a join b using (id))
-select round(coalesce(avg(abs(change)), 0), 6) avg_change, count(*) filter (change <> 0) reordered, count(*) n from c""",
+    "rerank_metrics": f"""with {_RRF}, f as (select id, combined_score from rrf order by combined_score desc, id limit 50),
+s as (select f.id, round(len(list_intersect(list_distinct({_W.format('text')}), ['the', 'and', 'onen', 'reth', 'thon'])) / 5.0::double, 9) score
+from f join documents on doc_id = f.id), t as (select * from s order by score desc, id limit 10),
+o as (select id, row_number() over (order by combined_score desc, id) - 1 o from f), n as (select id, row_number() over (order by score desc, id) - 1 n from t),
+c as (select id, o, n, n - o change from n left join o using (id))
+select round(coalesce(sum(change)::double / nullif(count(*), 0), 0), 6) avg_change, count(*) filter (change <> 0) reordered, count(*) n,
+coalesce((select string_agg(id || ':' || o || ':' || n, ',' order by change, n) from (select * from c where change < 0 order by change, n limit 3)), '') risers from c""",
 }

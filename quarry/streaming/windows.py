@@ -34,7 +34,11 @@ def sessions(events: DataFrame, gap: str = "6 hours", by: str = "user_id", late:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streams-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="streams-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

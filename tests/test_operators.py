@@ -245,11 +245,14 @@ def test_subscriptions_against_fold(spark):
     want = {}
     for k, _, kind, plan, status in sorted(rows, key=lambda row: (row[0], low(row))):
         s, p = want.get(k, ("none", "free"))
-        if kind in ("created", "updated"):
+        there = s not in ("none", "canceled")
+        if kind == "created":
+            s, p = status or "active", plan or "plus"
+        elif there and kind == "updated":
             s, p = status or s, plan or p
-        elif kind == "payment_failed" or (kind == "payment_succeeded" and s == "past_due"):
+        elif there and (kind == "payment_failed" or (kind == "payment_succeeded" and s == "past_due")):
             s = "past_due" if kind == "payment_failed" else "active"
-        elif kind == "deleted":
+        elif there and kind == "deleted":
             s, p = "canceled", "free"
         want[k] = (s, p)
     df = spark.createDataFrame(rows, "id long, o long, kind string, plan string, status string")
@@ -265,12 +268,25 @@ def test_sliding_window_edge(spark):
 def test_subscriptions(spark):
     events = [(1, "created", "pro", "active"), (2, "payment_failed", None, None), (3, "payment_succeeded", None, None), (4, "deleted", None, None), (5, "payment_succeeded", None, None), (6, "updated", "plus", None)]
     df = spark.createDataFrame(events, "o long, kind string, plan string, status string").withColumn("id", F.lit(1))
-    want = [("active", "pro"), ("past_due", "pro"), ("active", "pro"), ("canceled", "free"), ("canceled", "free"), ("canceled", "plus")]
+    want = [("active", "pro"), ("past_due", "pro"), ("active", "pro"), ("canceled", "free"), ("canceled", "free"), ("canceled", "free")]
     for n, w in enumerate(want, 1):
         r = usage.subscription_states(df.filter(F.col("o") <= n), "id", "kind", "o").first()
         assert (r["status"], r["plan"]) == w
 
 
+def test_rerank_metrics(spark):
+    before = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.7), ("d", 0.6), ("e", 0.5)], "id string, score double")
+    after = spark.createDataFrame([("e", 5.0), ("d", 4.0), ("a", 3.0), ("x", 2.0)], "id string, score double")
+    r = retrieval.rerank_metrics(retrieval.rank_changes(before, after)).first()
+    assert tuple(r) == (-1.0, 3, 4, "e:4:0,d:3:1")  # changes -4, -2, 2, and none for x
+    assert tuple(retrieval.rerank_metrics(retrieval.rank_changes(before, after.filter("false"))).first()) == (0.0, 0, 0, "")
+
+
+def test_search_without_a_query_vector(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    assert retrieval.knn(rows, None).count() == 0
+
+
 def test_limits(spark):
     accounts = spark.createDataFrame([(1, "free"), (2, "pro"), (3, "odd")], "user_id long, plan string").withColumn("period_start", F.to_timestamp(F.lit("2024-01-01")))
     used = spark.createDataFrame([(1, 40_000), (2, 1), (2, 2)], "user_id long, tokens long").withColumn("ts", F.to_timestamp(F.lit("2024-01-02")))
