@@ -133,6 +133,12 @@ def path_patterns(patterns: Column, architecture: Column) -> Column:
     return F.array_distinct(F.concat(given, F.when(architecture, more).otherwise(F.array().cast("array<string>"))))
 
 
+def search_words(keywords: Column, concepts: Column) -> Column:
+    """What an expanded question searches for: keywords, then concepts."""
+    none = F.array().cast("array<string>")
+    return F.array_join(F.concat(F.coalesce(keywords, none), F.coalesce(concepts, none)), " ")
+
+
 def strategy(question: Column, subject_: Column, patterns: Column | None = None, hybrid_v2: bool = True, forced: Column | None = None) -> Column:
     """forced, else symbol for one identifier, expanded with patterns of an expansion, metadata for a list of a known
     subject, hybrid_v2 if it is on, hybrid for a known subject, else vector."""

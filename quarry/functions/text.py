@@ -186,3 +186,47 @@ def is_uuid(text: Column) -> Column:
 def sections(*parts: Column) -> Column:
     """Non-empty parts with an empty line between them, as prompts are put together."""
     return F.concat_ws("\n\n", *[F.when(F.length(p) > 0, p) for p in parts])
+
+
+def _lines(start: Column, end: Column, before: str, between: str) -> Column:
+    one = F.concat(F.lit(before), start.cast("string"))
+    both = F.concat(one, F.lit(between), end.cast("string"))
+    return F.when(start.isNull(), "").when(end != start, both).otherwise(one)
+
+
+def line_range(start: Column, end: Column) -> Column:
+    """:5 or :5-9; empty without a line."""
+    return _lines(start, end, ":", "-")
+
+
+def line_hash(start: Column, end: Column) -> Column:
+    """#L5 or #L5-L9, the mark of lines in a link; empty without a line."""
+    return _lines(start, end, "#L", "-L")
+
+
+def owner_of(full_name: Column) -> Column:
+    return F.get(F.split(full_name, "/"), F.lit(0))
+
+
+def repository_of(full_name: Column) -> Column:
+    """What stands behind the first slash, up to the next; null without one."""
+    return F.get(F.split(full_name, "/"), F.lit(1))
+
+
+def short_sha(sha: Column) -> Column:
+    return F.substring(sha, 1, 7)
+
+
+def has_newer(indexed: Column, latest: Column) -> Column:
+    """Whether the latest commit is another than the indexed one; null if either isn't known."""
+    return latest != indexed
+
+
+def indexing_time(lines: Column) -> Column:
+    """A rough time for so many lines, at 1,000 a second, as shown to readers."""
+    up = lambda c, by: F.ceil(c / F.lit(float(by))).cast("long")
+    seconds = up(lines, 1000)
+    minutes = up(seconds, 60)
+    hours = up(minutes, 60)
+    many = lambda n, unit: F.concat(F.lit("~"), n.cast("string"), F.lit(" " + unit), F.when(n > 1, "s").otherwise(""))
+    return F.when(seconds < 60, F.concat(F.lit("~"), seconds.cast("string"), F.lit(" secondes"))).when(minutes < 60, many(minutes, "minute")).otherwise(many(hours, "heure"))

@@ -42,6 +42,73 @@ def grouped_pack(chunks: DataFrame, budget_tokens: int, path: str, start: str, t
     return rows.withColumn("context", F.array_join(F.transform("c", lambda x: x["text"]), "\n")).drop("c")
 
 
+# What stands around the chunks of a context, by language; {n} and {of} are how many it has, and of how many.
+FRAMES = {
+    "fr": {
+        "head": ("## Code source pertinent", "J'ai trouve {of} section(s) de code pertinente(s) dans le repository:"),
+        "note": "_Note: {n}/{of} sections affichees (limite de tokens atteinte)_",
+        "end": ("Utilise ces informations pour repondre avec precision.", "Cite toujours les fichiers avec le format `[chemin:lignes]`."),
+        "none": "Aucun code pertinent trouve dans le repository.",
+    },
+    "en": {
+        "head": ("## Relevant Source Code", "Found {of} relevant code section(s) in the repository:"),
+        "note": "_Note: Showing {n}/{of} sections (token limit reached)_",
+        "end": ("Use this information to answer accurately.", "Always cite files using the format `[path:lines]`."),
+        "none": "No relevant code found in the repository.",
+    },
+}
+TOKENS_OF_NONE = 10
+
+
+def _filled(pattern: str, **values: Column) -> Column:
+    out = F.lit(pattern)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def whole(chunks: DataFrame, by: list[str], budget_tokens: int, path: str, start: str, order: str, formatted: Column, grouped: bool = True, language: str = "fr") -> DataFrame:
+    """One row per group (a question): its whole `context` with head and end, `n_included`, `n_total`, `tokens`, `truncated`,
+    and `files`, the distinct paths of as many chunks as were included, in their own order.
+
+    Chunks (unique `order` in a group) are taken in that order or, if grouped, file by file in order of their first chunk
+    and by line inside, each file under its path, up to the first that overflows 4 characters a token less the head and
+    the reserve. Only texts that fit are gathered, so a group's row is no larger than its budget. Without groups (`by` empty) an empty
+    table gives the message for no chunks.
+    """
+    frame, keys = FRAMES[language], list(by)
+    line = F.concat(F.lit("## 📄 "), F.col(path), F.lit("\n\n"))
+    rows = chunks.select(*keys, F.col(path).alias("_path"), F.col(start).alias("_start"), F.col(order).alias("_ord"), formatted.alias("_body"), line.alias("_line"))
+    group, file = Window.partitionBy(*keys), Window.partitionBy(*keys, "_path")
+    first = F.min("_ord").over(file)
+    opens = F.row_number().over(file.orderBy("_start", "_ord")) == 1
+    rows = rows.withColumns({"_of": F.count("*").over(group), "_o": F.row_number().over(group.orderBy("_ord"))})
+    rows = rows.withColumns({"_first": first, "_open": opens & F.lit(grouped)})
+    walk = group.orderBy("_first", "_start", "_ord") if grouped else group.orderBy("_ord")
+    head = F.concat(F.lit(frame["head"][0] + "\n\n"), _filled(frame["head"][1], of=F.col("_of")), F.lit("\n"))
+    piece = F.when(F.col("_open"), F.concat("_line", "_body")).otherwise(F.col("_body"))
+    rows = rows.withColumns({"_piece": piece, "_i": F.row_number().over(walk)}).withColumn("_head", head)
+    used = F.sum(F.length("_piece")).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = used <= budget_tokens * 4 - F.length("_head") - RESERVE
+    parted = F.when((F.col("_i") > 1) & (F.col("_open") if grouped else F.lit(True)), F.lit("\n")).otherwise(F.lit(""))
+    rows = rows.withColumn("_fits", fits).withColumn("_piece", F.concat(parted, "_piece"))
+    ordered = lambda when, *what: F.array_sort(F.collect_list(F.when(when, F.struct(*what))))
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_total"), F.count_if("_fits").alias("n_included"), F.first("_head").alias("_head"), ordered(F.col("_fits"), "_i", "_piece").alias("_pieces"),
+        # each chunk that fits has a character at least
+        ordered(F.col("_o") <= budget_tokens * 4, "_o", "_path").alias("_paths"),
+    )
+    found = found.withColumn("truncated", F.col("n_included") < F.col("n_total"))
+    shown = F.array_join(F.transform("_pieces", lambda x: x["_piece"]), "")
+    note = F.when(F.col("truncated"), F.concat(_filled(frame["note"], n=F.col("n_included"), of=F.col("n_total")), F.lit("\n\n"))).otherwise(F.lit(""))
+    text = F.concat("_head", F.lit("\n"), shown, F.lit("\n---\n"), note, F.lit("\n".join(frame["end"])))
+    none = F.col("n_total") == 0
+    files = F.array_distinct(F.transform(F.filter("_paths", lambda x: x["_o"] <= F.col("n_included")), lambda x: x["_path"]))
+    out = found.withColumn("context", F.when(none, F.lit(frame["none"])).otherwise(text))
+    tokens = F.when(none, F.lit(TOKENS_OF_NONE)).otherwise(F.ceil(F.length("context") / F.lit(4.0))).cast("long")
+    return out.select(*keys, "context", "n_included", "n_total", tokens.alias("tokens"), "truncated", files.alias("files"))
+
+
 def minimal(chunks: DataFrame, path: str, symbol: str, start: str, most: int = 5) -> DataFrame:
     """(path, symbols): the first symbols of each file, null ones left out."""
     rows = chunks.filter(F.col(symbol).isNotNull())

@@ -6,10 +6,14 @@ columns join after it, by id, to the few rows that are left.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
@@ -72,7 +76,7 @@ def text_search(chunks: DataFrame, query: str, fields: dict[str, tuple[Column, s
 
     Counted inside each row: a search needs no shuffle but its top-k.
     """
-    wanted = sorted(set(_query_words(query)))
+    wanted = sorted(set(query_words(query)))
     if not wanted:
         return chunks.select(id_col, F.lit(0.0).alias("score")).filter(F.lit(False))
     arrays = {name: T.words(c) for name, (c, _) in fields.items()}
@@ -87,7 +91,7 @@ def text_search(chunks: DataFrame, query: str, fields: dict[str, tuple[Column, s
     return rows.filter(has_all).select(id_col, score.alias("score"))
 
 
-def _query_words(query: str) -> list[str]:
+def query_words(query: str) -> list[str]:
     import re
 
     return re.findall(r"[^\W_]+", re.sub(r"[^\w\s]", " ", query.lower()))
@@ -95,7 +99,7 @@ def _query_words(query: str) -> list[str]:
 
 def bm25(chunks: DataFrame, query: str, text: Column, id_col: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the chunks that hold any word of the query, by BM25."""
-    wanted = sorted(set(_query_words(query)))
+    wanted = sorted(set(query_words(query)))
     count = lambda word: F.size(F.filter("w", lambda t: t == word))
     rows = chunks.select(id_col, T.words(text).alias("w")).select(
         id_col, F.size("w").alias("n"), *[count(x).alias(f"t{i}") for i, x in enumerate(wanted)]
@@ -212,9 +216,42 @@ def rerank(results: DataFrame, score: Column, k: int = 10, least: float = 0.0, i
     return top(scored, k, F.desc("score"), F.col(id_col)).filter(F.col("score") >= least)
 
 
+def overlapping(query: str, documents: list[str | None]) -> list[float]:
+    """Offline stand-in for a provider that reranks: as `overlap_score`, on a list of texts."""
+    wanted = set(query_words(query))
+    held = [wanted & set(regex.findall(r"[\p{L}\p{N}]+", (d or "").lower())) for d in documents]
+    return [len(h) / len(wanted) if wanted else 0.0 for h in held]
+
+
+def rerank_with(results: DataFrame, query: str, document: Column, provider: Callable = overlapping, k: int = 10, least: float = 0.0, id_col: str = "id") -> DataFrame:
+    """Results (a list of best ones, with `score`) by a provider's scores, those under `least` dropped.
+
+    The provider is a function of the query and a list of texts; it runs in tasks. Three results or fewer pass as they
+    are; if the provider fails for any, the k first stay in their old order and with their old scores."""
+    names = [*results.columns, "original_score", "_new"]
+    schema = StructType([*results.schema.fields, StructField("original_score", DoubleType()), StructField("_new", DoubleType())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            try:
+                new = [float(x) for x in provider(query, texts)]
+            except Exception:  # noqa: BLE001 - results without new scores keep their order
+                new = []
+            new = new if len(new) == len(texts) else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.float64())], names)
+
+    scored = results.withColumns({"original_score": F.col("score").cast("double"), "_text": document}).mapInArrow(run, schema)
+    whole = Window.partitionBy()
+    scored = scored.withColumns({"_n": F.count("*").over(whole), "_failed": F.count_if(F.col("_new").isNull()).over(whole) > 0})
+    kept = F.col("_failed") | (F.col("_n") <= 3)
+    scored = scored.withColumn("score", F.when(kept, F.col("score")).otherwise(F.round("_new", DIGITS)))
+    return top(scored.filter(kept | (F.col("score") >= least)), k, F.desc("score"), F.col(id_col)).drop("_new", "_n", "_failed")
+
+
 def overlap_score(query: str, document: Column) -> Column:
     """Offline stand-in for a reranking model: share of the query's words that the document holds."""
-    wanted = F.array(*[F.lit(w) for w in sorted(set(_query_words(query)))])
+    wanted = F.array(*[F.lit(w) for w in sorted(set(query_words(query)))])
     return F.try_divide(F.size(F.array_intersect(T.words(document), wanted)).cast("double"), F.size(wanted).cast("double"))
 
 

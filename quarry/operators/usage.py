@@ -189,3 +189,8 @@ def routing_savings(routed: DataFrame, model: str, tokens_in: Column, tokens_out
         F.count("*").alias("n"), F.count_if(small).alias("small_model"), F.count_if(~small).alias("large_model"),
         F.coalesce(F.round(F.try_divide((full - cost) * 100, full), 0), F.lit(0.0)).cast("long").alias("saved_percent"),
     )
+
+
+def completed(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Keys that were in progress at one look and are no more at the next; null keys don't count."""
+    return before.select(key).filter(F.col(key).isNotNull()).distinct().join(now.select(key).distinct(), key, "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, corpus, retrieval
+from . import accounts, corpus, retrieval, search
 
-PARTS = [retrieval, corpus, accounts]
+PARTS = [retrieval, search, corpus, accounts]
 
 
 def queries() -> dict:
