@@ -198,7 +198,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     nodes = cut(nodes)
     inner, edge = nodes.filter("not edge"), nodes.filter("edge")
     whole = edge.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    edge = edge.drop("n").join(whole, "key")
+    edge = salted(edge.drop("n"), whole, "key", F.col("class"))
     few, many = inner.filter(F.col("n") <= SMALL), inner.filter(F.col("n") > SMALL)
     place = F.struct(-F.col("level"), "tree")
     before = few.groupBy("print", "n").agg(F.min(place).alias("place"))
