@@ -176,6 +176,7 @@ def client_key(user: Column, forwarded: Column) -> Column:
 
 
 def line_range(start: Column, end: Column) -> Column:
+    """5 or 5-9."""
     return F.when(end.isNull() | (start == end), start.cast("string")).otherwise(F.concat_ws("-", start.cast("string"), end.cast("string")))
 
 
@@ -194,8 +195,8 @@ def _lines(start: Column, end: Column, before: str, between: str) -> Column:
     return F.when(start.isNull(), "").when(end != start, both).otherwise(one)
 
 
-def line_range(start: Column, end: Column) -> Column:
-    """:5 or :5-9; empty without a line."""
+def line_label(start: Column, end: Column) -> Column:
+    """:5 or :5-9, as shown behind a path; empty without a line."""
     return _lines(start, end, ":", "-")
 
 

@@ -120,7 +120,7 @@ def citation_links(spark, d):
     sha, latest = F.sha2("p_name", 256), F.sha2(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand")), 256)
     full = F.concat("p_type", F.lit("/"), "p_name")
     return p.select(
-        "p_partkey", T.line_range(start, end).alias("shown"), T.line_hash(start, end).alias("mark"), T.owner_of(full).alias("owner"),
+        "p_partkey", T.line_label(start, end).alias("shown"), T.line_hash(start, end).alias("mark"), T.owner_of(full).alias("owner"),
         T.repository_of(full).alias("repo"), T.short_sha(sha).alias("short"), T.has_newer(sha, latest).alias("newer"),
         T.indexing_time(F.col("p_partkey") * F.col("p_partkey") * 37).alias("takes"),
     )

@@ -70,6 +70,15 @@ def test_small_texts(spark):
     assert (r["parts"], r["joined"], r["k"], r["m"]) == ("ac", "a\n\nb", "2k", "2.3M")
 
 
+def test_line_marks(spark):
+    none = F.lit(None).cast("int")
+    r = one(
+        spark, a=T.line_label(F.lit(3), F.lit(9)), b=T.line_label(F.lit(3), F.lit(3)), c=T.line_label(F.lit(3), none), d=T.line_label(none, F.lit(3)),
+        e=T.line_hash(F.lit(3), F.lit(9)), f=T.line_hash(F.lit(3), none), g=T.line_hash(none, none),
+    )
+    assert list(r) == [":3-9", ":3", ":3", "", "#L3-L9", "#L3", ""]
+
+
 def test_paths(spark):
     rows = {
         "src/App.tsx": ("typescript", True), "node_modules/x.js": ("javascript", False), "a/b.min.js": ("javascript", False), "Makefile": ("text", False),
