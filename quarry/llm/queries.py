@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, secret_scans, token_counts, url_filters
+from . import chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, ranked_search, secret_scans, token_counts, url_filters
 from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
@@ -121,6 +121,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.rank(docs, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -133,6 +139,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_exact_topk": op10_exact_topk,
+        "op11_ranked_search": op11_ranked_search,
     }
 
 
@@ -158,6 +165,11 @@ def _escaped_length(column: str) -> str:
     return f"(length({column}) + length({column}) - length(replace({column}, chr(92), '')) + {marks})"
 
 
+def _terms(column: str) -> str:
+    lowered = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all(coalesce({lowered}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 _TALKS = """t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all
 select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text))"""
 _TURNS = r"string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)"
@@ -181,6 +193,15 @@ where vec_id is not null and embedding is not null and len(list_filter(embedding
 p as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id, score from p
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
+    "op11_ranked_search": rf"""with d as (select row_number() over () row, doc_id, {_terms('text')} ts from documents), n as (select row, doc_id, len(ts) n from d where len(ts) > 0),
+i as (select distinct row, item_id, t from (select row, item_id, unnest({_terms('text')}) t from (select row_number() over () row, * from benchmark))),
+c as (select count(*)::bigint docs, sum(n)::bigint words from n),
+tf as (select row, t, count(*) tf from (select row, unnest(ts) t from d) where t in (select t from i) group by all),
+w as (select t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint w from tf, c group by t, docs),
+s as (select i.row item, item_id, n.row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint score
+from i join tf using (t) join w using (t) join n on n.row = tf.row, c group by all having score > 0)
+select item_id, row_number() over (partition by item order by score desc, doc_id)::int rank, doc_id, score from s
+qualify row_number() over (partition by item order by score desc, doc_id) <= 50""",
 }
 
 
