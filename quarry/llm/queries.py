@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, ranked_search, secret_scans, token_counts, url_filters
+from . import adaptive_scan, chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, ranked_search, secret_scans, token_counts, url_filters
 from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
@@ -127,6 +127,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found among all vectors for every vector whose id is divisible by 100."""
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -140,6 +145,7 @@ def queries() -> dict:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_exact_topk": op10_exact_topk,
         "op11_ranked_search": op11_ranked_search,
+        "op12_adaptive_scan": op12_adaptive_scan,
     }
 
 
