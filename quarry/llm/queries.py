@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_scan, chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, ranked_search, secret_scans, token_counts, url_filters
+from . import adaptive_scan, chat, decontamination, exact_topk, langid, mixing, ngram_jaccard, quality, ranked_search, secret_scans, token_alignment, token_counts, url_filters
 from ._common import crc_of, table
 
 # The rules of the URL query as (verdict, host, path), and the hosts whose URLs are listed.
@@ -132,6 +132,11 @@ def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    return token_alignment.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -146,6 +151,7 @@ def queries() -> dict:
         "op10_exact_topk": op10_exact_topk,
         "op11_ranked_search": op11_ranked_search,
         "op12_adaptive_scan": op12_adaptive_scan,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
