@@ -11,8 +11,8 @@ columns; after each block a candidate is dropped if a test of the hypothesis tha
 estimate is over bound * (1 + EPS / sqrt(d))). Those that no test drops get their exact distance from the original vectors,
 in double precision, so each score is exact and only a neighbour may be missed.
 
-Scale: a list, however large, is dealt into pieces of `PIECE` bytes, and queries into blocks of `QUERY_BLOCK`; a task has
-one piece and one block. At most k rows leave it for a query. What comes to the driver is bounded: the samples, the
+Scale: a list, however large, is dealt into pieces of twice a list's mean size and `PIECE` bytes at most, and queries into
+blocks of `QUERY_BLOCK`; a task has one piece and one block. At most k rows leave it for a query. What comes to the driver is bounded: the samples, the
 lists' sizes, and the neighbours of the sampled queries.
 """
 
@@ -210,7 +210,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, recall: float = RECALL
     part = F.abs(F.xxhash64("id", "v")) < 2.0**63 * min(1.0, CALIBRATE / max(about["n"], 1))
     sample = queries.filter(part).limit(2 * CALIBRATE).collect()
     probes, means, sizes, width = _calibrated(index, sample, k, recall), index.means, index.sizes, index.width
-    rows = max(1024, piece // (8 * width))
+    rows = max(256, min(piece // (8 * width), 2 * int(sizes.sum()) // len(sizes)))
     pieces = np.maximum(1, -(-sizes // rows))
     blocks = max(1, -(-about["n"] // query_block))
     # rows of the query's own id, as many as there are, are no candidates: the lists must hold k others
