@@ -1,97 +1,419 @@
-"""A lexical index that is written once and read by terms.
+"""A lexical index that is kept current and read by words.
 
-`write` counts the words of every chunk and stores one row per chunk and word, in folders by a hash of the word and sorted
-by it; a search reads the folders of its words only, and of those the row groups that hold them. Each row carries its
-chunk's lengths, so that no search reads a text again.
+An index is a folder of Parquet tables. Chunks are written as segments, which never change:
+
+docs/segment=s            a row per chunk: id, cell, number of words by weight, and what else is to be kept of it
+postings/segment=s        a row per word and cell, in folders by a hash of the word and sorted by it: how many chunks of the
+                          cell hold it, the most that it can add to a score there, and the chunks with their counts
+dead/version=v            chunks of segments that are gone: segment, id, cell, numbers of words
+versions/version=v        the segments of that version with their totals; what it doesn't name isn't read
+
+A cell is a set of at most about `CELL` chunks of a segment, all of about one length, and the same for all words, so that the
+cells' bounds are sums over the words. A search for the k best reads the small columns of its words' cells, scores the
+cells of highest bound, and then only those whose bound reaches the k-th score found. A change writes one segment with
+the new chunks and names the old ones dead; `merge` puts segments of one size together from their postings, without
+the dead and without reading texts.
+
+One writer at a time. A write that fails leaves files that no version names; the next one writes over them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
 
-BUCKETS = 64
-#: Files that the rows of a bucket are dealt to by id, so that a very common word is not one task.
-SPLITS = 16
+CELL = 1024
+#: Words of a folder of postings, folders at most, and words of one file of a folder.
+FOLDER_WORDS, FOLDERS, FILE_WORDS = 2_000_000, 4096, 16_000_000
+#: Cells that a search scores before it knows a threshold.
+FIRST = 32
+#: Segments of one size that are merged, and the base of the sizes.
+MERGED = 4
+#: A score's bound is sure beyond its rounding.
+SURE = 1e-6
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def _add(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
 
 
-def write(chunks: DataFrame, fields: dict[str, tuple[Column, str]], path: str, id_col: str = "id", buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """Store the words of chunks; `fields`: name -> (text, weight). Ids are unique; null texts have no words.
+def _length_class(n: Column) -> Column:
+    return F.floor(F.lit(4.0) * F.log2(F.lit(1.0) + n)).cast("int")
 
-    With mode "append" the chunks are new ones. The totals (chunks and words by weight) are one row for each write."""
-    weights = sorted({w for _, w in fields.values()})
-    of = lambda weight: F.flatten(F.array(*[T.words(c) for c, w in fields.values() if w == weight]))
-    rows = chunks.select(F.col(id_col).alias("id"), *[of(w).alias(f"words_{w}") for w in weights])
-    sizes = [F.size(f"words_{w}").alias(f"n_{w}") for w in weights]
-
-    def tagged(weight: str) -> Column:
-        return F.transform(f"words_{weight}", lambda t: F.struct(t.alias("tok"), F.lit(weight).alias("w")))
-
-    words = rows.select("id", *sizes, F.explode(F.flatten(F.array(*[tagged(w) for w in weights]))).alias("p")).select("id", *[f"n_{w}" for w in weights], "p.tok", "p.w")
-    dealt = words.withColumns({"bucket": _bucket(F.col("tok"), buckets), "split": F.pmod(F.xxhash64("id"), F.lit(SPLITS))}).repartition("bucket", "split")
-    counts = [F.count_if(F.col("w") == w).cast("int").alias(f"tf_{w}") for w in weights]
-    kept = dealt.groupBy("bucket", "split", "tok", "id", *[f"n_{w}" for w in weights]).agg(*counts).drop("split")
-    kept.sortWithinPartitions("bucket", "tok", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    totals = [F.coalesce(F.sum(F.size(f"words_{w}")), F.lit(0)).cast("long").alias(f"n_{w}") for w in weights]
-    rows.agg(F.count("*").alias("docs"), *totals, F.lit(buckets).alias("buckets")).write.mode(mode).parquet(f"{path}/totals")
-
-
-def _found(spark: SparkSession, path: str, wanted: list[str]) -> tuple[DataFrame, list[str], dict]:
-    """Rows of the wanted words, the weights there are, and the totals."""
-    totals = spark.read.parquet(f"{path}/totals")
-    weights = [c[2:] for c in totals.columns if c.startswith("n_")]
-    sums = totals.agg(F.sum("docs").alias("docs"), F.first("buckets").alias("buckets"), *[F.sum(f"n_{w}").alias(f"n_{w}") for w in weights]).first().asDict()
-    schema = f"tok string, id {_id_type(spark, path)}, " + ", ".join(f"n_{w} int, tf_{w} int" for w in weights) + ", bucket int"
-    postings = spark.read.schema(schema).parquet(f"{path}/postings")
-    if not wanted:
-        return postings.filter(F.lit(False)), weights, sums
-    # hashed on the driver's own session, so that the folders are constants of the scan
-    named = spark.range(1).select(*[_bucket(F.lit(t), sums["buckets"]).alias(f"b{i}") for i, t in enumerate(wanted)]).first()
-    return postings.filter(F.col("bucket").isin(sorted(set(named))) & F.col("tok").isin(wanted)), weights, sums
-
-
-def _id_type(spark: SparkSession, path: str) -> str:
-    """Type of the ids; an index without any word has no rows, and long will do."""
+
+def _hashed(of: Column, parts: Column | int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+
+
+@dataclass(frozen=True)
+class Version:
+    """What an index holds at one time; `segments` are rows of `versions`."""
+
+    spark: SparkSession
+    path: str
+    number: int
+    segments: tuple
+    weights: tuple[str, ...]
+
+    @property
+    def docs(self) -> int:
+        return sum(s["docs"] for s in self.segments)
+
+    def words(self, weight: str) -> int:
+        return sum(s[f"n_{weight}"] for s in self.segments)
+
+    def _table(self, name: str) -> DataFrame | None:
+        """A table's rows of the segments; None if it has no file with rows."""
+        if not self.segments:
+            return None
+        numbers = [s["segment"] for s in self.segments]
+        try:
+            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/segment={n}" for n in numbers])
+        except AnalysisException as e:
+            if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                raise
+            return None
+
+    def dead(self) -> DataFrame | None:
+        """(segment, id, cell) of chunks that are gone; None if there are none."""
+        if not any(s["dead"] for s in self.segments):
+            return None
+        first = self.segments[0]["dead_from"]
+        rows = self.spark.read.parquet(f"{self.path}/dead").filter(F.col("version").between(first, self.number))
+        return rows.filter(F.col("segment").isin([s["segment"] for s in self.segments])).drop("version")
+
+    def live(self) -> DataFrame | None:
+        """The chunks that the index holds, with segment, cell and numbers of words."""
+        return self.without_dead(self._table("docs"))
+
+    def without_dead(self, rows: DataFrame | None) -> DataFrame | None:
+        gone = self.dead()
+        return rows if rows is None or gone is None else rows.join(gone.select("segment", "id"), ["segment", "id"], "left_anti")
+
+    def blocks(self, wanted: list[str]) -> DataFrame | None:
+        """Postings of the wanted words: of the folders that their hashes name, the row groups that hold them."""
+        rows = self._table("postings")
+        if rows is None or not wanted:
+            return None
+        sizes = sorted({s["folders"] for s in self.segments})
+        # hashed on the driver's own session, so that the folders are constants of the scan
+        named = self.spark.range(1).select(*[_hashed(F.lit(t), n).alias(f"f{n}_{i}") for n in sizes for i, t in enumerate(wanted)]).first()
+        folders = {n: sorted({named[f"f{n}_{i}"] for i in range(len(wanted))}) for n in sizes}
+        there = [(F.col("segment") == s["segment"]) & F.col("bucket").isin(folders[s["folders"]]) for s in self.segments]
+        return rows.filter(reduce(lambda a, b: a | b, there) & F.col("tok").isin(wanted))
+
+
+def current(spark: SparkSession, path: str) -> Version:
+    """The newest version; an index that has none yet is empty."""
     try:
-        return spark.read.parquet(f"{path}/postings").schema["id"].dataType.simpleString()
+        written = spark.read.option("mergeSchema", True).parquet(f"{path}/versions")
     except AnalysisException as e:
-        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
             raise
-        return "long"
+        return Version(spark, path, 0, (), ())
+    last = written.agg(F.max("version")).first()[0]
+    rows = [r.asDict() for r in written.filter(F.col("version") == last).collect()]  # a row per segment
+    weights = tuple(sorted(c[2:] for c, v in rows[0].items() if c.startswith("n_") and v is not None))
+    return Version(spark, path, last, tuple(sorted((r for r in rows if r["segment"] > 0), key=lambda r: r["segment"])), weights)
+
+
+def _commit(before: Version, segments: list[dict], weights: list[str]) -> Version:
+    """Write the next version. One without segments is a row of segment 0."""
+    number = before.number + 1
+    rows = segments or [{"segment": 0, "docs": 0, "dead": 0, "folders": 1, "dead_from": number, **{f"n_{w}": 0 for w in weights}}]
+    names = ["segment", "docs", "dead", "folders", "dead_from", *[f"n_{w}" for w in weights]]
+    schema = ", ".join(f"{n} long" for n in names)
+    out = before.spark.createDataFrame([[r[n] for n in names] for r in rows], schema)
+    out.coalesce(1).write.mode("overwrite").parquet(f"{before.path}/versions/version={number}")
+    return current(before.spark, before.path)
+
 
+def _next_segment(before: Version) -> int:
+    """A number that no version has named."""
+    if before.number == 0:
+        return 1
+    return before.spark.read.parquet(f"{before.path}/versions").agg(F.max("segment")).first()[0] + 1
 
-def search(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """(id, score) as `retrieval.text_search` gives them: chunks that hold all words of the query."""
-    wanted = sorted(set(query_words(query)))
-    rows, weights, _ = _found(spark, path, wanted)
-    add = lambda parts: reduce(lambda a, b: a + b, parts)
-    per = rows.groupBy("id").agg(
-        F.count("*").alias("held"), F.first(add([F.col(f"n_{w}") for w in weights])).alias("n"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]
+
+def _put(before: Version, number: int, docs: DataFrame, counts, weights: list[str]) -> dict:
+    """Write a segment: `docs` (id, n_<weight>, ...) and, from a function of the cell's column, (tok, id, cell, n_<weight>,
+    tf_<weight>)."""
+    spark, path = before.spark, before.path
+    total = _add([F.col(f"n_{w}") for w in weights])
+    target = f"{path}/docs/segment={number}"
+    sizes = docs.groupBy(_length_class(total).alias("c")).agg(F.count("*").alias("n"), F.sum(total).alias("words")).collect()  # a row per class of lengths
+    parts = [1] * (max([r["c"] for r in sizes], default=0) + 1)
+    for r in sizes:
+        parts[r["c"]] = -(-r["n"] // CELL)
+    dealt = F.element_at(F.array(*[F.lit(p) for p in parts]), _length_class(total) + 1)
+    cell = (_length_class(total).cast("long") * (1 << 32) + _hashed(F.col("id"), dealt)).alias("cell")
+    docs.select(cell, "*").write.mode("overwrite").parquet(target)
+    words = sum(r["words"] or 0 for r in sizes)
+    folders = max(1, min(FOLDERS, -(-words // FOLDER_WORDS)))
+    files = max(1, -(-words // (folders * FILE_WORDS)))
+    rows = counts(cell)
+    n, tf = [F.col(f"n_{w}") for w in weights], [F.col(f"tf_{w}") for w in weights]
+    part = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"tf_{w}") for w in weights]) / (1 + F.log(1.0 + _add(n)))
+    most = [x for w in weights for x in (F.max(f"tf_{w}").alias(f"most_{w}"), F.min(f"n_{w}").alias(f"short_{w}"), F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}"))]
+    blocks = rows.withColumn("part", part).groupBy("tok", "cell").agg(
+        F.count("*").alias("n"), F.max("part").alias("peak"), *most, F.collect_list(F.struct("id", *n, *tf)).alias("rows")
     )
-    score = add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
-    return per.filter(F.col("held") == len(wanted)).select("id", F.round(score, DIGITS).alias("score"))
+    put = blocks.withColumn("bucket", _hashed(F.col("tok"), folders)).repartition(folders * files, "bucket", _hashed(F.col("cell"), files))
+    put.sortWithinPartitions("bucket", "tok", "cell").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
+    sums = spark.read.schema(docs.select("id", *n).schema).parquet(target).agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"n_{w}") for x, w in zip(n, weights, strict=True)])
+    return {"segment": number, "dead": 0, "folders": folders, "dead_from": before.segments[0]["dead_from"] if before.segments else before.number + 1, **sums.first().asDict()}
+
+
+def _removed(before: Version, gone: DataFrame, version: int, weights: list[str]) -> list[dict]:
+    """The version's segments without the chunks of ids `gone`, which are written as dead."""
+    live = before.live()
+    if live is None:
+        return [dict(s) for s in before.segments]
+    sizes = [f"n_{w}" for w in weights]
+    target = f"{before.path}/dead/version={version}"
+    lost = live.join(gone.select(F.col(gone.columns[0]).alias("id")).distinct(), "id", "left_semi").select("segment", "id", "cell", *sizes)
+    lost.write.mode("overwrite").parquet(target)
+    of = before.spark.read.schema(lost.schema).parquet(target).groupBy("segment").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in sizes])
+    less = {r["segment"]: r for r in of.collect()}  # a row per segment
+    out = []
+    for s in map(dict, before.segments):
+        if (r := less.get(s["segment"])) is not None:
+            s |= {"dead": s["dead"] + r["docs"], "docs": s["docs"] - r["docs"], **{c: s[c] - r[c] for c in sizes}}
+        if s["docs"]:
+            out.append(s)
+    return out
+
+
+def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dict[str, tuple[Column, str]], gone: DataFrame | None = None, id_col: str = "id", keep: list[str] = ()) -> Version:
+    """The next version: `chunks` are in it in place of those with their ids, and chunks whose ids are in the first column of
+    `gone` are not. `fields`: name -> (text, weight); the weights are the same in all versions. Ids are unique within
+    `chunks`; null texts have no words. `keep`: columns of chunks that the index keeps."""
+    before = current(spark, path)
+    weights = sorted({w for _, w in fields.values()})
+    if before.number and tuple(weights) != before.weights:
+        raise ValueError(f"the index has the weights {before.weights}")
+    number = _next_segment(before)
+    ids = [x for x in (gone if gone is None else gone.select(gone.columns[0]), None if chunks is None else chunks.select(F.col(id_col))) if x is not None]
+    segments = [dict(s) for s in before.segments]
+    if ids and segments:
+        segments = _removed(before, reduce(DataFrame.union, ids), before.number + 1, weights)
+    if chunks is not None:
+        of = lambda weight: F.flatten(F.array(*[T.words(c) for c, w in fields.values() if w == weight]))
+        rows = chunks.select(F.col(id_col).alias("id"), *keep, *[of(w).alias(f"words_{w}") for w in weights])
+        sizes = [F.size(f"words_{w}").alias(f"n_{w}") for w in weights]
+
+        def counts(cell: Column) -> DataFrame:
+            def tagged(weight: str) -> Column:
+                return F.transform(f"words_{weight}", lambda t: F.struct(t.alias("tok"), F.lit(weight).alias("w")))
+
+            sized = rows.select("id", *sizes, F.flatten(F.array(*[tagged(w) for w in weights])).alias("p"))
+            words = sized.select("id", *[f"n_{w}" for w in weights], cell, F.explode("p").alias("p"))
+            tf = [F.count_if(F.col("p.w") == w).cast("int").alias(f"tf_{w}") for w in weights]
+            return words.groupBy("p.tok", "cell", "id", *[f"n_{w}" for w in weights]).agg(*tf)
+
+        new = _put(before, number, rows.select("id", *sizes, *keep), counts, weights)
+        if new["docs"]:
+            segments.append(new)
+    return _commit(before, segments, weights)
+
+
+def write(chunks: DataFrame, fields: dict[str, tuple[Column, str]], path: str, id_col: str = "id", mode: str = "overwrite", keep: list[str] = ()) -> Version:
+    """An index of `chunks`: all that it holds, or with mode "append" in place of those with their ids."""
+    spark = chunks.sparkSession
+    if mode == "append":
+        return change(spark, path, chunks, fields, id_col=id_col, keep=keep)
+    before = current(spark, path)
+    if before.number:
+        _commit(before, [], sorted({w for _, w in fields.values()}))
+    return change(spark, path, chunks, fields, id_col=id_col, keep=keep)
+
 
+def remove(spark: SparkSession, path: str, gone: DataFrame) -> Version:
+    """The next version, without the chunks whose ids are in the first column of `gone`."""
+    before = current(spark, path)
+    return _commit(before, _removed(before, gone, before.number + 1, list(before.weights)), list(before.weights))
 
-def bm25(spark: SparkSession, path: str, query: str, weight: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the chunks whose fields of one weight hold any word of the query, by BM25."""
-    wanted = sorted(set(query_words(query)))
-    rows, _, sums = _found(spark, path, wanted)
-    rows = rows.filter(F.col(f"tf_{weight}") > 0)
-    held = {r["tok"]: r["df"] for r in rows.groupBy("tok").agg(F.count("*").alias("df")).collect()}  # a row per word of the query
-    mean = float((sums[f"n_{weight}"] or 0) / sums["docs"]) if sums["docs"] else 0.0
+
+def to_merge(segments: tuple, most: int = MERGED) -> list[int]:
+    """Segments of the smallest size (a power of `most`) that has as many as that, and those of which half is dead."""
+    by: dict[int, list[int]] = {}
+    for s in segments:
+        size, n = 0, s["docs"]
+        while n >= most:
+            size, n = size + 1, n // most
+        by.setdefault(size, []).append(s["segment"])
+    full = min((size for size, held in by.items() if len(held) >= most), default=None)
+    rotten = [s["segment"] for s in segments if s["dead"] > s["docs"]]
+    return sorted({*rotten, *(by[full] if full is not None else [])})
+
+
+def merge(spark: SparkSession, path: str, most: int = MERGED, every: bool = False) -> Version:
+    """The next version, with the segments that `to_merge` names (or all) as one, without their dead chunks. Texts are not
+    read; the same version if there is nothing to merge."""
+    before = current(spark, path)
+    chosen = [s["segment"] for s in before.segments] if every else to_merge(before.segments, most)
+    if not chosen or (len(chosen) == 1 and not any(s["dead"] for s in before.segments if s["segment"] in chosen)):
+        return before
+    part = Version(spark, path, before.number, tuple(s for s in before.segments if s["segment"] in chosen), before.weights)
+    weights, number = list(before.weights), _next_segment(before)
+    n = [f"n_{w}" for w in weights]
+    docs = part.live().drop("segment", "cell")
+
+    def counts(cell: Column) -> DataFrame:
+        held = part._table("postings")
+        if held is None:
+            empty = ", ".join(["tok string", f"id {docs.schema['id'].dataType.simpleString()}", "cell long", *[f"{c} int" for c in n], *[f"tf_{w} int" for w in weights]])
+            return spark.createDataFrame([], empty)
+        rows = held.select("segment", "tok", F.explode("rows").alias("r")).select("segment", "tok", "r.*")
+        return part.without_dead(rows).select("tok", "id", *n, *[f"tf_{w}" for w in weights]).withColumn("cell", cell)
+
+    new = _put(before, number, docs, counts, weights)
+    rest = [dict(s) for s in before.segments if s["segment"] not in chosen]
+    version, gone = before.number + 1, before.dead()
+    if gone is not None:  # those that still count begin the list anew
+        left = gone.filter(~F.col("segment").isin(chosen))
+        left.write.mode("overwrite").parquet(f"{path}/dead/version={version}")
+        rest = [s | {"dead_from": version} for s in rest]
+    return _commit(before, rest + [new | {"dead_from": rest[0]["dead_from"] if rest else version}] * bool(new["docs"]), weights)
+
+
+def _nothing(spark: SparkSession, version: Version) -> DataFrame:
+    """(id, score) without rows, ids of the index's type."""
+    docs = version._table("docs")
+    kind = "long" if docs is None else docs.schema["id"].dataType.simpleString()
+    return spark.createDataFrame([], f"id {kind}, score double")
+
+
+def _best(found: DataFrame, k: int | None) -> DataFrame:
+    return found if k is None else found.orderBy(F.desc("score"), "id").limit(k)
+
+
+def _by_bound(version: Version, blocks: DataFrame, bounds: DataFrame, scored, k: int | None, read: dict | None) -> DataFrame:
+    """Scores of all rows of the cells in `bounds` (segment, cell, bound), or enough of them for the k best.
+
+    `scored`: (blocks) -> (id, score). `read` gets the cells that were scored and those that there are."""
+    if k is None:
+        return scored(blocks.join(bounds.select("segment", "cell"), ["segment", "cell"], "left_semi"))
+    best = bounds.orderBy(F.desc("bound"), "segment", "cell").limit(FIRST).collect()  # at most FIRST rows
+    if not best:
+        return scored(blocks.filter(F.lit(False)))
+    named = reduce(lambda a, b: a | b, [(F.col("segment") == r["segment"]) & (F.col("cell") == r["cell"]) for r in best])
+    # the cells are constants of the scan, which skips pages of postings by them
+    first = scored(blocks.filter(F.col("cell").isin(sorted({r["cell"] for r in best})) & named))
+    top = _best(first, k).collect()  # k rows
+    least = top[-1]["score"] if len(top) == k else 0.0
+    others = bounds.filter(~named & (F.col("bound") >= least - SURE))
+    if read is not None:
+        read |= {"cells": len(best) + others.count(), "of": bounds.count()}
+    rest = scored(blocks.join(F.broadcast(others.select("segment", "cell")), ["segment", "cell"], "left_semi"))
+    return version.spark.createDataFrame([tuple(r) for r in top], first.schema).unionByName(rest)
+
+
+def _rows(version: Version, blocks: DataFrame) -> DataFrame:
+    """(segment, tok, id, n_<weight>, tf_<weight>) of chunks that are there."""
+    return version.without_dead(blocks.select("segment", "cell", "tok", F.explode("rows").alias("r")).select("segment", "cell", "tok", "r.*"))
+
+
+def search(spark: SparkSession, path: str, query: str, k: int | None = None, read: dict | None = None) -> DataFrame:
+    """(id, score) as `retrieval.text_search` gives them: the chunks that hold all words of the query, or the k best."""
+    version, wanted = current(spark, path), sorted(set(query_words(query)))
+    blocks = version.blocks(wanted)
+    if blocks is None:
+        return _nothing(spark, version)
+    held = blocks.groupBy("segment", "cell").agg(F.count("*").alias("held"), F.sum("peak").alias("bound"))
+    weights = version.weights
+
+    def scored(some: DataFrame) -> DataFrame:
+        per = _rows(version, some).groupBy("segment", "id").agg(
+            F.count("*").alias("held"), F.first(_add([F.col(f"n_{w}") for w in weights])).alias("n"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]
+        )
+        score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
+        return per.filter(F.col("held") == len(wanted)).select("id", F.round(score, DIGITS).alias("score"))
+
+    return _best(_by_bound(version, blocks, held.filter(F.col("held") == len(wanted)), scored, k, read), k)
+
+
+def _frequencies(version: Version, blocks: DataFrame, weight: str) -> dict[str, int]:
+    """In how many chunks each word stands in fields of a weight: what the blocks say, less the dead of their cells."""
+    counted = blocks.groupBy("tok").agg(F.sum(f"df_{weight}").alias("df"))
+    gone = version.dead()
+    if gone is not None:
+        cells = gone.select("segment", "cell").distinct()
+        held = blocks.join(cells, ["segment", "cell"], "left_semi").select("segment", "tok", F.explode("rows").alias("r")).select("segment", "tok", "r.*")
+        lost = held.filter(F.col(f"tf_{weight}") > 0).join(gone.select("segment", "id"), ["segment", "id"], "left_semi").groupBy("tok").agg(F.count("*").alias("lost"))
+        counted = counted.join(lost, "tok", "left").select("tok", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
+    return {r["tok"]: r["df"] for r in counted.filter("df > 0").collect()}  # a row per word of the query
+
+
+def bm25(spark: SparkSession, path: str, query: str, weight: str, k1: float = 1.2, b: float = 0.75, k: int | None = None, read: dict | None = None) -> DataFrame:
+    """(id, score) of the chunks whose fields of one weight hold any word of the query, by BM25, or of the k best."""
+    version, wanted = current(spark, path), sorted(set(query_words(query)))
+    blocks = version.blocks(wanted)
+    if blocks is None:
+        return _nothing(spark, version)
+    blocks = blocks.filter(F.col(f"df_{weight}") > 0)
+    mean = version.words(weight) / version.docs if version.docs else 0.0
     idf = F.lit(0.0)
-    for word, df in held.items():
-        idf = F.when(F.col("tok") == word, F.log(F.lit(1 + (sums["docs"] - df + 0.5) / (df + 0.5)))).otherwise(idf)
-    tf = F.col(f"tf_{weight}")
-    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"n_{weight}") / F.lit(mean or 1.0)))
-    return rows.groupBy("id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
+    for word, df in _frequencies(version, blocks, weight).items():
+        idf = F.when(F.col("tok") == word, F.log(F.lit(1 + (version.docs - df + 0.5) / (df + 0.5)))).otherwise(idf)
+
+    def part(tf: Column, n: Column) -> Column:
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.lit(mean or 1.0)))
+
+    # more of a word and fewer words both raise a score
+    bounds = blocks.groupBy("segment", "cell").agg(F.sum(part(F.col(f"most_{weight}"), F.col(f"short_{weight}"))).alias("bound"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        rows = _rows(version, some).filter(F.col(f"tf_{weight}") > 0)
+        return rows.groupBy("segment", "id").agg(F.round(F.sum(part(F.col(f"tf_{weight}"), F.col(f"n_{weight}"))), DIGITS).alias("score")).filter("score > 0").select("id", "score")
+
+    return _best(_by_bound(version, blocks, bounds, scored, k, read), k)
+
+
+def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 15, qid: str = "qid", text: str = "text") -> DataFrame:
+    """(qid, rank, id, score): for every question the k best of the chunks that hold all its words, as `search` scores them.
+
+    A question's cells are those of its rarest word that its other words have too, so a common word's list is read only
+    where a rarer one stands. Its best cells are scored first, and then those whose bound reaches the k-th score found.
+    Rows with one id, which may be null, and the same words are one question; with other words they are others. Questions
+    without words have no rows."""
+    version = current(spark, path)
+    asked = questions.select(F.col(qid).alias("qid"), F.array_sort(F.array_distinct(T.words(F.col(text)))).alias("ws")).filter("size(ws) > 0")
+    asked = asked.withColumn("q", F.sha2(F.to_json(F.struct("qid", "ws")), 256)).dropDuplicates(["q"])
+    postings = version._table("postings")
+    if postings is None:
+        kind = _nothing(spark, version).schema["id"].dataType.simpleString()
+        return asked.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    terms = asked.select("q", F.size("ws").alias("need"), F.explode("ws").alias("tok"))
+    sizes = postings.groupBy("tok").agg(F.sum("n").alias("df"))
+    known = terms.join(sizes, "tok").withColumn("has", F.count("*").over(Window.partitionBy("q"))).filter("has = need")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("df", "tok"))
+    ranked = known.withColumn("place", place).select("q", "tok", "need", "place")
+    small = postings.select("tok", "segment", "cell", "peak")
+    cells = ranked.filter("place = 1").join(small.drop("peak"), "tok").select("q", "segment", "cell")
+    held = cells.join(ranked, "q").join(small, ["tok", "segment", "cell"]).groupBy("q", "segment", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
+    bounds = held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "cell")))
+    weights = version.weights
+
+    def scored(some: DataFrame) -> DataFrame:
+        blocks = some.select("q", "segment", "cell").join(ranked, "q").join(postings.select("tok", "segment", "cell", "rows"), ["tok", "segment", "cell"])
+        rows = blocks.select("q", "need", "segment", F.explode("rows").alias("r")).select("q", "need", "segment", "r.*")
+        per = version.without_dead(rows).groupBy("q", "segment", "id").agg(
+            F.count("*").alias("held"), F.first("need").alias("need"), F.first(_add([F.col(f"n_{w}") for w in weights])).alias("n"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]
+        )
+        score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
+        return per.filter("held = need").select("q", "id", F.round(score, DIGITS).alias("score"))
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    first = scored(bounds.filter(F.col("order") <= FIRST)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    least = first.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
+    rest = bounds.filter(F.col("order") > FIRST).join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SURE))
+    found = first.drop("rank").unionByName(scored(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.join(asked.select("q", "qid"), "q").select("qid", "rank", "id", "score")

@@ -1,5 +1,7 @@
 """The stored lexical index, strategies, whole contexts and reranking by a provider, on small tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,23 +15,120 @@ def fields(spark):
     return {"name": (F.col("name"), "A"), "text": (F.col("text"), "C")}
 
 
-def test_stored_index_finds_what_a_scan_finds(spark, tmp_path, fields):
-    docs = spark.createDataFrame([(1, "Alpha beta", None), (2, "alpha", "beta alpha É"), (3, "alpha", None), (4, None, None), (5, "", "É beta")], DOCS)
-    lexical.write(docs.limit(3), fields, f"{tmp_path}/i", buckets=4)
-    lexical.write(docs.filter("id > 3"), fields, f"{tmp_path}/i", buckets=4, mode="append")
-    for query in ("alpha", "BETA, alpha!", "é", "missing", "alpha missing", " ?! "):
-        found = sorted(map(tuple, lexical.search(spark, f"{tmp_path}/i", query).collect()))
-        assert found == sorted(map(tuple, retrieval.text_search(docs, query, fields).collect())), query
-        ranked = dict(map(tuple, lexical.bm25(spark, f"{tmp_path}/i", query, "C").collect()))
-        assert ranked == pytest.approx(dict(map(tuple, retrieval.bm25(docs, query, F.col("text")).collect()))), query
-    plan = lexical.search(spark, f"{tmp_path}/i", "alpha")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and "tok" in plan.split("PushedFilters")[1]
+ROWS = [(1, "Alpha beta", None), (2, "alpha", "beta alpha É"), (3, "alpha", None), (4, None, None), (5, "", "É beta")]
+ASKED = ("alpha", "BETA, alpha!", "é", "missing", "alpha missing", " ?! ")
+
+
+def same(spark, path, docs, fields, queries=ASKED):
+    """What the index at a path finds is what a scan of `docs` finds."""
+    for query in queries:
+        want = sorted(map(tuple, retrieval.text_search(docs, query, fields).collect()))
+        assert sorted(map(tuple, lexical.search(spark, path, query).collect())) == want, query
+        ranked = dict(map(tuple, lexical.bm25(spark, path, query, "C").collect()))
+        true = dict(map(tuple, retrieval.bm25(docs, query, F.col("text")).collect()))
+        assert ranked == pytest.approx(true), query
+        for k in (1, 3):
+            best = sorted(want, key=lambda r: (-r[1], r[0]))[:k]
+            assert sorted(map(tuple, lexical.search(spark, path, query, k).collect())) == sorted(best), query
+            found = lexical.bm25(spark, path, query, "C", k=k).collect()
+            assert [r["id"] for r in sorted(found, key=lambda r: (-r["score"], r["id"]))] == sorted(true, key=lambda i: (-true[i], i))[:k]
+
+
+def test_stored_index_finds_what_a_scan_finds(spark, tmp_path, fields, monkeypatch):
+    monkeypatch.setattr(lexical, "FOLDER_WORDS", 3)
+    docs, path = spark.createDataFrame(ROWS, DOCS), f"{tmp_path}/i"
+    lexical.write(docs.limit(3), fields, path)
+    lexical.write(docs.filter("id > 3"), fields, path, mode="append")
+    same(spark, path, docs, fields)
+    plan = lexical.search(spark, path, "alpha")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[(]*segment", plan) and "bucket" in plan.split("PartitionFilters")[1] and "tok" in plan.split("PushedFilters")[1]
+
+
+def test_index_keeps_itself(spark, tmp_path, fields):
+    """Changed, removed and new chunks, merging, and a fresh start, each against a scan of what should be there."""
+    path, there = f"{tmp_path}/i", {r[0]: r for r in ROWS}
+    table = lambda: spark.createDataFrame(sorted(there.values()), DOCS)
+    lexical.write(table(), fields, path, keep=["name"])
+    steps = [([(2, "beta", "alpha"), (6, "alpha É", "beta beta")], [1]), ([(3, None, "alpha alpha")], [5, 77]), ([(7, "É", "missing")], []), ([], [2])]
+    for new, gone in steps:
+        ids = spark.createDataFrame([(i,) for i in gone], "gone long")
+        version = lexical.change(spark, path, spark.createDataFrame(new, DOCS), fields, ids, keep=["name"])
+        for i in gone:
+            there.pop(i, None)
+        there |= {r[0]: r for r in new}
+        assert version.docs == len(there) and sorted(r["id"] for r in version.live().collect()) == sorted(there)
+        same(spark, path, table(), fields, ("alpha", "beta alpha", "é"))
+    many = len(version.segments)
+    assert many > 2 and any(s["dead"] for s in version.segments)
+    merged = lexical.merge(spark, path, most=2)
+    assert len(merged.segments) < many and merged.docs == len(there)
+    same(spark, path, table(), fields)
+    assert lexical.merge(spark, path, every=True).segments[0]["dead"] == 0
+    same(spark, path, table(), fields)
+    assert len(lexical.merge(spark, path, every=True).segments) == 1
+    assert dict(lexical.current(spark, path).live().select("id", "name").collect()) == {i: r[1] for i, r in there.items()}
+    assert lexical.remove(spark, path, spark.createDataFrame([(i,) for i in there], "x long")).docs == 0
+    assert lexical.search(spark, path, "alpha").count() == 0
+    lexical.change(spark, path, spark.createDataFrame(ROWS, DOCS), fields)
+    there = {r[0]: r for r in ROWS}
+    same(spark, path, table(), fields)
+    with pytest.raises(ValueError):
+        lexical.change(spark, path, table(), {"text": (F.col("text"), "B")})
+    lexical.write(table(), {"text": (F.col("text"), "B")}, path)
+    assert lexical.current(spark, path).weights == ("B",)
+
+
+def test_which_segments_merge():
+    sizes = lambda *docs: tuple({"segment": i, "docs": n, "dead": 0} for i, n in enumerate(docs, 1))
+    assert lexical.to_merge(sizes(1, 1, 1)) == [] and lexical.to_merge(sizes(900, 1, 2, 3, 1)) == [2, 3, 4, 5]
+    assert lexical.to_merge(sizes(5, 6, 7, 15, 1)) == [1, 2, 3, 4]
+    assert lexical.to_merge(({"segment": 3, "docs": 2, "dead": 3}, {"segment": 4, "docs": 9, "dead": 3})) == [3]
+
+
+def test_only_cells_that_may_hold_the_best_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "CELL", 8)
+    monkeypatch.setattr(lexical, "FIRST", 4)
+    fields = {"name": (F.col("name"), "A"), "text": (F.col("text"), "C")}
+    docs = spark.range(3000).select(
+        "id", F.concat(F.lit("n"), F.col("id")).alias("name"), F.concat_ws(" ", F.repeat(F.lit("common "), (F.col("id") % 7 + 1).cast("int")), F.repeat(F.lit("x "), (F.col("id") % 90).cast("int"))).alias("text")
+    )
+    lexical.write(docs, fields, f"{tmp_path}/i")
+    true = sorted(map(tuple, retrieval.text_search(docs, "common", fields).collect()), key=lambda r: (-r[1], r[0]))[:10]
+    read = {}
+    assert sorted(map(tuple, lexical.search(spark, f"{tmp_path}/i", "common", 10, read).collect())) == sorted(true)
+    assert read["cells"] < read["of"] / 4
+    scan = sorted(map(tuple, retrieval.bm25(docs, "common x", F.col("text")).collect()), key=lambda r: (-r[1], r[0]))[:10]
+    read = {}
+    found = lexical.bm25(spark, f"{tmp_path}/i", "common x", "C", k=10, read=read).collect()
+    assert sorted(r["id"] for r in found) == sorted(r[0] for r in scan) and read["cells"] < read["of"]
+
+
+def test_many_questions(spark, tmp_path, fields, monkeypatch):
+    monkeypatch.setattr(lexical, "FIRST", 1)
+    monkeypatch.setattr(lexical, "CELL", 2)
+    rows = ROWS + [(10 + i, "alpha" if i % 2 else "gamma", "beta " * (i % 5) + "alpha " * (i % 3)) for i in range(40)]
+    docs, path = spark.createDataFrame(rows, DOCS), f"{tmp_path}/i"
+    lexical.write(docs.filter("id < 20"), fields, path)
+    lexical.write(docs.filter("id >= 20"), fields, path, mode="append")
+    lexical.remove(spark, path, spark.createDataFrame([(11,), (25,)], "id long"))
+    docs = docs.filter("id not in (11, 25)")
+    asked = [(1, "alpha"), (2, "Beta alpha"), (3, "missing"), (4, "alpha missing"), (5, None), (6, " ?"), (None, "gamma"), (7, "é"), (7, "gamma beta"), (8, "alpha"), (8, "Alpha, alpha")]
+    got = {}
+    for r in lexical.search_many(spark, path, spark.createDataFrame(asked, "qid long, text string"), 4).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
+    for qid, text in asked[:7] + asked[9:]:
+        best = sorted(map(tuple, retrieval.text_search(docs, text or "", fields).collect()), key=lambda r: (-r[1], r[0]))[:4]
+        assert sorted(got.get(qid, [])) == [(n, i, s) for n, (i, s) in enumerate(best, 1)], (qid, text)
+    assert sorted(n for n, *_ in got[7]) == sorted([1, 2, 1, 2, 3, 4])
 
 
 def test_stored_index_of_an_empty_table(spark, tmp_path, fields):
     lexical.write(spark.createDataFrame([], DOCS), fields, f"{tmp_path}/e")
-    assert lexical.search(spark, f"{tmp_path}/e", "alpha").count() == 0
-    assert lexical.bm25(spark, f"{tmp_path}/e", "alpha", "C").count() == 0
+    for path in (f"{tmp_path}/e", f"{tmp_path}/none"):
+        assert lexical.search(spark, path, "alpha").count() == lexical.search(spark, path, "alpha", 3).count() == 0
+        assert lexical.bm25(spark, path, "alpha", "C").count() == 0
+        assert lexical.search_many(spark, path, spark.createDataFrame([(1, "alpha")], "qid long, text string")).count() == 0
+    assert lexical.merge(spark, f"{tmp_path}/e").docs == 0
 
 
 def test_strategies(spark):
