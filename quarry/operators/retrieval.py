@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
@@ -45,21 +47,62 @@ def knn(chunks: DataFrame, query: list[float], k: int = 15, above: float | None
     return top(found.select(id_col, "similarity"), k, F.desc("similarity"), F.col(id_col))
 
 
-def knn_per_query(chunks: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id", most: int = 1000) -> DataFrame:
-    """(qid, id, similarity, rank) of a stated query set (qid, query) against all chunks, ranked per query.
-
-    The set is a constant of the plan, of at most `most` vectors; each chunk is scored where it is read, and a partial
-    top-k per query leaves a task."""
-    given = queries.orderBy("qid").limit(most + 1).collect()
-    if len(given) > most:
-        raise ValueError(f"more than {most} queries; search them in blocks")
-    if not given:
-        return chunks.select(F.lit(0).cast("long").alias("qid"), id_col, F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).filter(F.lit(False))
-    asked = F.explode(F.array(*[F.struct(F.lit(r["qid"]).cast("long").alias("qid"), V.literal(r["query"]).alias("query")) for r in given]))
-    pairs = chunks.filter("embedding is not null").select(id_col, "embedding", asked.alias("q"))
-    scored = pairs.withColumn("similarity", F.round(V.cosine(F.col("embedding"), F.col("q.query")), DIGITS)).filter("similarity is not null")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), id_col))
-    return scored.select("q.qid", id_col, "similarity").withColumn("rank", rank).filter(F.col("rank") <= k)
+def knn_per_query(chunks: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id", query_block: int = 1024, chunk_block: int = 65_536) -> DataFrame:
+    """(qid, id, similarity, rank) of a set of queries (qid, query) against all chunks, ranked per query.
+
+    Queries and chunks are dealt into blocks; a task multiplies one block of each and keeps k rows per query, which merge
+    through a ranking. Null and zero vectors, and those of another length than the query's, are no candidates."""
+    row = F.monotonically_increasing_id()
+    asked = queries.filter("query is not null").select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("v"))
+    given = chunks.filter("embedding is not null").select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n_q, n_c = max(1, -(-asked.count() // query_block)), max(1, -(-given.count() // chunk_block))
+    block = lambda of, n: F.pmod(F.xxhash64(of, row), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select(block("qid", n_q).alias("q"), "qid", "v").select("q", every(n_c).alias("c"), "qid", "v")
+    given = given.select(block("id", n_c).alias("c"), "id", "v").select(every(n_q).alias("q"), "c", "id", "v")
+    schema = StructType([StructField("qid", LongType()), StructField("id", chunks.schema[id_col].dataType), StructField("similarity", DoubleType())])
+
+    def compare(some: pa.Table, others: pa.Table) -> pa.Table:
+        return _nearest(some, others, k)
+
+    found = asked.groupBy("q", "c").cogroup(given.groupBy("q", "c")).applyInArrow(compare, schema).withColumn("similarity", F.round("similarity", DIGITS))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", F.col("id").alias(id_col), "similarity", "rank")
+
+
+def _unit(vectors: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows that have a usable vector of it, and these vectors at length 1."""
+    column = vectors["v"].combine_chunks()
+    lengths, flat = np.asarray(column.value_lengths(), np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begins, out = np.cumsum(lengths) - lengths, {}
+    for n in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == n)
+        dense = flat[begins[rows][:, None] + np.arange(n)]
+        size = np.sqrt((dense * dense).sum(1))
+        good = np.isfinite(size) & (size > 0)
+        out[int(n)] = rows[good], dense[good] / size[good, None]
+    return out
+
+
+def _nearest(some: pa.Table, others: pa.Table, k: int) -> pa.Table:
+    """(qid, id, similarity): the k of `others` nearest to each of `some`, by similarity and then id."""
+    ids = others["id"].combine_chunks() if len(others) else None
+    out = [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+    if ids is not None and len(some):
+        place = np.empty(len(ids), np.int64)
+        place[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+        known = _unit(others)
+        for n, (asked, queries) in _unit(some).items():
+            rows, vectors = known.get(n, (np.empty(0, np.int64), np.empty((0, n))))
+            for a in range(0, len(asked) if len(rows) else 0, 64):
+                like = np.round(queries[a : a + 64] @ vectors.T, DIGITS)
+                for q, scores in zip(asked[a : a + 64], like, strict=True):
+                    near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+                    near = near[np.lexsort((place[rows[near]], -scores[near]))[:k]]
+                    out.append((np.full(len(near), q), rows[near], scores[near]))
+    q, at, like = (np.concatenate(x) for x in zip(*out, strict=True))
+    found = pa.nulls(0, others.schema.field("id").type) if ids is None else ids.take(pa.array(at))
+    return pa.table({"qid": some["qid"].combine_chunks().take(pa.array(q)) if len(some) else pa.nulls(0, pa.int64()), "id": found, "similarity": pa.array(like)})
 
 
 def postings(chunks: DataFrame, fields: dict[str, tuple[Column, str]], id_col: str = "id") -> DataFrame:
@@ -210,10 +253,12 @@ def rerank_document(kind: Column, symbol: Column, path: Column, start: Column, e
 
 def rerank(results: DataFrame, score: Column, k: int = 10, least: float = 0.0, id_col: str = "id") -> DataFrame:
     """Results by another score, those under `least` dropped; three results or fewer pass as they are."""
-    if results.limit(4).count() <= 3:
-        return results.withColumn("original_score", F.col("score"))
-    scored = results.withColumn("original_score", F.col("score")).withColumn("score", F.round(score, DIGITS))
-    return top(scored, k, F.desc("score"), F.col(id_col)).filter(F.col("score") >= least)
+    few = F.col("_n") <= 3
+    counted = results.withColumns({"original_score": F.col("score"), "_n": F.count("*").over(Window.partitionBy())})
+    scored = counted.withColumn("score", F.when(few, F.col("score")).otherwise(F.round(score, DIGITS)))
+    kept = scored.filter(few | (F.col("score") >= least))
+    best = top(kept, max(k, 3), F.desc("score"), F.col(id_col)).withColumn("_place", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+    return best.filter(few | (F.col("_place") <= k)).drop("_n", "_place")
 
 
 def overlapping(query: str, documents: list[str | None]) -> list[float]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, corpus, retrieval, search
+from . import accounts, answers, corpus, retrieval, search
 
-PARTS = [retrieval, search, corpus, accounts]
+PARTS = [retrieval, search, answers, corpus, accounts]
 
 
 def queries() -> dict:

@@ -3,6 +3,8 @@ by their id, and the names of `part` as symbols."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +22,34 @@ KINDS = ["function", "class", "interface", "type", "module", "method", "config"]
 QUESTION = "blue widgt"
 
 
+#: Indexes that a session has written: (application, tables, name) -> folder.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, d: str, name: str, build: Callable[[str], object]) -> str:
+    """The folder of an index over the tables of a folder. The first query of a session that needs it has it built."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        path = shared_folder(spark, name)
+        build(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 def _index(spark: SparkSession, d: str) -> str:
-    path = shared_folder(spark, "lexical")
-    lexical.write(plans._docs(spark, d), plans._fields(), path)
-    return path
+    return written(spark, d, "lexical", lambda path: lexical.write(plans._docs(spark, d), plans._fields(), path))
+
+
+def index_size(spark, d):
+    """Writes the index: chunks and words that it holds."""
+    version = lexical.current(spark, _index(spark, d))
+    rows = version.live().groupBy("segment").agg(F.count("*").alias("chunks"), *[F.sum(f"n_{w}").cast("long").alias(f"words_{w}") for w in version.weights])
+    return rows.select("chunks", *[f"words_{w}" for w in version.weights])
 
 
 def index_text_rank(spark, d):
     """`text_rank` from the stored index."""
-    return R.top(lexical.search(spark, _index(spark, d), plans.QUERY), 20, F.desc("score"), F.col("id"))
+    return lexical.search(spark, _index(spark, d), plans.QUERY, 20)
 
 
 def index_text_match(spark, d):
@@ -127,15 +148,15 @@ def citation_links(spark, d):
 
 
 def completed_jobs(spark, d):
-    """Users with events of the first half of the month who have none in the second: what was in progress and no longer is."""
+    """Users with events before the last day of the month who have no large one on it: what was in progress and no longer is."""
     e = read(spark, d, "events")
-    half = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return usage.completed(e.filter(F.col("ts") < half), e.filter((F.col("ts") >= half) & (F.col("value") > 50)), "user_id")
+    day = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    return usage.completed(e.filter(F.col("ts") < day), e.filter((F.col("ts") >= day) & (F.col("value") > 50)), "user_id")
 
 
 QUERIES = [
     rerank_provider, rerank_failed, citation_links, completed_jobs,
-    index_text_rank, index_text_match, index_bm25, strategy_metadata, strategy_symbol, strategy_symbol_fallback, strategy_hybrid_v2, strategy_hybrid,
+    index_size, index_text_rank, index_text_match, index_bm25, strategy_metadata, strategy_symbol, strategy_symbol_fallback, strategy_hybrid_v2, strategy_hybrid,
     strategy_expanded, strategy_vector, context_grouped, context_sequential,
 ]
 
@@ -191,14 +212,16 @@ _TYPES = "(contains(path, 'types') or contains(path, '.d.ts')) and kind in ('int
 SQL = {
     "rerank_provider": plans.SQL["rerank_results"],
     "rerank_failed": f"with {plans._RRF} select id, combined_score score, combined_score original_score from rrf order by combined_score desc, id limit 10",
-    "completed_jobs": """select distinct user_id from events where ts < '2024-01-15' and user_id not in
-(select user_id from events where ts >= '2024-01-15' and value > 50 and user_id is not null) and user_id is not null""",
+    "completed_jobs": """select distinct user_id from events where ts < '2024-01-30' and user_id not in
+(select user_id from events where ts >= '2024-01-30' and value > 50 and user_id is not null) and user_id is not null""",
     "citation_links": """with r as (select *, case when p_size <> 1 then p_size end s, case when p_partkey % 3 > 0 then p_size + p_partkey % 2 end e,
 ceil(p_partkey * p_partkey * 37 / 1000.0)::bigint as secs from part), t as (select *, ceil(secs / 60.0)::bigint as mins from r), u as (select *, ceil(mins / 60.0)::bigint as hours from t)
 select p_partkey, case when s is null then '' when e <> s then ':' || s || '-' || e else ':' || s end shown,
 case when s is null then '' when e <> s then '#L' || s || '-L' || e else '#L' || s end mark, p_type as owner, p_name repo, substr(sha256(p_name), 1, 7) short,
 p_partkey % 2 <> 0 newer, case when secs < 60 then '~' || secs || ' secondes' when mins < 60 then '~' || mins || ' minute' || case when mins > 1 then 's' else '' end
 else '~' || hours || ' heure' || case when hours > 1 then 's' else '' end end takes from u""",
+    "index_size": f"""select count(*) chunks, sum(len({plans._W.format('source')}))::bigint words_A, sum(len({plans._W.format('lang')}))::bigint words_B,
+sum(len({plans._W.format('text')}))::bigint words_C from documents""",
     "index_text_rank": plans.SQL["text_rank"],
     "index_text_match": plans.SQL["text_and_match"],
     "index_bm25": plans.SQL["text_bm25"],
