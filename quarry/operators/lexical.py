@@ -22,9 +22,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
@@ -142,6 +145,29 @@ def _next_segment(before: Version) -> int:
     return before.spark.read.parquet(f"{before.path}/versions").agg(F.max("segment")).first()[0] + 1
 
 
+def _counted(rows: DataFrame, weights: list[str]) -> DataFrame:
+    """(tok, id, cell, n_<weight>, tf_<weight>): the distinct words of every chunk, counted where its words are made."""
+    kept = ["id", "cell", *[f"n_{w}" for w in weights]]
+    schema = StructType([StructField("tok", StringType()), *rows.select(*kept).schema.fields, *[StructField(f"tf_{w}", IntegerType()) for w in weights]])
+
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(len(kept) + i) for i in range(len(weights))]
+            flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            if not len(flat):
+                continue
+            lengths = [np.asarray(x.value_lengths(), np.int64) for x in lists]
+            owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in lengths])
+            key, place = np.unique(owner * len(flat.dictionary) + np.asarray(flat.indices, np.int64), return_inverse=True)
+            edges = np.cumsum([0, *[n.sum() for n in lengths]])
+            often = [np.bincount(place[a:b], minlength=len(key)).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            whose = pa.array(key // len(flat.dictionary))
+            words = flat.dictionary.take(pa.array(key % len(flat.dictionary)))
+            yield pa.RecordBatch.from_arrays([words, *[batch.column(i).take(whose) for i in range(len(kept))], *[pa.array(x) for x in often]], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _put(before: Version, number: int, docs: DataFrame, counts, weights: list[str]) -> dict:
     """Write a segment: `docs` (id, n_<weight>, ...) and, from a function of the cell's column, (tok, id, cell, n_<weight>,
     tf_<weight>)."""
@@ -162,11 +188,13 @@ def _put(before: Version, number: int, docs: DataFrame, counts, weights: list[st
     n, tf = [F.col(f"n_{w}") for w in weights], [F.col(f"tf_{w}") for w in weights]
     part = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"tf_{w}") for w in weights]) / (1 + F.log(1.0 + _add(n)))
     most = [x for w in weights for x in (F.max(f"tf_{w}").alias(f"most_{w}"), F.min(f"n_{w}").alias(f"short_{w}"), F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}"))]
-    blocks = rows.withColumn("part", part).groupBy("tok", "cell").agg(
+    dealt = rows.withColumns({"part": part, "bucket": _hashed(F.col("tok"), folders), "file": _hashed(F.col("cell"), files)}).repartition(folders * files, "bucket", "file")
+    # a word's rows of a cell are in one task already, so nothing is shuffled again
+    blocks = dealt.groupBy("bucket", "file", "tok", "cell").agg(
         F.count("*").alias("n"), F.max("part").alias("peak"), *most, F.collect_list(F.struct("id", *n, *tf)).alias("rows")
     )
-    put = blocks.withColumn("bucket", _hashed(F.col("tok"), folders)).repartition(folders * files, "bucket", _hashed(F.col("cell"), files))
-    put.sortWithinPartitions("bucket", "tok", "cell").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
+    put = blocks.drop("file").sortWithinPartitions("bucket", "tok", "cell").write.mode("overwrite").partitionBy("bucket")
+    put.parquet(f"{path}/postings/segment={number}")
     sums = spark.read.schema(docs.select("id", *n).schema).parquet(target).agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"n_{w}") for x, w in zip(n, weights, strict=True)])
     return {"segment": number, "dead": 0, "folders": folders, "dead_from": before.segments[0]["dead_from"] if before.segments else before.number + 1, **sums.first().asDict()}
 
@@ -210,13 +238,8 @@ def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dic
         sizes = [F.size(f"words_{w}").alias(f"n_{w}") for w in weights]
 
         def counts(cell: Column) -> DataFrame:
-            def tagged(weight: str) -> Column:
-                return F.transform(f"words_{weight}", lambda t: F.struct(t.alias("tok"), F.lit(weight).alias("w")))
-
-            sized = rows.select("id", *sizes, F.flatten(F.array(*[tagged(w) for w in weights])).alias("p"))
-            words = sized.select("id", *[f"n_{w}" for w in weights], cell, F.explode("p").alias("p"))
-            tf = [F.count_if(F.col("p.w") == w).cast("int").alias(f"tf_{w}") for w in weights]
-            return words.groupBy("p.tok", "cell", "id", *[f"n_{w}" for w in weights]).agg(*tf)
+            sized = rows.select("id", *sizes, *[f"words_{w}" for w in weights])
+            return _counted(sized.select("id", cell, *[f"n_{w}" for w in weights], *[f"words_{w}" for w in weights]), weights)
 
         new = _put(before, number, rows.select("id", *sizes, *keep), counts, weights)
         if new["docs"]:

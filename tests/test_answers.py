@@ -44,7 +44,7 @@ def test_lists_outside_the_lengths_are_not_read(spark, tmp_path):
     names.write(rows, "symbol", str(tmp_path), ["id"])
     found = names.similar(spark, str(tmp_path), "common w0")
     plan = found._jdf.queryExecution().toString()
-    assert "LessThanOrEqual(size" in plan and "bucket" in plan.split("PartitionFilters")[1] and 0 < found.count() < 60
+    assert "GreaterThanOrEqual(size" in plan and "bucket" in plan.split("PartitionFilters")[1] and 0 < found.count() < 60
 
 
 def plain(chunks, queries, k):
