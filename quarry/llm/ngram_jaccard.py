@@ -5,11 +5,10 @@ are kept sorted (tree, path), so that the texts below a node of a trie, of whate
 over the sorted paths, with the lengths of the prefixes that neighbours share, gives the nodes of every depth. Texts
 below the same node are candidates.
 
-The match begins with prefixes of DEPTH values and is shortened value by value. After each step the candidates are
-verified exactly, on whole shingle sets, and the recall of each text is estimated from the links that it has: a link of
-similarity s is found at depth d with probability p = 1 - (1 - s ** d) ** TREES, so it stands for 1 / p links. A text
-whose estimated recall reaches `RECALL` asks no further (others may still find it); a text without a link goes on to
-the depth at which a link of just the least similarity is found with probability RECALL, where all end.
+The match begins with prefixes of DEPTH values and is shortened value by value, for all texts alike. After each step the
+candidates are verified exactly, on whole shingle sets. A link of similarity s is found at depth d with probability
+1 - (1 - s ** d) ** TREES; the match is shortened until the weakest link that was verified so far is found with
+probability `RECALL` at the depth reached, and at most to the depth at which a link of just the least similarity is.
 
 Texts with equal sets are one class, formed by partial aggregation; only classes go on. Only pairs that share a node are
 verified, each once: a pair belongs to the deepest level, and there to the first tree, in which it meets. Nodes of at
@@ -271,11 +270,11 @@ def _pairs(group: np.ndarray, block: np.ndarray, crossing: bool, strip: int = 1_
         yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
-def _meet(a, b, tree, comp, active, here: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
-    """Places of the pairs that are to be verified: those that share a node of this level and met at none deeper, one
-    of them at least asking. In a single node (tree 0 or more) the node's tree must be the first in which they meet,
+def _meet(a, b, tree, comp, here: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
+    """Places of the pairs that are to be verified: those that share a node of this level and met at none deeper, where
+    they have been verified. In a single node (tree 0 or more) the node's tree must be the first in which they meet,
     and they must not be of one group (comp 0 or more), which has its own turn. `here`, `deeper`: node keys by tree and row."""
-    left = np.flatnonzero(active[a] | active[b])
+    left = np.arange(len(a))
     in_node = tree[a[left]] >= 0
     left = left[~in_node | (comp[a[left]] < 0) | (comp[a[left]] != comp[b[left]])]
     if deeper is not None:
@@ -304,15 +303,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verified(level: int, floor: int, similarity: float):
+def _verified(level: int, similarity: float):
     """Function of the rows of one task's groups: per class its links there, one class that it is connected with, and
-    how many links its own stand for at this level and at each shallower one."""
+    the similarity of its weakest link."""
 
     def verify(rows: pa.Table) -> pa.Table:
         group, name = np.asarray(rows["group"]), rows["class"].combine_chunks().dictionary_encode()
         order = np.argsort(group, kind="stable")
         column = lambda c: np.asarray(rows[c])[order]
-        group, block, tree, active, copies = group[order], column("block"), column("tree"), column("active"), column("copies").astype(np.float64)
+        group, block, tree, copies = group[order], column("block"), column("tree"), column("copies").astype(np.float64)
         comp = np.asarray(rows["comp"].fill_null(-1))[order]
         code, names = np.asarray(name.indices)[order], name.dictionary
         values = _fixed(rows["paths"], 2 * TREES * DEPTH).view(">u2").reshape(-1, TREES, DEPTH).astype(np.uint16)[order]
@@ -323,11 +322,10 @@ def _verified(level: int, floor: int, similarity: float):
         starts, flat = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64)))), np.asarray(lists.flatten())
         sizes = np.diff(starts)
         crossing = rows["i"][0].as_py() != rows["j"][0].as_py() and rows["j"][0].as_py() >= 0
-        links, number = np.zeros(len(names)), np.zeros(len(names), np.int64)
-        stand = np.zeros((len(names), DEPTH - floor + 1))
+        links, weakest = np.zeros(len(names)), np.full(len(names), np.inf)
         linked_a, linked_b = [], []
         for a, b in _pairs(group, block, crossing):
-            met = _meet(a, b, tree, comp, active, here, deeper)
+            met = _meet(a, b, tree, comp, here, deeper)
             a, b = a[met], b[met]
             if not len(a):
                 continue
@@ -337,22 +335,18 @@ def _verified(level: int, floor: int, similarity: float):
             a, b, alike = a[good], b[good], both[good] / union[good]
             ca, cb = code[a], code[b]
             links += np.bincount(ca, copies[b], len(names)) + np.bincount(cb, copies[a], len(names))
-            number += np.bincount(ca, minlength=len(names)) + np.bincount(cb, minlength=len(names))
-            for d in range(level, floor - 1, -1):
-                each = 1 / found_at(alike, d)
-                stand[:, DEPTH - d] += np.bincount(ca, each, len(names)) + np.bincount(cb, each, len(names))
+            np.minimum.at(weakest, ca, alike)
+            np.minimum.at(weakest, cb, alike)
             root = _roots(len(names), ca, cb)  # what connects is enough: at most one link per class is kept
             linked_a.append(np.flatnonzero(root != np.arange(len(names))))
             linked_b.append(root[linked_a[-1]])
         if not linked_a:
-            return pa.table({c: pa.array([], t) for c, t in zip(("class", "root", "links", "number", "stand"), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)})
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64())
+            return pa.table({c: pa.array([], t) for c, t in zip(("class", "root", "links", "weakest"), kinds, strict=True)})
         root = _roots(len(names), np.concatenate(linked_a), np.concatenate(linked_b))
-        on = np.flatnonzero(number)
+        on = np.flatnonzero(weakest < np.inf)
         return pa.table(
-            {
-                "class": names.take(pa.array(on)), "root": names.take(pa.array(root[on])), "links": pa.array(np.rint(links[on]).astype(np.int64)),
-                "number": pa.array(number[on]), "stand": pa.array(list(stand[on]), pa.list_(pa.float64())),
-            }
+            {"class": names.take(pa.array(on)), "root": names.take(pa.array(root[on])), "links": pa.array(np.rint(links[on]).astype(np.int64)), "weakest": pa.array(weakest[on])}
         )
 
     return verify
@@ -368,9 +362,9 @@ def _thick(members: DataFrame) -> DataFrame:
 
 
 def _groups(here: DataFrame) -> DataFrame:
-    """(group, tree, comp, class, size, active): what is verified together. tree is -1 for a group of classes that larger
+    """(group, tree, comp, class, size): what is verified together. tree is -1 for a group of classes that larger
     nodes connect; in a single node, comp says which classes have such a group."""
-    rest = ["class", "size", "active"]
+    rest = ["class", "size"]
     inside = here.filter("comp is not null").select("comp", *rest).distinct()
     blocks = F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_ROWS)
     whole = inside.groupBy("comp").agg(blocks.alias("blocks")).filter(F.col("blocks") <= MOST_BLOCKS).select("comp", F.lit(True).alias("whole"))
@@ -384,8 +378,8 @@ def _groups(here: DataFrame) -> DataFrame:
     )
 
 
-def _links_at(here: DataFrame, sets: DataFrame, level: int, floor: int, similarity: float) -> DataFrame:
-    """class, root, links, number, stand: the links found at one level."""
+def _links_at(here: DataFrame, sets: DataFrame, level: int, similarity: float) -> DataFrame:
+    """class, root, links, weakest: the links found at one level."""
     groups = cut(_groups(here))
     needed = F.ceil(F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_ROWS)).cast("int")
     large = groups.groupBy("group").agg(needed.alias("blocks")).filter("blocks > 1")
@@ -400,12 +394,12 @@ def _links_at(here: DataFrame, sets: DataFrame, level: int, floor: int, similari
         F.when(~alone, F.col("group")).alias("unit"),
         F.when(alone, F.pmod(F.xxhash64("group", F.lit(2)), F.lit(units)).cast("int")).otherwise(F.least("block", "other")).alias("i"),
         F.when(alone, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("j"),
-        "group", "tree", "comp", "block", "active", "class",
+        "group", "tree", "comp", "block", "class",
     )
     return (
         dealt.join(sets, "class")
         .groupBy("unit", "i", "j")
-        .applyInArrow(_verified(level, floor, similarity), "class binary, root binary, links long, number long, stand array<double>")
+        .applyInArrow(_verified(level, similarity), "class binary, root binary, links long, weakest double")
     )
 
 
@@ -415,20 +409,14 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, similarity: float,
     members = cut(_members(_nodes(classes, floor)))
     sets = _sets_of(rows, members.select("class").distinct().join(classes, "class"), words)
     members = members.join(_thick(members), "class", "left")
-    found = None
+    found, weakest = None, math.inf
     for level in range(DEPTH, floor - 1, -1):
-        here = members.filter(F.col("level") == level)
-        if found is None:
-            here = here.withColumn("active", F.lit(True))
-        else:
-            per = found.groupBy("class").agg(F.sum("number").alias("n"), F.sum(F.get("stand", F.lit(DEPTH - level - 1))).alias("of"))
-            content = per.filter(F.col("n") >= recall * F.col("of")).select("class", F.lit(True).alias("content"))
-            here = here.join(content, "class", "left").withColumn("active", F.col("content").isNull()).drop("content")
-            here = cut(here)
-            asked = here.filter("active").select("key").distinct()
-            here = salted(here, asked, "key", F.col("class"))
-        new = cut(_links_at(here, sets, level, floor, similarity))
+        new = cut(_links_at(members.filter(F.col("level") == level), sets, level, similarity))
+        least = new.agg(F.min("weakest")).first()[0]
         found = new if found is None else found.union(new)
+        weakest = weakest if least is None else min(weakest, least)
+        if weakest < math.inf and found_at(weakest, level) >= recall:
+            break
     labels = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     return sums.join(labels.select(F.col("node").alias("class"), "label"), "class")

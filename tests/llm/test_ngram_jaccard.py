@@ -136,7 +136,7 @@ def test_each_pair_meets_once():
             for key in np.unique(here[t]):
                 inside = np.flatnonzero(here[t] == key)
                 a, b = (inside[x] for x in np.triu_indices(len(inside), 1))
-                on = J._meet(a, b, np.full(12, t), np.full(12, -1), np.ones(12, bool), here, deeper)
+                on = J._meet(a, b, np.full(12, t), np.full(12, -1), here, deeper)
                 times[a[on], b[on]] += 1
     shares = (values[:, None, :, :5] == values[None, :, :, :5]).all(-1).any(-1)
     assert (times == np.triu(shares, 1)).all()
@@ -153,3 +153,18 @@ def test_query(spark, medium):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{medium}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.op9_ngram_jaccard(spark, medium).collect()}
     assert got == {r[0]: w for r, w in zip(rows, plain(rows), strict=True)}
+
+
+def test_weak_links_beside_strong_ones(spark):
+    """Texts that have strong links still find their weak ones."""
+    rng, rows = random.Random(4), []
+    for g in range(300):
+        base = [f"v{rng.randrange(5000)}" for _ in range(104)]
+        weak = list(base)
+        weak[40] = weak[60] = "other"  # ten of a hundred shingles: 90 / 110 of the base
+        near = list(base)
+        near[-1] = "other"
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(near)), (3 * g + 2, " ".join(weak))]
+    want = {r[0]: w for r, w in zip(rows, plain(rows), strict=True)}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(n for _, n in want.values()) >= 1500 and got == want
