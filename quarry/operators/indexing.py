@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
@@ -21,6 +22,8 @@ from quarry.functions import text as T
 from quarry.operators import chunking, context, corpus
 
 DIMENSIONS, EMBED_BATCH, DESCRIBE_BATCH, TRIES = 1024, 128, 15, 5
+#: Seconds for which a provider's result is kept.
+REMEMBERED = 300
 
 
 def hashed_words(texts: list[str]) -> list[list[float]]:
@@ -80,6 +83,38 @@ def embedded(chunks: DataFrame, text: str, provider: Callable = hashed_words, di
     return chunks.withColumn("_text", F.col(text)).mapInArrow(run, schema)
 
 
+def remembered(
+    chunks: DataFrame, text: str, path: str, now: str, provider: Callable = hashed_words, dimensions: int = DIMENSIONS, seconds: int = REMEMBERED
+) -> DataFrame:
+    """Chunks with `embedding`, as `embedded` gives them. The results of a provider are kept in a table by the hash of the text
+    for `seconds`; it is called once for each distinct text that the table doesn't have, at the time `now`."""
+    spark, at = chunks.sparkSession, F.lit(now).cast("timestamp")
+    schema = "hash string, embedding array<float>, at timestamp"
+    if not known_folder(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+
+    def held() -> DataFrame:
+        rows = spark.read.schema(schema).parquet(path).filter((F.col("at") <= at) & (F.col("at") > at - F.make_interval(secs=F.lit(seconds))))
+        return rows.groupBy("hash").agg(F.max_by("embedding", "at").alias("embedding"))
+
+    hashed = chunks.withColumn("_hash", T.content_hash(F.coalesce(F.col(text), F.lit(""))))
+    asked = hashed.select("_hash", text).dropDuplicates(["_hash"]).join(held().withColumnRenamed("hash", "_hash"), "_hash", "left_anti")
+    new = embedded(asked, text, provider, dimensions).select(F.col("_hash").alias("hash"), "embedding", at.alias("at"))
+    new.write.mode("append").parquet(path)
+    return hashed.join(held(), F.col("_hash") == F.col("hash")).drop("_hash", "hash")
+
+
+def known_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at a path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        return False
+    return True
+
+
 def described(chunks: DataFrame, text: str, provider: Callable = undescribed) -> DataFrame:
     """Chunks with `context`; where the provider fails or gives too few, it is null."""
 

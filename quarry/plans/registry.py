@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, answers, corpus, retrieval, search
+from . import accounts, answers, corpus, machines, retrieval, search
 
-PARTS = [retrieval, search, answers, corpus, accounts]
+PARTS = [retrieval, search, answers, machines, corpus, accounts]
 
 
 def queries() -> dict:

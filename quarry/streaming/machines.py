@@ -77,6 +77,9 @@ class _Machine(StatefulProcessor):
 
     schema = ""
 
+    def __init__(self, **how):
+        self.how = how
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.schema)
@@ -109,7 +112,7 @@ class Jobs(_Machine):
     def rows(self, key, events, state):
         out = []
         for us, i, what in events:
-            state, new = job_step(state, us, what)
+            state, new = job_step(state, us, what, **self.how)
             job, status, _, started, ended = state or (None,) * 5
             out.append((key[0], i, job, status, new, started, ended))
         return state, out
@@ -119,12 +122,12 @@ class Jobs(_Machine):
             self.handle.deleteTimer(timer)
         if state is not None and state[1] in IN_PROGRESS:
             began = state[2] if state[3] is None else state[3]
-            self.handle.registerTimer(began // 1000 + STALE_MINUTES * 60_000 + 1)
+            self.handle.registerTimer(began // 1000 + self.how.get("minutes", STALE_MINUTES) * 60_000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """A job of which nothing came in time has failed; a row without an event's id."""
         before = tuple(self.state.get()) if self.state.exists() else None
-        state = lapsed(before, expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999)
+        state = lapsed(before, expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999, **self.how)
         if state is not None and state != before:
             self.state.update(state)
             yield pd.DataFrame([(key[0], None, state[0], state[1], False, state[3], state[4])], columns=self.columns)
@@ -137,7 +140,7 @@ class Cache(_Machine):
     def rows(self, key, events, state):
         out = []
         for us, i, what in events:
-            state, hit = cache_step(state, us, what)
+            state, hit = cache_step(state, us, what, **self.how)
             out.append((key[0], i, hit))
         return state, out
 
@@ -145,7 +148,7 @@ class Cache(_Machine):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if state is not None:
-            self.handle.registerTimer(state[0] // 1000 + CACHE_SECONDS * 1000 + 1)
+            self.handle.registerTimer(state[0] // 1000 + self.how.get("seconds", CACHE_SECONDS) * 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """What has expired takes no room any more."""
@@ -186,8 +189,8 @@ def rocks(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def machine(events: DataFrame, name: str, late: str = "10 minutes") -> DataFrame:
-    """A stream of events (key, ts, id, what) run through a machine: jobs, cache or polls."""
+def machine(events: DataFrame, name: str, late: str = "10 minutes", **how) -> DataFrame:
+    """A stream of events (key, ts, id, what) run through a machine: jobs (`minutes`), cache (`seconds`) or polls."""
     kind, out = MACHINES[name]
     rows = events.withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("us"), "id", "what")
-    return rows.groupBy("key").transformWithStateInPandas(kind(), outputStructType=out, outputMode="append", timeMode="eventTime")
+    return rows.groupBy("key").transformWithStateInPandas(kind(**how), outputStructType=out, outputMode="append", timeMode="eventTime")

@@ -59,3 +59,24 @@ def test_descriptions(spark):
     few = I.described(rows, "text", lambda texts: [t.upper() for t in texts[:-1]])
     assert few.filter("context is null").count() >= 1 and few.filter(F.col("context") == F.upper("text")).count() >= 30
     assert I.described(rows, "text").filter("context is not null").count() == 0
+
+
+def test_results_are_remembered_for_a_time(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, " ")], "id long, text string")
+    calls, path = spark.sparkContext.accumulator(0), f"{tmp_path}/cache"
+
+    def counting(texts):
+        calls.add(len(texts))
+        return I.hashed_words(texts)
+
+    def run(now, more=None):
+        given = rows if more is None else rows.unionByName(spark.createDataFrame(more, rows.schema))
+        before = calls.value
+        out = {r["id"]: r["embedding"] for r in I.remembered(given, "text", path, now, counting).collect()}
+        return out, calls.value - before
+
+    first, n = run("2024-01-01 00:00:00")
+    assert n == 2 and set(first) == {1, 2, 3, 4, 5} and first[1] == first[2] and any(first[1]) and not any(first[4]) and not any(first[5])
+    assert run("2024-01-01 00:04:59") == (first, 0)
+    assert run("2024-01-01 00:04:00", [(6, "new")])[1] == 1
+    assert run("2024-01-01 00:05:01")[1] == 2
