@@ -12,14 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from quarry.functions import paths as P
 from quarry.functions import text as T
 from quarry.operators import chunking, context, corpus
+from quarry.sources.store import known_folder
 
 DIMENSIONS, EMBED_BATCH, DESCRIBE_BATCH, TRIES = 1024, 128, 15, 5
 #: Seconds for which a provider's result is kept.
@@ -104,17 +104,6 @@ def remembered(
     return hashed.join(held(), F.col("_hash") == F.col("hash")).drop("_hash", "hash")
 
 
-def known_folder(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written at a path."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
-            raise
-        return False
-    return True
-
-
 def described(chunks: DataFrame, text: str, provider: Callable = undescribed) -> DataFrame:
     """Chunks with `context`; where the provider fails or gives too few, it is null."""
 

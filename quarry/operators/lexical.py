@@ -2,17 +2,17 @@
 
 An index is a folder of Parquet tables. Chunks are written as segments, which never change:
 
-docs/segment=s            a row per chunk: id, cell, number of words by weight, and what else is to be kept of it
-postings/segment=s        a row per word and cell, in folders by a hash of the word and sorted by it: how many chunks of the
-                          cell hold it, the most that it can add to a score there, and the chunks with their counts
-dead/version=v            chunks of segments that are gone: segment, id, cell, numbers of words
+written/segment=s/kind=0  a row per chunk: cell, place in it, id, numbers of words by weight, and what else is kept of it
+postings/segment=s        a row per word and cell, in folders by a hash of the word and sorted by it: the places of the chunks
+                          that hold it and how often, and the most that it can add to a score there
+dead/version=v            chunks that are gone: segment, cell, place, numbers of words
 versions/version=v        the segments of that version with their totals; what it doesn't name isn't read
 
-A cell is a set of at most about `CELL` chunks of a segment, all of about one length, and the same for all words, so that the
-cells' bounds are sums over the words. A search for the k best reads the small columns of its words' cells, scores the
-cells of highest bound, and then only those whose bound reaches the k-th score found. A change writes one segment with
-the new chunks and names the old ones dead; `merge` puts segments of one size together from their postings, without
-the dead and without reading texts.
+A cell is a set of at most `CELL` chunks, of nearly one length, that one task has written; it is the same for all words, so
+that the cells' bounds are sums over the words, and it stays what it is when segments merge. A search for the k best
+reads the small columns of its words' cells, scores the cells of highest bound, and then only those whose bound reaches
+the k-th score found. A change writes one segment with the new chunks and names the old ones dead; `merge` puts segments
+of one size together from their postings, without the dead and without reading texts.
 
 One writer at a time. A write that fails leaves files that no version names; the next one writes over them.
 """
@@ -24,19 +24,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
+from quarry.sources.store import known_folder
 
 CELL = 1024
+#: Chunks and words that a task sorts by length before it cuts them into cells.
+SORTED, SORTED_WORDS = 8 * CELL, 8_000_000
 #: Words of a folder of postings, folders at most, and words of one file of a folder.
 FOLDER_WORDS, FOLDERS, FILE_WORDS = 2_000_000, 4096, 16_000_000
 #: Cells that a search scores before it knows a threshold.
-FIRST = 32
+FIRST, FIRST_MANY = 32, 4
 #: Segments of one size that are merged, and the base of the sizes.
 MERGED = 4
 #: A score's bound is sure beyond its rounding.
@@ -47,10 +51,6 @@ def _add(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _length_class(n: Column) -> Column:
-    return F.floor(F.lit(4.0) * F.log2(F.lit(1.0) + n)).cast("int")
-
-
 def _hashed(of: Column, parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
@@ -72,20 +72,25 @@ class Version:
     def words(self, weight: str) -> int:
         return sum(s[f"n_{weight}"] for s in self.segments)
 
-    def _table(self, name: str) -> DataFrame | None:
+    def _table(self, name: str, below: str = "") -> DataFrame | None:
         """A table's rows of the segments; None if it has no file with rows."""
         if not self.segments:
             return None
-        numbers = [s["segment"] for s in self.segments]
+        folders = [f"{self.path}/{name}/segment={s['segment']}{below}" for s in self.segments]
         try:
-            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/segment={n}" for n in numbers])
+            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*folders)
         except AnalysisException as e:
             if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
                 raise
             return None
 
+    def chunks(self) -> DataFrame | None:
+        """All chunks, the dead ones too: segment, cell, ord, id, numbers of words, what is kept."""
+        rows = self._table("written", "/kind=0")
+        return None if rows is None else rows.drop("kind", *_block_columns(self.weights))
+
     def dead(self) -> DataFrame | None:
-        """(segment, id, cell) of chunks that are gone; None if there are none."""
+        """(segment, cell, ord) of chunks that are gone; None if there are none."""
         if not any(s["dead"] for s in self.segments):
             return None
         first = self.segments[0]["dead_from"]
@@ -93,12 +98,9 @@ class Version:
         return rows.filter(F.col("segment").isin([s["segment"] for s in self.segments])).drop("version")
 
     def live(self) -> DataFrame | None:
-        """The chunks that the index holds, with segment, cell and numbers of words."""
-        return self.without_dead(self._table("docs"))
-
-    def without_dead(self, rows: DataFrame | None) -> DataFrame | None:
-        gone = self.dead()
-        return rows if rows is None or gone is None else rows.join(gone.select("segment", "id"), ["segment", "id"], "left_anti")
+        """The chunks that the index holds."""
+        rows, gone = self.chunks(), self.dead()
+        return rows if rows is None or gone is None else rows.join(gone.select("cell", "ord"), ["cell", "ord"], "left_anti")
 
     def blocks(self, wanted: list[str]) -> DataFrame | None:
         """Postings of the wanted words: of the folders that their hashes name, the row groups that hold them."""
@@ -145,58 +147,96 @@ def _next_segment(before: Version) -> int:
     return before.spark.read.parquet(f"{before.path}/versions").agg(F.max("segment")).first()[0] + 1
 
 
-def _counted(rows: DataFrame, weights: list[str]) -> DataFrame:
-    """(tok, id, cell, n_<weight>, tf_<weight>): the distinct words of every chunk, counted where its words are made."""
-    kept = ["id", "cell", *[f"n_{w}" for w in weights]]
-    schema = StructType([StructField("tok", StringType()), *rows.select(*kept).schema.fields, *[StructField(f"tf_{w}", IntegerType()) for w in weights]])
+def _block_columns(weights) -> list[str]:
+    return ["tok", "ords", *[f"tf_{w}" for w in weights], "peak", *[f"short_{w}" for w in weights]]
+
+
+def _block_types(weights) -> list[tuple[str, str]]:
+    return [(c, "string" if c == "tok" else "double" if c == "peak" else "int" if c.startswith("short") else "array<int>") for c in _block_columns(weights)]
+
+
+def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
+    """Chunks (id, words_<weight>, what is kept) as rows of two kinds: chunks (0) with cell, ord and n_<weight>, and the blocks
+    (1) of each word of a cell with ords, tf_<weight> (null where it doesn't stand), peak and short_<weight>."""
+    kept = [f for f in rows.schema.fields if not f.name.startswith("words_")]
+    ints, blocks = ArrayType(IntegerType()), _block_columns(weights)
+    types = {"tok": StringType(), "ords": ints, "peak": DoubleType(), **{f"tf_{w}": ints for w in weights}, **{f"short_{w}": IntegerType() for w in weights}}
+    head = [StructField("kind", IntegerType()), StructField("cell", LongType()), StructField("ord", IntegerType())]
+    schema = StructType([*head, *[StructField(f.name, f.dataType) for f in kept], *[StructField(f"n_{w}", IntegerType()) for w in weights], *[StructField(c, types[c]) for c in blocks]])
+    names = schema.names
+    arrow = {"tok": pa.string(), "ords": pa.list_(pa.int32()), "peak": pa.float64(), **{f"tf_{w}": pa.list_(pa.int32()) for w in weights}, **{f"short_{w}": pa.int32() for w in weights}}
+
+    def listed(values: np.ndarray, starts: np.ndarray, there: np.ndarray) -> pa.Array:
+        """The values of each block as a list, null where none is there."""
+        sizes = np.where(there, np.diff(starts, append=len(values)), 0)
+        whose = np.repeat(there, np.diff(starts, append=len(values)))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values[whose].astype(np.int32)), mask=pa.array(~there))
+
+    def cell_rows(part: pa.Table, cell: int):
+        lists = [part[f"words_{w}"].combine_chunks() for w in weights]
+        lengths = [np.asarray(x.value_lengths(), np.int64) for x in lists]
+        n = part.num_rows
+        own = {"kind": pa.array(np.zeros(n, np.int32)), "cell": pa.array(np.full(n, cell)), "ord": pa.array(np.arange(n, dtype=np.int32))}
+        own |= {f.name: part[f.name].combine_chunks() for f in kept} | {f"n_{w}": pa.array(x.astype(np.int32)) for w, x in zip(weights, lengths, strict=True)}
+        yield pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, arrow[c]) for c in names], names)
+        flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        if not len(flat):
+            return
+        owner = np.concatenate([np.repeat(np.arange(n), x) for x in lengths])
+        key, place = np.unique(np.asarray(flat.indices, np.int64) * n + owner, return_inverse=True)
+        edges = np.cumsum([0, *[x.sum() for x in lengths]])
+        often = [np.bincount(place[a:b], minlength=len(key)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        code, ords = key // n, key % n
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        score = sum(FIELD_WEIGHTS[w] * x for w, x in zip(weights, often, strict=True)) / (1 + np.log(1.0 + sum(lengths)[ords]))
+        count = len(starts)
+        made = {"kind": pa.array(np.ones(count, np.int32)), "cell": pa.array(np.full(count, cell)), "tok": flat.dictionary.take(pa.array(code[starts]))}
+        made |= {"ords": listed(ords, starts, np.ones(count, bool)), "peak": pa.array(np.maximum.reduceat(score, starts))}
+        for w, x, size in zip(weights, often, lengths, strict=True):
+            made |= {f"tf_{w}": listed(x, starts, np.maximum.reduceat(x, starts) > 0), f"short_{w}": pa.array(np.minimum.reduceat(size[ords], starts).astype(np.int32))}
+        kinds = {f.name: part.schema.field(f.name).type for f in kept} | {"ord": pa.int32()} | {f"n_{w}": pa.int32() for w in weights}
+        yield pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(count, kinds.get(c, arrow.get(c))) for c in names], names)
 
     def run(batches):
+        first, cells, held, size, words = (number << 40) + (TaskContext.get().partitionId() << 20), 0, [], 0, 0
+
+        def cut():
+            nonlocal cells
+            table = pa.Table.from_batches(held)
+            total = sum(np.asarray(table[f"words_{w}"].combine_chunks().value_lengths(), np.int64) for w in weights)
+            order = np.argsort(total, kind="stable")
+            for a in range(0, len(order), CELL):
+                yield from cell_rows(table.take(pa.array(order[a : a + CELL])), first + cells)
+                cells += 1
+
         for batch in batches:
-            lists = [batch.column(len(kept) + i) for i in range(len(weights))]
-            flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
-            if not len(flat):
-                continue
-            lengths = [np.asarray(x.value_lengths(), np.int64) for x in lists]
-            owner = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in lengths])
-            key, place = np.unique(owner * len(flat.dictionary) + np.asarray(flat.indices, np.int64), return_inverse=True)
-            edges = np.cumsum([0, *[n.sum() for n in lengths]])
-            often = [np.bincount(place[a:b], minlength=len(key)).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            whose = pa.array(key // len(flat.dictionary))
-            words = flat.dictionary.take(pa.array(key % len(flat.dictionary)))
-            yield pa.RecordBatch.from_arrays([words, *[batch.column(i).take(whose) for i in range(len(kept))], *[pa.array(x) for x in often]], schema.names)
+            held.append(batch)
+            size, words = size + batch.num_rows, words + sum(len(batch.column(f"words_{w}").flatten()) for w in weights)
+            if size >= SORTED or words >= SORTED_WORDS:
+                yield from cut()
+                held, size, words = [], 0, 0
+        if size:
+            yield from cut()
 
     return rows.mapInArrow(run, schema)
 
 
-def _put(before: Version, number: int, docs: DataFrame, counts, weights: list[str]) -> dict:
-    """Write a segment: `docs` (id, n_<weight>, ...) and, from a function of the cell's column, (tok, id, cell, n_<weight>,
-    tf_<weight>)."""
+def _put(before: Version, number: int, blocks: DataFrame, weights: list[str]) -> dict:
+    """Write a segment's postings, from blocks; its chunks have been written."""
     spark, path = before.spark, before.path
-    total = _add([F.col(f"n_{w}") for w in weights])
-    target = f"{path}/docs/segment={number}"
-    sizes = docs.groupBy(_length_class(total).alias("c")).agg(F.count("*").alias("n"), F.sum(total).alias("words")).collect()  # a row per class of lengths
-    parts = [1] * (max([r["c"] for r in sizes], default=0) + 1)
-    for r in sizes:
-        parts[r["c"]] = -(-r["n"] // CELL)
-    dealt = F.element_at(F.array(*[F.lit(p) for p in parts]), _length_class(total) + 1)
-    cell = (_length_class(total).cast("long") * (1 << 32) + _hashed(F.col("id"), dealt)).alias("cell")
-    docs.select(cell, "*").write.mode("overwrite").parquet(target)
-    words = sum(r["words"] or 0 for r in sizes)
+    chunks = spark.read.parquet(f"{path}/written/segment={number}/kind=0")
+    sums = chunks.agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(f"n_{w}"), F.lit(0)).alias(f"n_{w}") for w in weights]).first().asDict()
+    words = sum(sums[f"n_{w}"] for w in weights)
     folders = max(1, min(FOLDERS, -(-words // FOLDER_WORDS)))
     files = max(1, -(-words // (folders * FILE_WORDS)))
-    rows = counts(cell)
-    n, tf = [F.col(f"n_{w}") for w in weights], [F.col(f"tf_{w}") for w in weights]
-    part = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"tf_{w}") for w in weights]) / (1 + F.log(1.0 + _add(n)))
-    most = [x for w in weights for x in (F.max(f"tf_{w}").alias(f"most_{w}"), F.min(f"n_{w}").alias(f"short_{w}"), F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}"))]
-    dealt = rows.withColumns({"part": part, "bucket": _hashed(F.col("tok"), folders), "file": _hashed(F.col("cell"), files)}).repartition(folders * files, "bucket", "file")
-    # a word's rows of a cell are in one task already, so nothing is shuffled again
-    blocks = dealt.groupBy("bucket", "file", "tok", "cell").agg(
-        F.count("*").alias("n"), F.max("part").alias("peak"), *most, F.collect_list(F.struct("id", *n, *tf)).alias("rows")
-    )
-    put = blocks.drop("file").sortWithinPartitions("bucket", "tok", "cell").write.mode("overwrite").partitionBy("bucket")
-    put.parquet(f"{path}/postings/segment={number}")
-    sums = spark.read.schema(docs.select("id", *n).schema).parquet(target).agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"n_{w}") for x, w in zip(n, weights, strict=True)])
-    return {"segment": number, "dead": 0, "folders": folders, "dead_from": before.segments[0]["dead_from"] if before.segments else before.number + 1, **sums.first().asDict()}
+    stats = {"n": F.size("ords")}
+    for w in weights:
+        stats |= {f"most_{w}": F.coalesce(F.array_max(f"tf_{w}"), F.lit(0)), f"df_{w}": F.coalesce(F.size(F.filter(f"tf_{w}", lambda x: x > 0)), F.lit(0))}
+    dealt = blocks.select("cell", *_block_columns(weights)).withColumn("bucket", _hashed(F.col("tok"), folders)).repartition(folders * files, "bucket", _hashed(F.col("cell"), files))
+    sorted_ = dealt.withColumns(stats).sortWithinPartitions("bucket", "tok", "cell")
+    sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
+    return {"segment": number, "dead": 0, "folders": folders, "dead_from": before.segments[0]["dead_from"] if before.segments else before.number + 1, **sums}
 
 
 def _removed(before: Version, gone: DataFrame, version: int, weights: list[str]) -> list[dict]:
@@ -206,7 +246,7 @@ def _removed(before: Version, gone: DataFrame, version: int, weights: list[str])
         return [dict(s) for s in before.segments]
     sizes = [f"n_{w}" for w in weights]
     target = f"{before.path}/dead/version={version}"
-    lost = live.join(gone.select(F.col(gone.columns[0]).alias("id")).distinct(), "id", "left_semi").select("segment", "id", "cell", *sizes)
+    lost = live.join(gone.select(F.col(gone.columns[0]).alias("id")).distinct(), "id", "left_semi").select("segment", "cell", "ord", *sizes)
     lost.write.mode("overwrite").parquet(target)
     of = before.spark.read.schema(lost.schema).parquet(target).groupBy("segment").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in sizes])
     less = {r["segment"]: r for r in of.collect()}  # a row per segment
@@ -235,15 +275,14 @@ def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dic
     if chunks is not None:
         of = lambda weight: F.flatten(F.array(*[T.words(c) for c, w in fields.values() if w == weight]))
         rows = chunks.select(F.col(id_col).alias("id"), *keep, *[of(w).alias(f"words_{w}") for w in weights])
-        sizes = [F.size(f"words_{w}").alias(f"n_{w}") for w in weights]
-
-        def counts(cell: Column) -> DataFrame:
-            sized = rows.select("id", *sizes, *[f"words_{w}" for w in weights])
-            return _counted(sized.select("id", cell, *[f"n_{w}" for w in weights], *[f"words_{w}" for w in weights]), weights)
-
-        new = _put(before, number, rows.select("id", *sizes, *keep), counts, weights)
-        if new["docs"]:
-            segments.append(new)
+        folder = f"{path}/written/segment={number}"
+        _celled(rows, weights, number).write.mode("overwrite").partitionBy("kind").parquet(folder)
+        if known_folder(spark, f"{folder}/kind=0"):
+            there = known_folder(spark, f"{folder}/kind=1")
+            blocks = spark.read.parquet(f"{folder}/kind={int(there)}").filter("tok is not null")
+            segments.append(_put(before, number, blocks, weights))
+            if there:  # they are in the postings now
+                spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{folder}/kind=1")
     return _commit(before, segments, weights)
 
 
@@ -286,18 +325,17 @@ def merge(spark: SparkSession, path: str, most: int = MERGED, every: bool = Fals
         return before
     part = Version(spark, path, before.number, tuple(s for s in before.segments if s["segment"] in chosen), before.weights)
     weights, number = list(before.weights), _next_segment(before)
-    n = [f"n_{w}" for w in weights]
-    docs = part.live().drop("segment", "cell")
-
-    def counts(cell: Column) -> DataFrame:
-        held = part._table("postings")
-        if held is None:
-            empty = ", ".join(["tok string", f"id {docs.schema['id'].dataType.simpleString()}", "cell long", *[f"{c} int" for c in n], *[f"tf_{w} int" for w in weights]])
-            return spark.createDataFrame([], empty)
-        rows = held.select("segment", "tok", F.explode("rows").alias("r")).select("segment", "tok", "r.*")
-        return part.without_dead(rows).select("tok", "id", *n, *[f"tf_{w}" for w in weights]).withColumn("cell", cell)
-
-    new = _put(before, number, docs, counts, weights)
+    part.live().drop("segment").write.mode("overwrite").parquet(f"{path}/written/segment={number}/kind=0")
+    blocks, lost = part._table("postings"), part.dead()
+    if blocks is None:
+        blocks = spark.read.parquet(f"{path}/written/segment={number}/kind=0").select("cell", *[F.lit(None).cast(t).alias(c) for c, t in _block_types(weights)]).filter(F.lit(False))
+    elif lost is not None:
+        zipped = F.arrays_zip("ords", *[f"tf_{w}" for w in weights])
+        left = blocks.withColumns({f"tf_{w}": F.coalesce(f"tf_{w}", F.transform("ords", lambda _: F.lit(0))) for w in weights})
+        left = left.join(lost.groupBy("cell").agg(F.collect_list("ord").alias("gone")), "cell", "left")  # a cell's places
+        left = left.withColumn("rows", F.when(F.col("gone").isNull(), zipped).otherwise(F.filter(zipped, lambda x: ~F.array_contains("gone", x["ords"]))))
+        blocks = left.filter("size(rows) > 0").withColumns({c: F.col(f"rows.{c}") for c in ("ords", *[f"tf_{w}" for w in weights])})
+    new = _put(before, number, blocks, weights)
     rest = [dict(s) for s in before.segments if s["segment"] not in chosen]
     version, gone = before.number + 1, before.dead()
     if gone is not None:  # those that still count begin the list anew
@@ -309,7 +347,7 @@ def merge(spark: SparkSession, path: str, most: int = MERGED, every: bool = Fals
 
 def _nothing(spark: SparkSession, version: Version) -> DataFrame:
     """(id, score) without rows, ids of the index's type."""
-    docs = version._table("docs")
+    docs = version.chunks()
     kind = "long" if docs is None else docs.schema["id"].dataType.simpleString()
     return spark.createDataFrame([], f"id {kind}, score double")
 
@@ -319,29 +357,36 @@ def _best(found: DataFrame, k: int | None) -> DataFrame:
 
 
 def _by_bound(version: Version, blocks: DataFrame, bounds: DataFrame, scored, k: int | None, read: dict | None) -> DataFrame:
-    """Scores of all rows of the cells in `bounds` (segment, cell, bound), or enough of them for the k best.
+    """Scores of all chunks of the cells in `bounds` (cell, bound), or of enough of them for the k best.
 
-    `scored`: (blocks) -> (id, score). `read` gets the cells that were scored and those that there are."""
+    `scored`: (blocks, chunks) -> (id, score). `read` gets the numbers of cells that are scored and that there are."""
+    chunks = version.live().select("cell", "ord", "id", *[f"n_{w}" for w in version.weights])
     if k is None:
-        return scored(blocks.join(bounds.select("segment", "cell"), ["segment", "cell"], "left_semi"))
-    best = bounds.orderBy(F.desc("bound"), "segment", "cell").limit(FIRST).collect()  # at most FIRST rows
-    if not best:
-        return scored(blocks.filter(F.lit(False)))
-    named = reduce(lambda a, b: a | b, [(F.col("segment") == r["segment"]) & (F.col("cell") == r["cell"]) for r in best])
-    # the cells are constants of the scan, which skips pages of postings by them
-    first = scored(blocks.filter(F.col("cell").isin(sorted({r["cell"] for r in best})) & named))
+        return scored(blocks.join(bounds.select("cell"), "cell", "left_semi"), chunks)
+    best = bounds.orderBy(F.desc("bound"), "cell").limit(FIRST).collect()  # at most FIRST rows
+    named = F.col("cell").isin([r["cell"] for r in best])  # constants of the scans, which skip pages by them
+    first = scored(blocks.filter(named), chunks.filter(named))
     top = _best(first, k).collect()  # k rows
     least = top[-1]["score"] if len(top) == k else 0.0
-    others = bounds.filter(~named & (F.col("bound") >= least - SURE))
+    others = bounds.filter(~named & (F.col("bound") >= least - SURE)).select("cell")
     if read is not None:
         read |= {"cells": len(best) + others.count(), "of": bounds.count()}
-    rest = scored(blocks.join(F.broadcast(others.select("segment", "cell")), ["segment", "cell"], "left_semi"))
+    rest = scored(blocks.join(F.broadcast(others), "cell", "left_semi"), chunks) if len(best) == FIRST else first.filter(F.lit(False))
     return version.spark.createDataFrame([tuple(r) for r in top], first.schema).unionByName(rest)
 
 
-def _rows(version: Version, blocks: DataFrame) -> DataFrame:
-    """(segment, tok, id, n_<weight>, tf_<weight>) of chunks that are there."""
-    return version.without_dead(blocks.select("segment", "cell", "tok", F.explode("rows").alias("r")).select("segment", "cell", "tok", "r.*"))
+def _rows(blocks: DataFrame, weights, *more: str) -> DataFrame:
+    """(more, cell, tok, ord, tf_<weight>) of the chunks in blocks."""
+    whole = blocks.withColumns({f"tf_{w}": F.coalesce(f"tf_{w}", F.transform("ords", lambda _: F.lit(0))) for w in weights})
+    zipped = F.inline(F.arrays_zip("ords", *[f"tf_{w}" for w in weights]))
+    return whole.select(*more, "cell", "tok", zipped).withColumnRenamed("ords", "ord")
+
+
+def _weighed(rows: DataFrame, chunks: DataFrame, weights, need, *more: str) -> DataFrame:
+    """(more, id, score) of the chunks that hold as many words as needed."""
+    held = rows.groupBy(*more, "cell", "ord").agg(F.count("*").alias("held"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]).filter(F.col("held") == need)
+    score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + _add([F.col(f"n_{w}") for w in weights])))
+    return held.join(chunks, ["cell", "ord"]).select(*[c for c in more if c != "need"], "id", F.round(score, DIGITS).alias("score"))
 
 
 def search(spark: SparkSession, path: str, query: str, k: int | None = None, read: dict | None = None) -> DataFrame:
@@ -350,17 +395,9 @@ def search(spark: SparkSession, path: str, query: str, k: int | None = None, rea
     blocks = version.blocks(wanted)
     if blocks is None:
         return _nothing(spark, version)
-    held = blocks.groupBy("segment", "cell").agg(F.count("*").alias("held"), F.sum("peak").alias("bound"))
-    weights = version.weights
-
-    def scored(some: DataFrame) -> DataFrame:
-        per = _rows(version, some).groupBy("segment", "id").agg(
-            F.count("*").alias("held"), F.first(_add([F.col(f"n_{w}") for w in weights])).alias("n"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]
-        )
-        score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
-        return per.filter(F.col("held") == len(wanted)).select("id", F.round(score, DIGITS).alias("score"))
-
-    return _best(_by_bound(version, blocks, held.filter(F.col("held") == len(wanted)), scored, k, read), k)
+    bounds = blocks.groupBy("cell").agg(F.count("*").alias("held"), F.sum("peak").alias("bound")).filter(F.col("held") == len(wanted))
+    scored = lambda some, chunks: _weighed(_rows(some, version.weights), chunks, version.weights, F.lit(len(wanted)))
+    return _best(_by_bound(version, blocks, bounds, scored, k, read), k)
 
 
 def _frequencies(version: Version, blocks: DataFrame, weight: str) -> dict[str, int]:
@@ -368,9 +405,8 @@ def _frequencies(version: Version, blocks: DataFrame, weight: str) -> dict[str,
     counted = blocks.groupBy("tok").agg(F.sum(f"df_{weight}").alias("df"))
     gone = version.dead()
     if gone is not None:
-        cells = gone.select("segment", "cell").distinct()
-        held = blocks.join(cells, ["segment", "cell"], "left_semi").select("segment", "tok", F.explode("rows").alias("r")).select("segment", "tok", "r.*")
-        lost = held.filter(F.col(f"tf_{weight}") > 0).join(gone.select("segment", "id"), ["segment", "id"], "left_semi").groupBy("tok").agg(F.count("*").alias("lost"))
+        held = _rows(blocks.join(gone.select("cell").distinct(), "cell", "left_semi"), version.weights).filter(F.col(f"tf_{weight}") > 0)
+        lost = held.join(gone.select("cell", "ord"), ["cell", "ord"], "left_semi").groupBy("tok").agg(F.count("*").alias("lost"))
         counted = counted.join(lost, "tok", "left").select("tok", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
     return {r["tok"]: r["df"] for r in counted.filter("df > 0").collect()}  # a row per word of the query
 
@@ -391,11 +427,11 @@ def bm25(spark: SparkSession, path: str, query: str, weight: str, k1: float = 1.
         return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.lit(mean or 1.0)))
 
     # more of a word and fewer words both raise a score
-    bounds = blocks.groupBy("segment", "cell").agg(F.sum(part(F.col(f"most_{weight}"), F.col(f"short_{weight}"))).alias("bound"))
+    bounds = blocks.groupBy("cell").agg(F.sum(part(F.col(f"most_{weight}"), F.col(f"short_{weight}"))).alias("bound"))
 
-    def scored(some: DataFrame) -> DataFrame:
-        rows = _rows(version, some).filter(F.col(f"tf_{weight}") > 0)
-        return rows.groupBy("segment", "id").agg(F.round(F.sum(part(F.col(f"tf_{weight}"), F.col(f"n_{weight}"))), DIGITS).alias("score")).filter("score > 0").select("id", "score")
+    def scored(some: DataFrame, chunks: DataFrame) -> DataFrame:
+        rows = _rows(some, version.weights).filter(F.col(f"tf_{weight}") > 0).join(chunks, ["cell", "ord"])
+        return rows.groupBy("cell", "ord", "id").agg(F.round(F.sum(part(F.col(f"tf_{weight}"), F.col(f"n_{weight}"))), DIGITS).alias("score")).filter("score > 0").select("id", "score")
 
     return _best(_by_bound(version, blocks, bounds, scored, k, read), k)
 
@@ -419,24 +455,19 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
     known = terms.join(sizes, "tok").withColumn("has", F.count("*").over(Window.partitionBy("q"))).filter("has = need")
     place = F.row_number().over(Window.partitionBy("q").orderBy("df", "tok"))
     ranked = known.withColumn("place", place).select("q", "tok", "need", "place")
-    small = postings.select("tok", "segment", "cell", "peak")
-    cells = ranked.filter("place = 1").join(small.drop("peak"), "tok").select("q", "segment", "cell")
-    held = cells.join(ranked, "q").join(small, ["tok", "segment", "cell"]).groupBy("q", "segment", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
-    bounds = held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "segment", "cell")))
-    weights = version.weights
+    small = postings.select("tok", "cell", "peak")
+    cells = ranked.filter("place = 1").join(small.drop("peak"), "tok").select("q", "cell")
+    held = cells.join(ranked, "q").join(small, ["tok", "cell"]).groupBy("q", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
+    bounds = held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cell")))
+    weights, chunks = version.weights, version.live().select("cell", "ord", "id", *[f"n_{w}" for w in version.weights])
 
     def scored(some: DataFrame) -> DataFrame:
-        blocks = some.select("q", "segment", "cell").join(ranked, "q").join(postings.select("tok", "segment", "cell", "rows"), ["tok", "segment", "cell"])
-        rows = blocks.select("q", "need", "segment", F.explode("rows").alias("r")).select("q", "need", "segment", "r.*")
-        per = version.without_dead(rows).groupBy("q", "segment", "id").agg(
-            F.count("*").alias("held"), F.first("need").alias("need"), F.first(_add([F.col(f"n_{w}") for w in weights])).alias("n"), *[F.sum(f"tf_{w}").alias(f"t_{w}") for w in weights]
-        )
-        score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
-        return per.filter("held = need").select("q", "id", F.round(score, DIGITS).alias("score"))
+        blocks = some.select("q", "cell").join(ranked.select("q", "tok", "need"), "q").join(postings.select("tok", "cell", "ords", *[f"tf_{w}" for w in weights]), ["tok", "cell"])
+        return _weighed(_rows(blocks, weights, "q", "need"), chunks, weights, F.col("need"), "q", "need")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    first = scored(bounds.filter(F.col("order") <= FIRST)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = scored(bounds.filter(F.col("order") <= FIRST_MANY)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     least = first.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
-    rest = bounds.filter(F.col("order") > FIRST).join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SURE))
+    rest = bounds.filter(F.col("order") > FIRST_MANY).join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SURE))
     found = first.drop("rank").unionByName(scored(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.join(asked.select("q", "qid"), "q").select("qid", "rank", "id", "score")

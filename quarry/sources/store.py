@@ -6,6 +6,7 @@ is a DataFrame that a caller writes with `replace_partitions`.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def known_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at a path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        return False
+    return True
+
+
 def list_files(spark: SparkSession, root: str, most: int | None = 5000) -> DataFrame:
     """(path, size) below a folder, in order of path; `most` is the listing's own limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -46,7 +46,7 @@ def test_stored_index_finds_what_a_scan_finds(spark, tmp_path, fields, monkeypat
 def test_index_keeps_itself(spark, tmp_path, fields):
     """Changed, removed and new chunks, merging, and a fresh start, each against a scan of what should be there."""
     path, there = f"{tmp_path}/i", {r[0]: r for r in ROWS}
-    table = lambda: spark.createDataFrame(sorted(there.values()), DOCS)
+    table = lambda: spark.createDataFrame(sorted(there.values(), key=lambda r: r[0]), DOCS)
     lexical.write(table(), fields, path, keep=["name"])
     steps = [([(2, "beta", "alpha"), (6, "alpha É", "beta beta")], [1]), ([(3, None, "alpha alpha")], [5, 77]), ([(7, "É", "missing")], []), ([], [2])]
     for new, gone in steps:
@@ -95,7 +95,7 @@ def test_only_cells_that_may_hold_the_best_are_read(spark, tmp_path, monkeypatch
     true = sorted(map(tuple, retrieval.text_search(docs, "common", fields).collect()), key=lambda r: (-r[1], r[0]))[:10]
     read = {}
     assert sorted(map(tuple, lexical.search(spark, f"{tmp_path}/i", "common", 10, read).collect())) == sorted(true)
-    assert read["cells"] < read["of"] / 4
+    assert read["cells"] < read["of"] / 3
     scan = sorted(map(tuple, retrieval.bm25(docs, "common x", F.col("text")).collect()), key=lambda r: (-r[1], r[0]))[:10]
     read = {}
     found = lexical.bm25(spark, f"{tmp_path}/i", "common x", "C", k=10, read=read).collect()
@@ -103,7 +103,7 @@ def test_only_cells_that_may_hold_the_best_are_read(spark, tmp_path, monkeypatch
 
 
 def test_many_questions(spark, tmp_path, fields, monkeypatch):
-    monkeypatch.setattr(lexical, "FIRST", 1)
+    monkeypatch.setattr(lexical, "FIRST_MANY", 1)
     monkeypatch.setattr(lexical, "CELL", 2)
     rows = ROWS + [(10 + i, "alpha" if i % 2 else "gamma", "beta " * (i % 5) + "alpha " * (i % 3)) for i in range(40)]
     docs, path = spark.createDataFrame(rows, DOCS), f"{tmp_path}/i"
