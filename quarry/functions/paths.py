@@ -42,6 +42,8 @@ IMPORTANT_FILES = [
     "docker-compose.yaml",
 ]
 LARGE_LINES, CHARS_PER_LINE = 50_000, 40
+# Fixed value: kilobytes beyond which a repository is warned of.
+LARGE_KB = 50_000
 
 
 def extension(path: Column) -> Column:
@@ -116,3 +118,8 @@ def is_included(path: Column, rules: list[str] = ()) -> Column:
 def lines_of(size: Column) -> Column:
     """Estimated lines of a file of so many bytes."""
     return F.ceil(size / F.lit(float(CHARS_PER_LINE))).cast("long")
+
+
+def size_warning(kilobytes: Column) -> Column:
+    """(exceeds, kilobytes, threshold) of a repository's size."""
+    return F.struct((kilobytes > LARGE_KB).alias("exceeds"), kilobytes.alias("kilobytes"), F.lit(LARGE_KB).cast("long").alias("threshold"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ WORD = r"[\p{L}\p{N}]+"
 
 def trimmed(text: Column) -> Column:
     """Without white space at both ends, line feeds and tabs included."""
-    return F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def words(text: Column) -> Column:
@@ -92,13 +96,43 @@ REDACTED = [
     r"""token["\s:=]+[^\s,}"]+""",
     r"""api[_-]?key["\s:=]+[^\s,}"]+""",
 ]
+# Words of a key whose value is redacted whole.
 SENSITIVE_KEY = "token|secret|password|key|authorization"
 
 
 def redact(text: Column) -> Column:
+    """What a pattern finds is replaced, pattern by pattern; a text in which none finds anything is looked at once."""
+    out = text
     for pattern in REDACTED:
-        text = F.regexp_replace(text, "(?i)" + pattern, "[REDACTED]")
-    return text
+        out = F.regexp_replace(out, "(?i)" + pattern, "[REDACTED]")
+    return F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in REDACTED)), out).otherwise(text)
+
+
+def redacted_value(value, key: str = ""):
+    """A JSON value without secrets: a mark in place of a sensitive key's value, objects walked to any depth, texts redacted inside;
+    lists stay as they are."""
+    if re.search(SENSITIVE_KEY, key.lower()):
+        return "[REDACTED]"
+    if isinstance(value, dict):
+        return {k: redacted_value(v, k) for k, v in value.items()}
+    if isinstance(value, str):
+        for pattern in REDACTED:
+            value = re.sub(pattern, "[REDACTED]", value, flags=re.I | re.A)
+    return value
+
+
+def redact_json(text: Column) -> Column:
+    """JSON objects without secrets at any depth, keys in their order; null for a text that is no JSON."""
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else json.dumps(redacted_value(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def redact_map(values: Column) -> Column:

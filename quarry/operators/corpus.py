@@ -63,6 +63,46 @@ def prioritised(files: DataFrame, by: str, most_lines: int = P.LARGE_LINES, rule
     return done.unionByName(packed.select(by, "path", "size", "language"))
 
 
+# What a report says.
+NO_CODE = "No indexable code files found in repository"
+FIRST_FOLDERS = 5
+
+
+def filter_report(files: DataFrame, by: str, most_lines: int = P.LARGE_LINES, rules: list[str] = ()) -> DataFrame:
+    """One row per repository about its filtering by `prioritised`: files and bytes in all and kept, how many were excluded and
+    how many of them for their path, whether it was cut down to priority folders, whether it has no code, warnings."""
+    judged = judged_files(files, rules)
+    chosen = F.col("included") & (F.col("priority") | F.col("important"))
+    lines = lambda test: F.ceil(F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0)) / F.lit(float(P.CHARS_PER_LINE)))
+    whole = judged.groupBy(by).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count_if("included").alias("indexable"),
+        lines(F.col("included")).alias("lines"), lines(chosen).alias("chosen_lines"),
+    )
+    kept = prioritised(files, by, most_lines, rules).groupBy(by).agg(F.count("*").alias("kept"), F.sum("size").cast("long").alias("kept_bytes"))
+    large = F.col("lines") > most_lines
+    folders = ", ".join(P.PRIORITY_FOLDERS[:FIRST_FOLDERS])
+    thousands = F.floor(F.col("lines") / 1000 + F.lit(0.5)).cast("long").cast("string")
+    cut = F.concat(F.lit("Repository is large (~"), thousands, F.lit(f"k lines). Only priority folders will be indexed: {folders}, etc."))
+    packed = F.concat(F.lit("Indexed "), F.col("kept").cast("string"), F.lit(" of "), F.col("indexable").cast("string"), F.lit(" files due to size limit."))
+    warnings = F.array_compact(F.array(F.when(F.col("indexable") == 0, F.lit(NO_CODE)), F.when(large, cut), F.when(large & (F.col("chosen_lines") > most_lines), packed)))
+    both = whole.join(kept, by, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("kept", "kept_bytes")})
+    return both.select(
+        by, "files", "bytes", "kept", "kept_bytes", (F.col("files") - F.col("kept")).alias("excluded"), (F.col("files") - F.col("indexable")).alias("filtered"),
+        large.alias("is_prioritised"), (F.col("indexable") == 0).alias("is_empty"), warnings.alias("warnings"),
+    )
+
+
+def excluded(files: DataFrame, by: str, most_lines: int = P.LARGE_LINES, rules: list[str] = ()) -> DataFrame:
+    """(by, path, size, reason) of the files that `prioritised` leaves out: ignored, binary, folder, pattern or language for
+    their path, else size. Paths are unique in a repository."""
+    p = F.col("path")
+    tests = [("binary", P.is_binary(p)), ("folder", P.in_excluded_dir(p)), ("pattern", P.is_excluded(p)), ("ignored", P.is_ignored(p, list(rules))), ("language", ~P.is_code(p))]
+    reason = F.lit("size")
+    for name, test in reversed(tests):
+        reason = F.when(test, name).otherwise(reason)
+    return files.join(prioritised(files, by, most_lines, rules).select(by, "path"), [by, "path"], "left_anti").select(by, "path", "size", reason.alias("reason"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", sha: str = "sha") -> DataFrame:
     """(key, change): added, modified or deleted; unchanged rows are left out."""
     o = old.select(key, F.col(sha).alias("_old"))

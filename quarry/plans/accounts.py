@@ -13,6 +13,8 @@ from quarry.sources.store import read
 from quarry.streaming import state, windows
 
 NOW = "1998-08-20 15:00:00"
+PURPOSES = {"click": "chat", "view": "default", "signup": "checkout", "purchase": "strict", "error": "indexation"}
+BUCKETS = ["today", "yesterday", "this_week", "this_month", "older"]
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +122,13 @@ def rate_fixed(spark, d):
 
 
 def rate_limit_presets(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in U.RATE_LIMITS.items()], "name string, requests long, seconds long")
+    """For each purpose's limit the events of a type that stand for it, and how many windows of a user's are over it."""
+    purpose = F.element_at(F.create_map(*[F.lit(x) for pair in PURPOSES.items() for x in pair]), F.col("event_type"))
+    presets = spark.createDataFrame([(k, *v) for k, v in U.RATE_LIMITS.items()], "name string, requests long, seconds long")
+    e = read(spark, d, "events").select("user_id", purpose.alias("name"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"))
+    windows_ = e.join(F.broadcast(presets), "name").groupBy("name", "requests", "user_id", F.floor(F.col("s") / F.col("seconds")).alias("w")).agg(F.count("*").alias("n"))
+    counted = windows_.groupBy("name").agg(F.sum("n").alias("events"), F.count_if(F.col("n") > F.col("requests")).alias("over"))
+    return presets.join(counted, "name", "left").select("name", "requests", "seconds", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("events", "over")])
 
 
 def subscription_states(spark, d):
@@ -131,14 +139,20 @@ def subscription_states(spark, d):
     return U.subscription_states(rows, "user_id", "kind", "event_id")
 
 
+def _all_buckets(counted: DataFrame) -> DataFrame:
+    """Counts of all five groups in their order, also of those without a row."""
+    every = counted.sparkSession.createDataFrame(list(enumerate(BUCKETS)), "place int, bucket string")
+    return every.join(counted, "bucket", "left").select("place", "bucket", F.coalesce("n", F.lit(0)).alias("n")).orderBy("place")
+
+
 def date_groups(spark, d):
     now = F.to_timestamp(F.lit(NOW))
-    return read(spark, d, "orders").groupBy(T.calendar_group(F.col("o_orderdate"), now).alias("bucket")).agg(F.count("*").alias("n"))
+    return _all_buckets(read(spark, d, "orders").groupBy(T.calendar_group(F.col("o_orderdate"), now).alias("bucket")).agg(F.count("*").alias("n")))
 
 
 def date_groups_rolling(spark, d):
     now = F.to_timestamp(F.lit(NOW))
-    return read(spark, d, "orders").groupBy(T.rolling_group(F.col("o_orderdate"), now).alias("bucket")).agg(F.count("*").alias("n"))
+    return _all_buckets(read(spark, d, "orders").groupBy(T.rolling_group(F.col("o_orderdate"), now).alias("bucket")).agg(F.count("*").alias("n")))
 
 
 def relative_time(spark, d):
@@ -280,6 +294,8 @@ _PICK = lambda i, last: "case " + " ".join(f"when {c[0]} then {_lit(c[i]) if isi
 _M = f"{_Q}, m as (select id, q, {_PICK(1, _lit('moderate'))} complexity, {_PICK(2, _lit('chat'))} model, ({_PICK(3, 0.6)})::double confidence from t)"
 _AGO = "floor(epoch(timestamp '{0}' - {1}))::bigint"
 
+_ALL_BUCKETS = f"select place::int place, b.bucket, coalesce(n, 0)::bigint n from (select unnest({BUCKETS}) bucket, unnest(range(5)) place) b left join"
+
 SQL = {
     "subscription_states": """with e as (select user_id, event_id o, case event_type when 'signup' then 'created' when 'view' then 'payment_succeeded' when 'click' then 'payment_failed'
 when 'purchase' then 'updated' else 'deleted' end kind, case when json_extract(props, '$.k')::bigint > 50 then 'pro' else 'plus' end plan from events),
@@ -309,11 +325,15 @@ select p_partkey, least(greatest(coalesce(case ph when 0 then s * 0 when 1 then
     "active_jobs_by_account": "select o_orderkey, o_custkey from orders where o_orderstatus = 'O' and o_custkey in (select c_custkey from customer where c_nationkey = 4)",
     "rate_sliding": """with e as (select event_id, user_id, epoch_us(ts) us from events),
 w as (select event_id, count(*) over (partition by user_id order by us range between 86399999999 preceding and current row) n_window from e) select *, n_window <= 3 allowed from w""",
-    "rate_limit_presets": "select * from (values ('chat', 20::bigint, 60::bigint), ('indexation', 5, 60), ('checkout', 10, 60), ('default', 60, 60), ('strict', 5, 300)) t(name, requests, seconds)",
-    "date_groups": """select case when o_orderdate::date >= date '1998-08-20' then 'today' when o_orderdate::date = date '1998-08-19' then 'yesterday'
-when o_orderdate::date >= date '1998-08-17' then 'this_week' when o_orderdate::date >= date '1998-08-01' then 'this_month' else 'older' end bucket, count(*) n from orders group by 1""",
+    "rate_limit_presets": """with p as (select * from (values ('chat', 'click', 20::bigint, 60::bigint), ('indexation', 'error', 5, 60), ('checkout', 'signup', 10, 60), ('default', 'view', 60, 60),
+('strict', 'purchase', 5, 300)) t(name, event_type, requests, seconds)),
+w as (select name, user_id, (epoch_us(ts) // 1000000) // seconds w, count(*) n, any_value(requests) most from events join p using (event_type) group by 1, 2, 3),
+c as (select name, sum(n)::bigint events, count(*) filter (n > most) over_ from w group by 1)
+select name, requests, seconds, coalesce(events, 0)::bigint events, coalesce(over_, 0)::bigint "over" from p left join c using (name)""",
+    "date_groups": f"""{_ALL_BUCKETS} (select case when o_orderdate::date >= date '1998-08-20' then 'today' when o_orderdate::date = date '1998-08-19' then 'yesterday'
+when o_orderdate::date >= date '1998-08-17' then 'this_week' when o_orderdate::date >= date '1998-08-01' then 'this_month' else 'older' end bucket, count(*) n from orders group by 1) c on c.bucket = b.bucket""",
     "date_groups_rolling": f"""with d as (select floor({_AGO.format(NOW, 'o_orderdate')} / 86400.0) nd from orders)
-select case when nd <= 0 then 'today' when nd = 1 then 'yesterday' when nd < 7 then 'this_week' when nd < 30 then 'this_month' else 'older' end bucket, count(*) n from d group by 1""",
+, c as (select case when nd <= 0 then 'today' when nd = 1 then 'yesterday' when nd < 7 then 'this_week' when nd < 30 then 'this_month' else 'older' end bucket, count(*) n from d group by 1) {_ALL_BUCKETS} c on c.bucket = b.bucket""",
     "relative_time": f"""with d as (select event_id, ts, {_AGO.format('2024-01-31 00:00:00', 'ts')} s from events)
 select event_id, case when s < 60 then 'à l''instant' when s < 3600 then 'il y a ' || (s // 60) || ' minute' || case when s // 60 > 1 then 's' else '' end
 when s < 86400 then 'il y a ' || (s // 3600) || ' heure' || case when s // 3600 > 1 then 's' else '' end when s // 86400 = 1 then 'hier'

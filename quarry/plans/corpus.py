@@ -52,9 +52,30 @@ def corpus_prioritised(spark, d):
     return kept.groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def filter_report(spark, d):
+    """What filtering did to each repository, when more than 60 estimated lines are too many."""
+    found = corpus.filter_report(_files(spark, d).filter("path is not null"), "repo", most_lines=60)
+    return found.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def size_warnings(spark, d):
+    """Whether a host's pages, taken as a repository's kilobytes, exceed the size that is warned of."""
+    sizes = _files(spark, d).filter("path is not null").groupBy("repo").agg(F.sum("size").alias("kb"))
+    return sizes.withColumn("w", P.size_warning(F.col("kb"))).select("repo", "w.*")
+
+
+def redact_nested(spark, d):
+    """Events as nested JSON, without what sensitive keys hold at any depth."""
+    e = read(spark, d, "events").filter("event_type is not null")
+    note = F.concat(F.lit("Bearer abc.def "), "event_type")
+    inner = F.struct(F.lit("x").alias("api_key"), note.alias("note"), F.col("event_id").alias("n"))
+    outer = F.struct(F.struct(F.lit(1).alias("a")).alias("userToken"), inner.alias("inner"), F.array(F.lit("token: abc")).alias("list"))
+    return e.select("event_id", T.redact_json(F.to_json(F.struct(F.col("event_type").alias("kind"), outer.alias("outer")))).alias("shown"))
+
+
 def language_bytes(spark, d):
     rows = read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    return rows
+    return rows.orderBy(F.desc("chars"), "source", "lang")
 
 
 def repo_stats(spark, d):
@@ -147,7 +168,7 @@ def repo_list_merge(spark, d):
     """Customers, then suppliers, as one list with each key once, newest balance first."""
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     b = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return store.merged_first([b, a], "id", F.col("name"))
+    return store.merged_first([b, a], "id", F.col("name")).orderBy(F.desc("balance"), "id")
 
 
 def replace_rows(spark, d):
@@ -195,7 +216,7 @@ def unindexed_search(spark, d):
 QUERIES = [
     path_language, path_filter, gitignore_match, corpus_stats, corpus_prioritised, language_bytes, repo_stats, repo_stats_language,
     repo_stats_type, token_estimate, content_hash, snapshot_diff, redact, deps_extract, citations_parse, context_pack_prefix,
-    context_pack_grouped, minimal_context, chunk_format, fixed_chunks, repo_list_merge, replace_rows, upsert_rows, cascade_counts,
+    filter_report, size_warnings, redact_nested, context_pack_grouped, minimal_context, chunk_format, fixed_chunks, repo_list_merge, replace_rows, upsert_rows, cascade_counts,
     activate_one, unindexed_search,
 ]
 
@@ -217,7 +238,26 @@ _REDACTED = "text"
 for _p in T.REDACTED:
     _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '[REDACTED]', 'gi')"
 
+_PACKED = f"""{_F}, inc as (select page_id, repo, path, size, ceil(size / 40.0)::bigint as lines, {_PRI} pri, parts[-1] in {_list(P.IMPORTANT_FILES)} imp from l where path is not null and {_INC}),
+g1 as (select repo, ceil(sum(size) / 40.0) > 60 large from inc group by 1), c1 as (select inc.*, large from inc join g1 using (repo) where not large or pri or imp),
+g2 as (select repo, ceil(sum(size) / 40.0) > 60 still from c1 group by 1), c2 as (select c1.*, still from c1 join g2 using (repo)),
+o as (select *, row_number() over (partition by repo order by not imp, path, size, page_id) i from c2 where large and still),
+r(repo, i, used, fits) as (select distinct repo, 0::bigint, 0::bigint, false from o union all
+select o.repo, o.i, used + case when used + o.lines <= 60 then o.lines else 0 end, used + o.lines <= 60 from r join o on o.repo = r.repo and o.i = r.i + 1),
+kept as (select repo, size from c2 where not (large and still) union all select o.repo, o.size from o join r using (repo, i) where fits)"""
+
 SQL = {
+    "corpus_prioritised": f"with recursive {_PACKED} select repo, count(*) files, sum(size)::bigint bytes from kept group by 1",
+    "filter_report": f"""with recursive {_PACKED}, a as (select repo, count(*) files, sum(size)::bigint bytes, count(*) filter ({_INC}) indexable,
+ceil(coalesce(sum(size) filter ({_INC}), 0) / 40.0)::bigint as lines, ceil(coalesce(sum(size) filter ({_INC} and ({_PRI} or parts[-1] in {_list(P.IMPORTANT_FILES)})), 0) / 40.0)::bigint chosen
+from l where path is not null group by 1), k as (select repo, count(*) kept, sum(size)::bigint kept_bytes from kept group by 1),
+b as (select a.*, coalesce(kept, 0) kept, coalesce(kept_bytes, 0)::bigint kept_bytes from a left join k using (repo))
+select repo, files, bytes, kept, kept_bytes, files - kept excluded, files - indexable filtered, lines > 60 is_prioritised, indexable = 0 is_empty,
+concat_ws('|', case when indexable = 0 then 'No indexable code files found in repository' end, case when lines > 60 then 'Repository is large (~' || floor(lines / 1000.0 + 0.5)::bigint
+|| 'k lines). Only priority folders will be indexed: src, lib, app, pages, components, etc.' end, case when lines > 60 and chosen > 60 then 'Indexed ' || kept || ' of ' || indexable || ' files due to size limit.' end) warnings from b""",
+    "size_warnings": f"with {_F} select repo, sum(size) > 50000 exceeds, sum(size)::bigint kilobytes, 50000::bigint threshold from l where path is not null group by 1",
+    "redact_nested": """select event_id, '{"kind":"' || event_type || '","outer":{"userToken":"[REDACTED]","inner":{"api_key":"[REDACTED]","note":"[REDACTED] ' || event_type
+|| '","n":' || event_id || '},"list":["token: abc"]}}' shown from events where event_type is not null""",
     "path_language": f"with {_F} select page_id, {_LANG} \"language\" from l",
     "path_filter": f"with {_F} select page_id, {_BIN} is_binary, {_DIR} in_excluded_dir, {_EXC} is_excluded, {_PRI} in_priority, {_LANG} <> 'text' is_code, {_INC} included from l",
     "gitignore_match": rf"""with {_F} select page_id, regexp_matches(path, '(^|/)[^/]*\.html(/|$)') or regexp_matches(path, '^src/blog[^/]*/')

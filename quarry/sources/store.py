@@ -83,6 +83,16 @@ def without(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def deleted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """The table after the rows that fulfil a condition are gone, and how many those are."""
+    return without(df, condition), df.filter(condition).count()
+
+
+def exists(df: DataFrame, condition: Column) -> bool:
+    """Whether a row fulfils a condition; the first that is found ends the search."""
+    return not df.filter(condition).limit(1).isEmpty()
+
+
 def updated(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
 

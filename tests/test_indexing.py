@@ -80,3 +80,24 @@ def test_results_are_remembered_for_a_time(spark, tmp_path):
     assert run("2024-01-01 00:04:59") == (first, 0)
     assert run("2024-01-01 00:04:00", [(6, "new")])[1] == 1
     assert run("2024-01-01 00:05:01")[1] == 2
+
+
+def test_units_end_at_their_own_brace():
+    from quarry.operators import chunking as C
+
+    body = "export function one() {\n  const a = '}'; // }\n  /* } */ return `}${a}` + \"}\"\n  if (a) { b() }\n}\n"
+    rest = "export class Two {\n  name = 'text that is long enough to be kept'\n"
+    found = list(C.units(body + rest, "typescript"))
+    assert [(a, b, kind, name) for a, b, kind, name, _ in found] == [(1, 5, "function", "one"), (6, 8, "class", "Two")]
+    rust = "pub fn first<'a>(x: &'a str, c: char) -> bool {\n    c == '{' || c == '\\'' || x == \"}\"\n}\npub struct Second { a: u8, some_longer_name_of_a_field: u8 }\n"
+    assert [(a, b, name) for a, b, _, name, _ in C.units(rust, "rust")] == [(1, 3, "first"), (4, 4, "Second")]
+    broken = "def one(x):\n    return (x +\n\n    1 and a line that is long enough\ndef two(y:\n    pass  # a second one that is long enough to be kept\n"
+    assert [(a, b, name) for a, b, _, name, _ in C.units(broken, "python")] == [(1, 4, "one"), (5, 7, "two")]
+
+
+def test_imports_of_python_by_its_tree():
+    from quarry.operators import chunking as C
+
+    code = "import os, sys\nfrom a.b import c\nfrom . import d\nfrom ..e import f\ndef g():\n    import os.path as p\ns = 'import no'\nimport sys\n"
+    assert C.depends_on(code, "python") == ["os", "sys", "a.b", ".", "..e", "os.path"]
+    assert C.python_imports("import (") is None and C.depends_on("import x\nimport (", "python") == ["x", "("]
