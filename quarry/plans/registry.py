@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, answers, corpus, machines, retrieval, search
+from . import accounts, answers, corpus, machines, retrieval, search, sql
 
-PARTS = [retrieval, search, answers, machines, corpus, accounts]
+PARTS = [retrieval, search, answers, sql, machines, corpus, accounts]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
+    return {name: text for part in PARTS for name, text in part.SQL.items()}
