@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 
 from quarry.functions import paths as P
 from quarry.functions import text as T
-from quarry.operators import chunking, context, corpus
+from quarry.operators import chunking, context, corpus, lexical
 from quarry.sources.store import known_folder
 
 DIMENSIONS, EMBED_BATCH, DESCRIBE_BATCH, TRIES = 1024, 128, 15, 5
@@ -140,3 +140,43 @@ def refreshed(index: DataFrame, files: DataFrame, **how) -> DataFrame:
     changes = corpus.snapshot_diff(before, now)
     new = build(files.join(changes.filter("change <> 'deleted'").select("path"), "path", "left_semi"), **how)
     return index.join(changes.select("path"), "path", "left_anti").unionByName(new)
+
+
+#: What a stored index keeps of a chunk beside its words.
+KEPT = ["path", "start_line", "end_line", "language", "chunk_type", "symbol", "content", "file_hash", "tokens", "context", "embedding"]
+
+
+def fields() -> dict:
+    """The fields of a chunk that are searched, with their weights: symbol A, name of the file and type B, content C,
+    dependencies D."""
+    return {
+        "symbol": (F.col("symbol"), "A"), "file": (T.basename(F.col("path")), "B"), "type": (F.col("chunk_type"), "B"),
+        "content": (F.col("content"), "C"), "dependencies": (F.array_join("dependencies", " "), "D"),
+    }
+
+
+def stored(files: DataFrame, path: str, **how) -> lexical.Version:
+    """Build the index of files (path, content) and write it to a folder, for search by words and by vectors (`live`)."""
+    return lexical.write(_incoming(build(files, **how), path), fields(), path, keep=KEPT)
+
+
+def _incoming(chunks: DataFrame, path: str) -> DataFrame:
+    """Chunks, written once, since providers are called for them."""
+    target = f"{path}/incoming"
+    chunks.write.mode("overwrite").parquet(target)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(target)
+
+
+def refreshed_store(files: DataFrame, path: str, **how) -> lexical.Version:
+    """The stored index after files changed: chunks of changed and deleted files go, added and changed files are cut, described
+    and embedded; segments that have become many are merged."""
+    spark, live = files.sparkSession, lexical.current(files.sparkSession, path).live()
+    if live is None:
+        return stored(files, path, **how)
+    before = live.select("path", F.col("file_hash").alias("sha")).distinct()
+    now = files.filter(P.is_included(F.col("path"), list(how.get("rules", ())))).select("path", T.content_hash(F.col("content")).alias("sha"))
+    changes = corpus.snapshot_diff(before, now)
+    new = _incoming(build(files.join(changes.filter("change <> 'deleted'").select("path"), "path", "left_semi"), **how), path)
+    gone = live.join(changes.filter("change <> 'added'").select("path"), "path", "left_semi").select("id")
+    lexical.change(spark, path, new, fields(), gone, keep=KEPT)
+    return lexical.merge(spark, path)

@@ -215,6 +215,14 @@ def query_expansion(spark, d):
     return _questions(spark, d).select("id", F.array_join(Q.expanded_words(F.col("q")), " ").alias("words"))
 
 
+def expansion_patterns(spark, d):
+    """Path patterns and the search string of each question's expansion; its words stand for keywords and paths."""
+    q = _questions(spark, d).select("id", "q", Q.expanded_words(F.lower("q")).alias("ws"))
+    patterns = Q.path_patterns(F.slice("ws", 1, 3), F.lower("q").contains("api"))
+    said = Q.search_words(F.slice("ws", 1, 4), F.when(F.size("ws") > 4, F.slice("ws", 5, 2)))
+    return q.select("id", F.array_join(F.array_sort(patterns), "|").alias("patterns"), said.alias("said"))
+
+
 def routing_savings(spark, d):
     r = _questions(spark, d).select(Q.model(F.col("q"))["model"].alias("model"), F.length("q").cast("long").alias("n"))
     return U.routing_savings(r, "model", F.col("n") + 100, F.lit(500))
@@ -251,7 +259,7 @@ QUERIES = [
     usage_total, usage_by_type, usage_by_model, usage_by_bucket, usage_grouping_sets, plan_limits, limit_gates, conversation_list, history_last_n,
     new_message_antijoin, indexed_repos_join, latest_job_state, stale_jobs, job_progress, active_jobs_by_account, rate_sliding, rate_fixed,
     rate_limit_presets, subscription_states, date_groups, date_groups_rolling, relative_time, title_generate, title_sign, number_short,
-    client_keys, query_form, classify_query, strategy_route, model_route, query_expansion, routing_savings, tumbling_usage, sliding_usage,
+    expansion_patterns, client_keys, query_form, classify_query, strategy_route, model_route, query_expansion, routing_savings, tumbling_usage, sliding_usage,
     session_usage, tumbling_usage_stream, rate_sliding_stream,
 ]
 
@@ -346,6 +354,9 @@ select conv_id, turn, case when length(t) <= 50 then t when p > 0 and 51 - p > 1
     "number_short": """with n as (select o_orderkey, trunc(o_totalprice * 10)::bigint n from orders) select o_orderkey, case when n >= 1000000 then round(n / 1000000.0, 1)::decimal(20, 1)::varchar || 'M'
 when n >= 1000 then round(n / 1000.0)::bigint::varchar || 'k' else n::varchar end shown from n""",
     "client_keys": "select case user_id % 3 when 0 then 'user:' || user_id when 1 then 'ip:10.0.0.' || user_id else 'unknown' end client, count(*) n from events group by 1",
+    "expansion_patterns": f"""with {_Q}, w as (select id, q, list_filter(string_split_regex(lower(q), '[ \\t\\n\\r]+'), lambda x: length(x) > 3) ws from q)
+select id, array_to_string(list_sort(list_distinct(list_concat(list_transform(ws[1:3], lambda x: '%' || x || '%'), case when contains(lower(q), 'api') then
+['%lib/%', '%api/%', '%services/%', '%config%'] else [] end))), '|') patterns, array_to_string(list_concat(ws[1:4], ws[5:6]), ' ') said from w""",
     "query_form": f"with {_Q} select id, {_FORM} form from t",
     "classify_query": f"with {_C} select id, type, is_list, confidence from cl",
     "strategy_route": f"""with {_C} select id, case when regexp_matches(tr, '^[a-zA-Z_][a-zA-Z0-9_]*$') then 'symbol' when type <> 'GENERIC' and is_list and confidence >= 0.3 then 'metadata'

@@ -11,7 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import lexical, names, strategies
 from quarry.operators import retrieval as R
 from quarry.sources.store import read
-from quarry.streaming.windows import shared_folder
+from quarry.streaming.windows import once, shared_folder
 
 from . import accounts, search
 from . import retrieval as plans
@@ -95,14 +95,7 @@ def _legs_many(spark: SparkSession, d: str, asked: DataFrame, k: int) -> tuple[D
     queries = asked.select("qid").join(vectors.select(F.col("id").alias("qid"), F.col("embedding").alias("query")), "qid")
     vec = R.knn_per_query(vectors, queries, k).select("qid", "id", "similarity")
     txt = lexical.search_many(spark, search._index(spark, d), asked.select("qid", F.col("two").alias("text")), k).select("qid", "id", "score")
-    return _once(vec), _once(txt)
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """Rows that several parts of a query read, computed once and read from the shared folder; k rows per question."""
-    path = shared_folder(rows.sparkSession, "legs")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return once(vec), once(txt)
 
 
 def smart_many(spark, d):
@@ -114,9 +107,9 @@ def smart_many(spark, d):
 
 def answers_many(spark, d):
     """Every question by the strategy that its form and subject choose."""
-    asked = _once(_routed(spark, d))
+    asked = once(_routed(spark, d))
     like = names.rows_like_many(spark, _names(spark, d), asked.filter("strategy = 'symbol'").select("qid", F.col("q").alias("text")))
-    return strategies.run_many(asked, search._chunks(spark, d), *_legs_many(spark, d, asked, 60), _once(like.select("qid", "id", "similarity")))
+    return strategies.run_many(asked, search._chunks(spark, d), *_legs_many(spark, d, asked, 60), once(like.select("qid", "id", "similarity")))
 
 
 QUERIES = [index_refreshed, index_hybrid_rrf, questions_many, index_trigram_symbol, index_trigram_symbol_type, index_trigram_file, smart_many, answers_many]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as V
 from quarry.operators import retrieval as R
 from quarry.sources.store import read
+from quarry.streaming.windows import once
 
 QUERY = "of the and"
 K = 15
@@ -164,7 +165,7 @@ def rerank_results(spark, d):
 
 def rerank_metrics(spark, d):
     """What reranking did to the fused list."""
-    fused = _fused(spark, d)
+    fused = once(_fused(spark, d))
     return R.rerank_metrics(R.rank_changes(fused, _reranked(spark, d, fused)))
 
 

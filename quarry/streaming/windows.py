@@ -42,6 +42,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def once(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows that several parts of a query read, computed once and read from the shared folder."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """What a stream has put out after all input that is there now, kept as Parquet in the shared folder.
 

@@ -101,3 +101,35 @@ def test_imports_of_python_by_its_tree():
     code = "import os, sys\nfrom a.b import c\nfrom . import d\nfrom ..e import f\ndef g():\n    import os.path as p\ns = 'import no'\nimport sys\n"
     assert C.depends_on(code, "python") == ["os", "sys", "a.b", ".", "..e", "os.path"]
     assert C.python_imports("import (") is None and C.depends_on("import x\nimport (", "python") == ["x", "("]
+
+
+def test_stored_index_follows_the_files(spark, tmp_path):
+    from quarry.operators import lexical
+    from quarry.operators import retrieval as R
+
+    path, calls = f"{tmp_path}/index", spark.sparkContext.accumulator(0)
+    code = lambda name, body: f"import {body}\ndef {name}(x):\n    return [x + 1 for {body} in range(100) if x > 10]\n"
+    there = {f"src/{n}.py": code(n, n * 2) for n in ("one", "two", "three", "four")}
+    files = lambda: spark.createDataFrame(sorted(there.items()), "path string, content string")
+
+    def counting(texts):
+        calls.add(len(texts))
+        return I.hashed_words(texts)
+
+    def same():
+        fresh = I.build(files())
+        for query in ("range", "one", "oneone", "py function", "five"):
+            want = sorted(map(tuple, R.text_search(fresh, query, I.fields()).collect()))
+            assert sorted(map(tuple, lexical.search(spark, path, query).collect())) == want, query
+        live = lexical.current(spark, path).live()
+        assert sorted(r["path"] for r in live.collect()) == sorted(there)
+        vector = I.hashed_words(["range"])[0]
+        assert sorted(map(tuple, R.knn(live, vector, 3).collect())) == sorted(map(tuple, R.knn(fresh, vector, 3).collect()))
+
+    assert I.refreshed_store(files(), path, embed=counting).docs == 4 and calls.value == 4
+    there.pop("src/two.py")
+    there["src/three.py"] = code("three", "other")
+    there["src/five.py"] = code("five", "five")
+    assert I.refreshed_store(files(), path, embed=counting).docs == 4 and calls.value == 6
+    same()
+    assert I.refreshed_store(files(), path, embed=counting).docs == 4 and calls.value == 6
