@@ -193,9 +193,10 @@ def mix(
 
 def _numbered(rows: DataFrame, hashed: str, wanted: str) -> DataFrame:
     """1 in `wanted` for as many like rows as it says, else 0. Rows are numbered within a task's share, and the
-    shares' counts are summed before, so that like rows are never brought together."""
+    shares' counts are summed before, so that like rows are never brought together. The rows are written with their
+    share, since both readings of them must have the same."""
     share, n, before = fresh(rows, "share", "n", "before")
-    rows = rows.withColumn(share, F.spark_partition_id())
+    rows = cut(rows.withColumn(share, F.spark_partition_id()))
     counts = rows.groupBy(hashed, share).agg(F.count("*").alias(n))
     offsets = counts.withColumn(
         before, F.coalesce(F.sum(n).over(Window.partitionBy(hashed).orderBy(share).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
