@@ -33,6 +33,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
 from quarry.sources.store import known_folder
+from quarry.streaming.windows import once
 
 CELL = 1024
 #: Chunks and words that a task sorts by length before it cuts them into cells.
@@ -451,14 +452,15 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
         kind = _nothing(spark, version).schema["id"].dataType.simpleString()
         return asked.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
     terms = asked.select("q", F.size("ws").alias("need"), F.explode("ws").alias("tok"))
-    sizes = postings.groupBy("tok").agg(F.sum("n").alias("df"))
+    # what several steps read is written once: narrow rows of the words that are asked for
+    small = once(postings.select("tok", "cell", "n", "peak").join(terms.select("tok").distinct(), "tok", "left_semi"))
+    sizes = small.groupBy("tok").agg(F.sum("n").alias("df"))
     known = terms.join(sizes, "tok").withColumn("has", F.count("*").over(Window.partitionBy("q"))).filter("has = need")
     place = F.row_number().over(Window.partitionBy("q").orderBy("df", "tok"))
-    ranked = known.withColumn("place", place).select("q", "tok", "need", "place")
-    small = postings.select("tok", "cell", "peak")
-    cells = ranked.filter("place = 1").join(small.drop("peak"), "tok").select("q", "cell")
-    held = cells.join(ranked, "q").join(small, ["tok", "cell"]).groupBy("q", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
-    bounds = held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cell")))
+    ranked = once(known.withColumn("place", place).select("q", "tok", "need", "place"))
+    cells = ranked.filter("place = 1").join(small.select("tok", "cell"), "tok").select("q", "cell")
+    held = cells.join(ranked, "q").join(small.drop("n"), ["tok", "cell"]).groupBy("q", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
+    bounds = once(held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cell"))))
     weights, chunks = version.weights, version.live().select("cell", "ord", "id", *[f"n_{w}" for w in version.weights])
 
     def scored(some: DataFrame) -> DataFrame:
@@ -466,7 +468,7 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
         return _weighed(_rows(blocks, weights, "q", "need"), chunks, weights, F.col("need"), "q", "need")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    first = scored(bounds.filter(F.col("order") <= FIRST_MANY)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = once(scored(bounds.filter(F.col("order") <= FIRST_MANY)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
     least = first.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
     rest = bounds.filter(F.col("order") > FIRST_MANY).join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SURE))
     found = first.drop("rank").unionByName(scored(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
