@@ -19,7 +19,7 @@ CODE_LIKE = [
     r"\w+\.\w+",
     r"\w+\([^)]*\)",
 ]
-#: Weights of vectors and words by form.
+# Weights of vectors and words by form.
 FORM_WEIGHTS = {"identifier": (0.4, 0.6), "code": (0.8, 0.2), "natural_language": (0.7, 0.3)}
 
 # Keywords by subject, English then French, in order of preference.
@@ -55,6 +55,7 @@ SUBJECTS = {
         "contextuel", "devstral", "mistral", "generation de contexte", "webhook", "declencheur", "trigger",
     ],
 }
+# What asks for a list.
 LIST_WORDS = [
     "all", "list", "every", "available", "what are", "show me", "give me", "what is the", "tous", "toutes", "liste",
     "quels", "quelles", "disponibles", "montre", "donne", "c'est quoi", "quelle est", "quel est", "quoi",
@@ -84,6 +85,7 @@ CODE_TASKS = [
     r"^generate (a |an |the |some )?(new )?",
     r"^build (a |an |the |some )?(new )?",
 ]
+# Fixed values of the model router, as are those that follow.
 COMPLEX_WORDS = [
     "implement", "create", "build", "design", "architect", "refactor", "optimize", "debug", "fix", "why", "compare", "analyze",
     "review", "improve", "migrate", "convert", "suggest", "recommend", "best practice", "how should", "help me",

@@ -257,6 +257,7 @@ def has_newer(indexed: Column, latest: Column) -> Column:
     return latest != indexed
 
 
+# The words of this text are fixed values.
 def indexing_time(lines: Column) -> Column:
     """A rough time for so many lines, at 1,000 a second, as shown to readers."""
     up = lambda c, by: F.ceil(c / F.lit(float(by))).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: how a citation is written.
 CITATION = r"\[([a-zA-Z0-9_\-./()]+/[a-zA-Z0-9_\-./()]+\.[a-zA-Z0-9]+)(?::(\d+)(?:-(\d+))?)?\](?!\()"
 RESERVE = 200
 
@@ -57,6 +58,7 @@ FRAMES = {
         "none": "No relevant code found in the repository.",
     },
 }
+# Fixed value: tokens of the context that says that nothing was found.
 TOKENS_OF_NONE = 10
 
 

@@ -9,7 +9,7 @@ from quarry.operators.folds import folded
 
 # Tokens and repositories by plan (-1: no limit), and the price a month.
 PLANS = [("free", 40_000, 1, 0), ("plus", 1_000_000, 5, 19), ("pro", 4_000_000, -1, 60)]
-#: Requests per seconds by purpose.
+# Requests per seconds by purpose, and the statuses of jobs.
 RATE_LIMITS = {"chat": (20, 60), "indexation": (5, 60), "checkout": (10, 60), "default": (60, 60), "strict": (5, 300)}
 IN_PROGRESS = ["pending", "fetching", "parsing", "embedding"]
 TERMINAL = ["completed", "failed", "cancelled"]

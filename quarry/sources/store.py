@@ -33,6 +33,14 @@ def list_files(spark: SparkSession, root: str, most: int | None = 5000) -> DataF
     return listed if most is None else listed.orderBy("path").limit(most)
 
 
+def listed(spark: SparkSession, root: str, most: int = 5000) -> DataFrame:
+    """(path, size, truncated): the first files below a folder, and whether there are more than `most`."""
+    some = list_files(spark, root, most + 1)
+    place = F.row_number().over(Window.orderBy("path"))  # of at most so many rows
+    counted = some.withColumns({"_place": place, "truncated": F.count("*").over(Window.partitionBy()) > most})
+    return counted.filter(F.col("_place") <= most).drop("_place")
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, content) of text files below a folder, each decoded as UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

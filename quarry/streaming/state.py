@@ -1,4 +1,4 @@
-"""State per key: rate limits, jobs and expiring entries, with `applyInPandasWithState`.
+"""State per key: rate limits and jobs, with `applyInPandasWithState`.
 
 The state of a key is a few numbers (or the times of the requests in one window), so it stays small however long the
 stream runs; the same rules exist as batch operators in `quarry.operators.usage`, and tests compare the two.
@@ -6,25 +6,37 @@ stream runs; the same rules exist as batch operators in `quarry.operators.usage`
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Rows that a task gives back at a time.
+OUT = 10_000
+
+
+def _in_order(batches) -> tuple[np.ndarray, np.ndarray]:
+    """Times and ids of a key's requests in one micro-batch, sorted: sixteen bytes for each."""
+    parts = [(b["us"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)) for b in batches]
+    us, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, us))
+    return us[order], ids[order]
+
+
 def sliding_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """(user_id, event_id, n_window, allowed): a log of each key's requests within the window; refused ones count."""
     width = seconds * 1_000_000
 
     def run(key, batches, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"], kind="stable")
-        out = []
-        for us, same in rows.groupby("us", sort=True):
-            kept = [t for t in kept if t > us - width] + [us] * len(same)
-            out += [(key[0], e, len(kept), len(kept) <= limit) for e in same["event_id"]]
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "n_window", "allowed"])
+        us, ids = _in_order(batches)
+        every = np.sort(np.concatenate((np.array(state.get[0] if state.exists else [], np.int64), us)))
+        n = np.searchsorted(every, us, "right") - np.searchsorted(every, us - width, "right")
+        state.update((every[every > every[-1] - width].tolist(),))
+        for a in range(0, len(us), OUT):
+            some = slice(a, a + OUT)
+            yield pd.DataFrame({"user_id": key[0], "event_id": ids[some], "n_window": n[some], "allowed": n[some] <= limit})
 
     timed = requests.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     return timed.groupBy("user_id").applyInPandasWithState(
@@ -38,14 +50,17 @@ def fixed_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     def run(key, batches, state: GroupState):
         reset, n = state.get if state.exists else (None, 0)
-        out = []
-        for us, event in pd.concat(list(batches)).sort_values(["us", "event_id"])[["us", "event_id"]].itertuples(index=False):
-            if reset is None or reset < us:
-                reset, n = us + width, 0
+        us, ids = _in_order(batches)
+        place = np.empty(len(us), np.int64)
+        for i, at in enumerate(us.tolist()):
+            if reset is None or reset < at:
+                reset, n = at + width, 0
             n += 1
-            out.append((key[0], event, n, n <= limit))
+            place[i] = n
         state.update((int(reset), int(n)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "n_window", "allowed"])
+        for a in range(0, len(us), OUT):
+            some = slice(a, a + OUT)
+            yield pd.DataFrame({"user_id": key[0], "event_id": ids[some], "n_window": place[some], "allowed": place[some] <= limit})
 
     timed = requests.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     return timed.groupBy("user_id").applyInPandasWithState(

@@ -89,3 +89,11 @@ def test_python_table_functions(spark):
     cited = spark.sql("SELECT id, c.place, c.path, c.start_line, c.end_line FROM given_texts, LATERAL citations(t) c")
     want = context.citations(texts, "t").select("id", "n", "path", "line", "end_line")
     assert sorted(map(tuple, cited.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_listing_tells_what_it_leaves_out(spark, root):
+    from quarry.sources import store
+
+    rows = store.listed(spark, root, 3).orderBy("path").collect()
+    assert len(rows) == 3 and all(r["truncated"] for r in rows) and rows[0]["path"].endswith("a.txt")
+    assert {r["truncated"] for r in store.listed(spark, root, 6).collect()} == {False}
