@@ -109,7 +109,8 @@ def answers_many(spark, d):
     """Every question by the strategy that its form and subject choose."""
     asked = once(_routed(spark, d))
     like = names.rows_like_many(spark, _names(spark, d), asked.filter("strategy = 'symbol'").select("qid", F.col("q").alias("text")))
-    return strategies.run_many(asked, search._chunks(spark, d), *_legs_many(spark, d, asked, 60), once(like.select("qid", "id", "similarity")))
+    found = strategies.run_many(asked, search._chunks(spark, d), *_legs_many(spark, d, asked, 60), once(like.select("qid", "id", "similarity")))
+    return found.withColumn("score", F.round("score", 6))
 
 
 QUERIES = [index_refreshed, index_hybrid_rrf, questions_many, index_trigram_symbol, index_trigram_symbol_type, index_trigram_file, smart_many, answers_many]
@@ -178,5 +179,5 @@ union all select qid, id, score, place + 1000000 from wr join st using (qid) whe
 union all select qid, id, score, place + 1000000 from rr join st using (qid) where strategy = 'hybrid_v2'
 union all select qid, id, score, place + 1000000 from sr join st using (qid) where strategy = 'symbol'),
 m as (select qid, id, max(score) score, min(ord) first_ord from u group by all)
-select qid, strategy, row_number() over (partition by qid order by score desc, first_ord)::int rank, id, score from m join st using (qid)""",
+select qid, strategy, row_number() over (partition by qid order by score desc, first_ord)::int rank, id, round(score, 6) score from m join st using (qid)""",
 }
