@@ -42,6 +42,8 @@ SORTED, SORTED_WORDS = 8 * CELL, 8_000_000
 FOLDER_WORDS, FOLDERS, FILE_WORDS = 2_000_000, 4096, 16_000_000
 #: Cells that a search scores before it knows a threshold.
 FIRST, FIRST_MANY = 32, 4
+#: Words of many questions that are sent to all tasks that read postings.
+WORDS_SENT = 200_000
 #: Segments of one size that are merged, and the base of the sizes.
 MERGED = 4
 #: A score's bound is sure beyond its rounding.
@@ -453,7 +455,11 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
         return asked.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
     terms = asked.select("q", F.size("ws").alias("need"), F.explode("ws").alias("tok"))
     # what several steps read is written once: narrow rows of the words that are asked for
-    small = once(postings.select("tok", "cell", "n", "peak").join(terms.select("tok").distinct(), "tok", "left_semi"))
+    wanted = once(terms.select("tok").distinct())
+    if wanted.count() <= WORDS_SENT:  # else the postings are shuffled by their words
+        wanted = F.broadcast(wanted)
+    postings = postings.join(wanted, "tok", "left_semi")
+    small = once(postings.select("tok", "cell", "n", "peak"))
     sizes = small.groupBy("tok").agg(F.sum("n").alias("df"))
     known = terms.join(sizes, "tok").withColumn("has", F.count("*").over(Window.partitionBy("q"))).filter("has = need")
     place = F.row_number().over(Window.partitionBy("q").orderBy("df", "tok"))
