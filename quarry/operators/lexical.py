@@ -2,6 +2,7 @@
 
 An index is a folder of Parquet tables. Chunks are written as segments, which never change:
 
+cut                       chunks and blocks of a write that is under way
 written/segment=s/kind=0  a row per chunk: cell, place in it, id, numbers of words by weight, and what else is kept of it
 postings/segment=s        a row per word and cell, in folders by a hash of the word and sorted by it: the places of the chunks
                           that hold it and how often, and the most that it can add to a score there
@@ -32,7 +33,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
-from quarry.sources.store import known_folder
 from quarry.streaming.windows import once
 
 CELL = 1024
@@ -278,14 +278,14 @@ def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dic
     if chunks is not None:
         of = lambda weight: F.flatten(F.array(*[T.words(c) for c, w in fields.values() if w == weight]))
         rows = chunks.select(F.col(id_col).alias("id"), *keep, *[of(w).alias(f"words_{w}") for w in weights])
-        folder = f"{path}/written/segment={number}"
-        _celled(rows, weights, number).write.mode("overwrite").partitionBy("kind").parquet(folder)
-        if known_folder(spark, f"{folder}/kind=0"):
-            there = known_folder(spark, f"{folder}/kind=1")
-            blocks = spark.read.parquet(f"{folder}/kind={int(there)}").filter("tok is not null")
-            segments.append(_put(before, number, blocks, weights))
-            if there:  # they are in the postings now
-                spark.createDataFrame([], blocks.schema).write.mode("overwrite").parquet(f"{folder}/kind=1")
+        # both kinds in one file: a writer by kind would sort all that a task makes
+        cut, celled = f"{path}/cut", _celled(rows, weights, number)
+        celled.write.mode("overwrite").parquet(cut)
+        made = spark.read.schema(celled.schema).parquet(cut)
+        made.filter("kind = 0").drop("kind", *_block_columns(weights)).write.mode("overwrite").parquet(f"{path}/written/segment={number}/kind=0")
+        new = _put(before, number, made.filter("kind = 1").drop("kind"), weights)
+        segments += [new] * bool(new["docs"])
+        spark.range(0).write.mode("overwrite").parquet(cut)  # the blocks are in the postings now
     return _commit(before, segments, weights)
 
 

@@ -121,6 +121,12 @@ def test_many_questions(spark, tmp_path, fields, monkeypatch):
     assert sorted(n for n, *_ in got[7]) == sorted([1, 2, 1, 2, 3, 4])
 
 
+def test_a_write_keeps_no_blocks_beside_the_postings(spark, tmp_path, fields):
+    path = f"{tmp_path}/w"
+    lexical.write(spark.createDataFrame(ROWS, DOCS), fields, path)
+    assert spark.read.parquet(f"{path}/cut").count() == 0 and not (tmp_path / "w/written/segment=1/kind=1").exists()
+
+
 def test_stored_index_of_an_empty_table(spark, tmp_path, fields):
     lexical.write(spark.createDataFrame([], DOCS), fields, f"{tmp_path}/e")
     for path in (f"{tmp_path}/e", f"{tmp_path}/none"):
