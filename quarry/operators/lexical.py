@@ -335,8 +335,10 @@ def merge(spark: SparkSession, path: str, most: int = MERGED, every: bool = Fals
     elif lost is not None:
         zipped = F.arrays_zip("ords", *[f"tf_{w}" for w in weights])
         left = blocks.withColumns({f"tf_{w}": F.coalesce(f"tf_{w}", F.transform("ords", lambda _: F.lit(0))) for w in weights})
-        left = left.join(lost.groupBy("cell").agg(F.collect_list("ord").alias("gone")), "cell", "left")  # a cell's places
-        left = left.withColumn("rows", F.when(F.col("gone").isNull(), zipped).otherwise(F.filter(zipped, lambda x: ~F.array_contains("gone", x["ords"]))))
+        gone = lost.groupBy("cell").agg(F.collect_list("ord").alias("gone"))  # a cell's places, as one sign for each place
+        alive = F.transform(F.sequence(F.lit(0), F.lit(CELL - 1)), lambda i: ~F.array_contains("gone", i))
+        left = left.join(F.broadcast(once(gone.select("cell", alive.alias("alive")))), "cell", "left")
+        left = left.withColumn("rows", F.when(F.col("alive").isNull(), zipped).otherwise(F.filter(zipped, lambda x: F.get("alive", x["ords"]))))
         blocks = left.filter("size(rows) > 0").withColumns({c: F.col(f"rows.{c}") for c in ("ords", *[f"tf_{w}" for w in weights])})
     new = _put(before, number, blocks, weights)
     rest = [dict(s) for s in before.segments if s["segment"] not in chosen]

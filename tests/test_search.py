@@ -127,6 +127,26 @@ def test_a_write_keeps_no_blocks_beside_the_postings(spark, tmp_path, fields):
     assert spark.read.parquet(f"{path}/cut").count() == 0 and not (tmp_path / "w/written/segment=1/kind=1").exists()
 
 
+def test_a_merge_sends_the_dead_to_the_postings(spark, tmp_path, fields, monkeypatch):
+    path, plans, put = f"{tmp_path}/m", [], lexical._put
+
+    def seen(before, number, blocks, weights):
+        plans.append(blocks._jdf.queryExecution().executedPlan().toString())
+        return put(before, number, blocks, weights)
+
+    docs = spark.createDataFrame(ROWS, DOCS)
+    lexical.write(docs, fields, path)
+    lexical.remove(spark, path, docs.select("id").limit(1))
+    monkeypatch.setattr(lexical, "_put", seen)
+    with_no_hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lexical.merge(spark, path, every=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_no_hint)
+    assert "SortMergeJoin" not in plans[0] and "array_contains" not in plans[0]
+
+
 def test_stored_index_of_an_empty_table(spark, tmp_path, fields):
     lexical.write(spark.createDataFrame([], DOCS), fields, f"{tmp_path}/e")
     for path in (f"{tmp_path}/e", f"{tmp_path}/none"):
