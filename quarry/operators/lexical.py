@@ -25,14 +25,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
+from quarry.sources.store import known_folder
 from quarry.streaming.windows import once
 
 CELL = 1024
@@ -40,8 +43,12 @@ CELL = 1024
 SORTED, SORTED_WORDS = 8 * CELL, 8_000_000
 #: Words of a folder of postings, folders at most, and words of one file of a folder.
 FOLDER_WORDS, FOLDERS, FILE_WORDS = 2_000_000, 4096, 16_000_000
-#: Cells that a search scores before it knows a threshold.
-FIRST, FIRST_MANY = 32, 4
+#: Cells that a search scores before it knows a threshold, and that a task scores for many questions.
+FIRST, FIRST_MANY = 32, 32
+#: Of these, the cells that it scores first.
+AT_FIRST = 4
+#: Rows that a task gives for a block of questions.
+ROWS_GIVEN = 4_000_000
 #: Words of many questions that are sent to all tasks that read postings.
 WORDS_SENT = 200_000
 #: Segments of one size that are merged, and the base of the sizes.
@@ -441,43 +448,128 @@ def bm25(spark: SparkSession, path: str, query: str, weight: str, k1: float = 1.
     return _best(_by_bound(version, blocks, bounds, scored, k, read), k)
 
 
+def _answers(weights: tuple[str, ...], k: int, empty: pa.Table):
+    """(questions, blocks) -> tallies of the k best chunks of some cells, for each question of a block.
+
+    `questions`: q, ws. `blocks`: those of the words asked, and a row without a word for each cell with its chunks' places,
+    ids and lengths (as the first weight's counts)."""
+    firsts = [f"tf_{w}" for w in weights]
+
+    def best(questions: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not len(questions) or not len(blocks):
+            return empty
+        words = blocks["tok"].combine_chunks()
+        own = np.asarray(words.is_null())
+        codes = words.dictionary_encode()
+        seen = np.asarray(codes.indices.fill_null(-1), np.int64)
+        cell, number = np.unique(np.asarray(blocks["cell"]), return_inverse=True)
+        order = np.lexsort((number, seen))  # words by code, those of a word by cell; rows of cells come first
+        rows = blocks.take(pa.array(order))
+        seen, number = seen[order], number[order]
+        places = rows["ords"].combine_chunks()
+        sizes = np.asarray(places.value_lengths(), np.int64)
+        at = np.asarray(places.flatten(), np.int64) + np.repeat(number * CELL, sizes)
+        often = []
+        for name in firsts:
+            lists = rows[name].combine_chunks()
+            counts = np.zeros(len(at), np.int64)
+            counts[np.repeat(np.asarray(lists.is_valid()), sizes)] = np.asarray(lists.flatten(), np.int64)
+            often.append(counts)
+        n_own = int(sizes[: own.sum()].sum())
+        length = np.full(len(cell) * CELL, -1, np.int64)  # -1: no chunk, or a dead one
+        length[at[:n_own]] = often[0][:n_own]
+        ids = rows["ids"].combine_chunks().flatten()
+        which, rank = np.zeros(len(length), np.int64), np.empty(n_own, np.int64)
+        which[at[:n_own]] = np.arange(n_own)
+        rank[np.asarray(pc.sort_indices(ids), np.int64)] = np.arange(n_own)
+        edges, first = np.concatenate(([0], np.cumsum(sizes))), np.searchsorted(seen, np.arange(len(codes.dictionary) + 1))
+        # what a posting adds to a score, but for rounding; 0 for the dead
+        value = sum(FIELD_WEIGHTS[w] * x for w, x in zip(weights, often, strict=True)) * np.where(length < 0, 0, 1 / (1 + np.log1p(np.maximum(length, 0))))[at]
+        peak = np.maximum.reduceat(value, edges[:-1])
+        peaks = np.zeros((len(codes.dictionary), len(cell)))
+        peaks[seen[first[0] :], number[first[0] :]] = peak[first[0] :]
+        asked = questions["ws"].combine_chunks()
+        cuts = np.concatenate(([0], np.cumsum(np.asarray(asked.value_lengths(), np.int64))))
+        code = np.asarray(pc.index_in(asked.flatten(), value_set=codes.dictionary).fill_null(-1), np.int64)
+        whole = np.minimum.reduceat(code, cuts[:-1]) >= 0
+
+        def meet(chosen: np.ndarray, others: np.ndarray) -> np.ndarray:
+            """Postings of the chunks that hold a word, in the rows chosen of it, and all others: a row for each word."""
+            spots = np.concatenate([np.arange(edges[r], edges[r + 1]) for r in chosen])[None]
+            spots = spots[:, value[spots[0]] > 0]
+            for c in others:
+                a, b = edges[first[c]], edges[first[c + 1]]
+                found = at[spots[0]]
+                spot = np.minimum(np.searchsorted(at[a:b], found), b - a - 1) + a
+                spots = np.vstack((spots, spot))[:, at[spot] == found]
+            return spots
+
+        out = []
+        for i in np.flatnonzero(whole):
+            mine = code[cuts[i] : cuts[i + 1]]
+            rare, *others = mine[np.argsort(edges[first[mine + 1]] - edges[first[mine]], kind="stable")]
+            chosen = np.arange(first[rare], first[rare + 1])
+            bounds = np.vstack((peak[chosen], peaks[others][:, number[chosen]]))
+            there, bound = bounds.all(0), bounds.sum(0)
+            chosen, bound = chosen[there], bound[there]
+            order = np.argsort(-bound, kind="stable")
+            chosen, bound = chosen[order], bound[order]
+            spots, least = np.empty((len(mine), 0), np.int64), 0.0
+            for some in (slice(0, AT_FIRST), slice(AT_FIRST, None)):  # the best cells, and then those whose bound reaches the k-th score
+                if len(more := chosen[some][bound[some] >= least - SURE]):
+                    spots = np.hstack((spots, meet(more, others)))
+                    like = value[spots].sum(0)
+                    least = np.partition(like, -k)[-k] if len(like) >= k else 0.0
+            if not spots.size:
+                continue
+            spots = spots[:, like >= least - SURE]
+            found, tallies = at[spots[0]], [x[spots].sum(0) for x in often]
+            score = np.round(sum(FIELD_WEIGHTS[w] * t for w, t in zip(weights, tallies, strict=True)) / (1 + np.log(1.0 + length[found])), DIGITS)
+            near = np.lexsort((rank[which[found]], -score))[:k]
+            out.append((np.full(len(near), i), which[found[near]], length[found[near]], *[t[near] for t in tallies]))
+        i, row, n, *tallies = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * (3 + len(weights))
+        made = {"q": questions["q"].combine_chunks().take(pa.array(i)), "id": ids.take(pa.array(row)), "n": pa.array(n)}
+        return pa.table(made | {f"t_{w}": pa.array(t) for w, t in zip(weights, tallies, strict=True)})
+
+    return best
+
+
 def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 15, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, rank, id, score): for every question the k best of the chunks that hold all its words, as `search` scores them.
 
-    A question's cells are those of its rarest word that its other words have too, so a common word's list is read only
-    where a rarer one stands. Its best cells are scored first, and then those whose bound reaches the k-th score found.
+    Cells are dealt into groups and the sets of words asked into blocks. A task meets a block with the postings of a group: in
+    the list of a set's rarest word it looks the others up, and it keeps k chunks of a set. So the postings of the words asked
+    are shuffled once for each block, however many questions there are; what grows with questions times chunks are k narrow
+    rows for each set and group.
     Rows with one id, which may be null, and the same words are one question; with other words they are others. Questions
     without words have no rows."""
     version = current(spark, path)
-    asked = questions.select(F.col(qid).alias("qid"), F.array_sort(F.array_distinct(T.words(F.col(text)))).alias("ws")).filter("size(ws) > 0")
-    asked = asked.withColumn("q", F.sha2(F.to_json(F.struct("qid", "ws")), 256)).dropDuplicates(["q"])
+    asked = questions.select(F.col(qid).alias("qid"), F.array_sort(F.array_distinct(T.words(F.col(text)))).alias("ws")).filter("size(ws) > 0").distinct()
     postings = version._table("postings")
     if postings is None:
         kind = _nothing(spark, version).schema["id"].dataType.simpleString()
         return asked.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    terms = asked.select("q", F.size("ws").alias("need"), F.explode("ws").alias("tok"))
-    # what several steps read is written once: narrow rows of the words that are asked for
-    wanted = once(terms.select("tok").distinct())
+    asked = once(asked)
+    sets = once(asked.select("ws").distinct().withColumn("q", F.monotonically_increasing_id()))
+    wanted = once(sets.select(F.explode("ws").alias("tok")).distinct())
     if wanted.count() <= WORDS_SENT:  # else the postings are shuffled by their words
         wanted = F.broadcast(wanted)
-    postings = postings.join(wanted, "tok", "left_semi")
-    small = once(postings.select("tok", "cell", "n", "peak"))
-    sizes = small.groupBy("tok").agg(F.sum("n").alias("df"))
-    known = terms.join(sizes, "tok").withColumn("has", F.count("*").over(Window.partitionBy("q"))).filter("has = need")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("df", "tok"))
-    ranked = once(known.withColumn("place", place).select("q", "tok", "need", "place"))
-    cells = ranked.filter("place = 1").join(small.select("tok", "cell"), "tok").select("q", "cell")
-    held = cells.join(ranked, "q").join(small.drop("n"), ["tok", "cell"]).groupBy("q", "cell").agg(F.count("*").alias("held"), F.first("need").alias("need"), F.sum("peak").alias("bound"))
-    bounds = once(held.filter("held = need").withColumn("order", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cell"))))
-    weights, chunks = version.weights, version.live().select("cell", "ord", "id", *[f"n_{w}" for w in version.weights])
-
-    def scored(some: DataFrame) -> DataFrame:
-        blocks = some.select("q", "cell").join(ranked.select("q", "tok", "need"), "q").join(postings.select("tok", "cell", "ords", *[f"tf_{w}" for w in weights]), ["tok", "cell"])
-        return _weighed(_rows(blocks, weights, "q", "need"), chunks, weights, F.col("need"), "q", "need")
-
+    weights, chunks = version.weights, version.live()
+    n_sets = max(1, -(-sets.count() * k // ROWS_GIVEN))
+    n_cells = max(1, -(-sum(s["docs"] + s["dead"] for s in version.segments) // (CELL * FIRST_MANY)))
+    group = _hashed(F.col("cell"), n_cells).alias("g")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = postings.join(wanted, "tok", "left_semi").select(group, "cell", "tok", "ords", *[f"tf_{w}" for w in weights])
+    of = F.collect_list(F.struct("ord", "id", _add([F.col(f"n_{w}") for w in weights]).alias("n")))
+    cells = chunks.groupBy("cell").agg(of.alias("own"))  # a cell's chunks
+    cells = cells.select(group, "cell", F.col("own.ord").alias("ords"), F.col("own.n").alias(f"tf_{weights[0]}"), F.col("own.id").alias("ids"))
+    given = blocks.unionByName(cells, allowMissingColumns=True).select(each(n_sets).alias("b"), "*")
+    block = _hashed(F.col("q"), n_sets).alias("b")
+    sought = sets.select(block, "q", "ws").select("b", each(n_cells).alias("g"), "q", "ws")
+    schema = StructType([StructField("q", LongType()), StructField("id", chunks.schema["id"].dataType), StructField("n", LongType()), *[StructField(f"t_{w}", LongType()) for w in weights]])
+    dealt = lambda rows: rows.repartition(2 * n_sets * n_cells, "b", "g").groupBy("b", "g")
+    found = dealt(sought).cogroup(dealt(given)).applyInArrow(_answers(weights, k, to_arrow_schema(schema).empty_table()), schema)
+    score = _add([F.lit(FIELD_WEIGHTS[w]) * F.col(f"t_{w}") for w in weights]) / (1 + F.log(1.0 + F.col("n")))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    first = once(scored(bounds.filter(F.col("order") <= FIRST_MANY)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
-    least = first.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
-    rest = bounds.filter(F.col("order") > FIRST_MANY).join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SURE))
-    found = first.drop("rank").unionByName(scored(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.join(asked.select("q", "qid"), "q").select("qid", "rank", "id", "score")
+    found = found.select("q", "id", F.round(score, DIGITS).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.join(sets, "q").join(asked, "ws").select("qid", "rank", "id", "score")

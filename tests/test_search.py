@@ -121,6 +121,22 @@ def test_many_questions(spark, tmp_path, fields, monkeypatch):
     assert sorted(n for n, *_ in got[7]) == sorted([1, 2, 1, 2, 3, 4])
 
 
+def test_many_questions_in_blocks(spark, tmp_path, fields, monkeypatch):
+    monkeypatch.setattr(lexical, "ROWS_GIVEN", 6)  # two sets of words in a block
+    monkeypatch.setattr(lexical, "FIRST_MANY", 1)
+    monkeypatch.setattr(lexical, "AT_FIRST", 1)
+    monkeypatch.setattr(lexical, "CELL", 4)
+    docs, path = spark.createDataFrame([(i, "alpha", "beta " * (i % 5) + "gamma " * (i % 3) + "delta") for i in range(60)], DOCS), f"{tmp_path}/b"
+    lexical.write(docs, fields, path)
+    asked = [(i, " ".join(w)) for i, w in enumerate([["alpha"], ["beta", "gamma"], ["delta"], ["gamma", "alpha", "delta"], ["beta"], ["beta", "none"]])]
+    got = sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in lexical.search_many(spark, path, spark.createDataFrame(asked, "qid long, text string"), 3).collect())
+    want = []
+    for qid, text in asked:
+        best = sorted(map(tuple, retrieval.text_search(docs, text, fields).collect()), key=lambda r: (-r[1], r[0]))[:3]
+        want += [(qid, n, i, s) for n, (i, s) in enumerate(best, 1)]
+    assert got == want
+
+
 def test_a_write_keeps_no_blocks_beside_the_postings(spark, tmp_path, fields):
     path = f"{tmp_path}/w"
     lexical.write(spark.createDataFrame(ROWS, DOCS), fields, path)
