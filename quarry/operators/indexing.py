@@ -71,14 +71,13 @@ def embedded(chunks: DataFrame, text: str, provider: Callable = hashed_words, di
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            full = [i for i, t in enumerate(texts) if t and t.strip()]
-            out = [[0.0] * dimensions for _ in texts]
-            for a in range(0, len(full), EMBED_BATCH):
-                some = full[a : a + EMBED_BATCH]
-                for i, v in zip(some, tried(provider, [texts[i] for i in some]), strict=True):
+            for a in range(0, batch.num_rows, EMBED_BATCH):  # so many vectors are held at once
+                part = batch.slice(a, EMBED_BATCH)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                full, out = [i for i, t in enumerate(texts) if t and t.strip()], [[0.0] * dimensions for _ in texts]
+                for i, v in zip(full, tried(provider, [texts[i] for i in full]) if full else [], strict=True):
                     out[i] = v
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names)
 
     return chunks.withColumn("_text", F.col(text)).mapInArrow(run, schema)
 

@@ -36,6 +36,26 @@ def test_blank_texts_have_zero_vectors(spark):
     assert I.embedded(rows.filter("false"), "text").count() == 0
 
 
+def test_vectors_are_made_and_given_batch_by_batch(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    class Rows(SimpleNamespace):
+        def withColumn(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"t{i}" if i % 3 else " " for i in range(1000)])], ["id", "text"])]))
+
+    monkeypatch.setattr(I.F, "col", lambda name: name)
+    monkeypatch.setattr(I, "StructType", lambda fields: fields)
+    seen = []
+    got = I.embedded(Rows(columns=["id"], schema=SimpleNamespace(fields=[])), "text", lambda texts: seen.append(len(texts)) or I.hashed_words(texts))
+    assert max(b.num_rows for b in got) <= I.EMBED_BATCH and max(seen) <= I.EMBED_BATCH
+    rows = pa.Table.from_batches(got).to_pydict()
+    assert rows["id"] == list(range(1000)) and [any(v) for v in rows["embedding"]] == [i % 3 > 0 for i in range(1000)]
+
+
 def test_tries():
     calls = []
 
