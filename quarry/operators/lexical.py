@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, FIELD_WEIGHTS, query_words
 from quarry.sources.store import known_folder
-from quarry.streaming.windows import once
+from quarry.streaming.windows import once, shared_folder
 
 CELL = 1024
 #: Chunks and words that a task sorts by length before it cuts them into cells.
@@ -165,9 +165,11 @@ def _block_types(weights) -> list[tuple[str, str]]:
     return [(c, "string" if c == "tok" else "double" if c == "peak" else "int" if c.startswith("short") else "array<int>") for c in _block_columns(weights)]
 
 
-def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
+def _celled(rows: DataFrame, weights: list[str], number: int, only: list[str] | None = None) -> DataFrame:
     """Chunks (id, words_<weight>, what is kept) as rows of two kinds: chunks (0) with cell, ord and n_<weight>, and the blocks
-    (1) of each word of a cell with ords, tf_<weight> (null where it doesn't stand), peak and short_<weight>."""
+    (1) of each word of a cell with ords, tf_<weight> (null where it doesn't stand), peak and short_<weight>. `only`: the words
+    that get blocks."""
+    wanted = None if only is None else pa.array(only, pa.string())
     kept = [f for f in rows.schema.fields if not f.name.startswith("words_")]
     ints, blocks = ArrayType(IntegerType()), _block_columns(weights)
     types = {"tok": StringType(), "ords": ints, "peak": DoubleType(), **{f"tf_{w}": ints for w in weights}, **{f"short_{w}": IntegerType() for w in weights}}
@@ -185,7 +187,8 @@ def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
 
     def cell_rows(part: pa.Table, cell: int):
         lists = [part[f"words_{w}"].combine_chunks() for w in weights]
-        lengths = [np.asarray(x.value_lengths(), np.int64) for x in lists]
+        lengths = [np.asarray(part[f"n_{w}"].combine_chunks(), np.int64) for w in weights]
+        held = [np.asarray(x.value_lengths(), np.int64) for x in lists]
         n = part.num_rows
         own = {"kind": pa.array(np.zeros(n, np.int32)), "cell": pa.array(np.full(n, cell)), "ord": pa.array(np.arange(n, dtype=np.int32))}
         own |= {f.name: part[f.name].combine_chunks() for f in kept} | {f"n_{w}": pa.array(x.astype(np.int32)) for w, x in zip(weights, lengths, strict=True)}
@@ -193,9 +196,9 @@ def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
         flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
         if not len(flat):
             return
-        owner = np.concatenate([np.repeat(np.arange(n), x) for x in lengths])
+        owner = np.concatenate([np.repeat(np.arange(n), x) for x in held])
         key, place = np.unique(np.asarray(flat.indices, np.int64) * n + owner, return_inverse=True)
-        edges = np.cumsum([0, *[x.sum() for x in lengths]])
+        edges = np.cumsum([0, *[x.sum() for x in held]])
         often = [np.bincount(place[a:b], minlength=len(key)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         code, ords = key // n, key % n
         starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
@@ -208,19 +211,33 @@ def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
         kinds = {f.name: part.schema.field(f.name).type for f in kept} | {"ord": pa.int32()} | {f"n_{w}": pa.int32() for w in weights}
         yield pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(count, kinds.get(c, arrow.get(c))) for c in names], names)
 
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """With the numbers of words of each chunk, and of the words only those that get blocks."""
+        made = {f.name: batch.column(f.name) for f in kept}
+        for w in weights:
+            lists = batch.column(f"words_{w}")
+            sizes, flat = np.asarray(lists.value_lengths(), np.int64), lists.flatten()
+            made[f"n_{w}"] = pa.array(sizes.astype(np.int32))
+            if wanted is not None:
+                there = pc.is_in(flat, value_set=wanted)
+                before = np.concatenate(([0], np.cumsum(np.asarray(there))))[np.concatenate(([0], np.cumsum(sizes)))]
+                lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.filter(there))
+            made[f"words_{w}"] = lists
+        return pa.RecordBatch.from_pydict(made)
+
     def run(batches):
         first, cells, held, size, words = (number << 40) + (TaskContext.get().partitionId() << 20), 0, [], 0, 0
 
         def cut():
             nonlocal cells
             table = pa.Table.from_batches(held)
-            total = sum(np.asarray(table[f"words_{w}"].combine_chunks().value_lengths(), np.int64) for w in weights)
+            total = sum(np.asarray(table[f"n_{w}"].combine_chunks(), np.int64) for w in weights)
             order = np.argsort(total, kind="stable")
             for a in range(0, len(order), CELL):
                 yield from cell_rows(table.take(pa.array(order[a : a + CELL])), first + cells)
                 cells += 1
 
-        for batch in batches:
+        for batch in map(counted, batches):
             held.append(batch)
             size, words = size + batch.num_rows, words + sum(len(batch.column(f"words_{w}").flatten()) for w in weights)
             if size >= SORTED or words >= SORTED_WORDS:
@@ -232,12 +249,13 @@ def _celled(rows: DataFrame, weights: list[str], number: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _put(before: Version, number: int, blocks: DataFrame, weights: list[str]) -> dict:
-    """Write a segment's postings, from blocks; its chunks have been written."""
+def _put(before: Version, number: int, blocks: DataFrame, weights: list[str], words: int | None = None) -> dict:
+    """Write a segment's postings, from blocks; its chunks have been written. `words`: how many the blocks hold, if not all that
+    the chunks have."""
     spark, path = before.spark, before.path
     chunks = spark.read.parquet(f"{path}/written/segment={number}/kind=0")
     sums = chunks.agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(f"n_{w}"), F.lit(0)).alias(f"n_{w}") for w in weights]).first().asDict()
-    words = sum(sums[f"n_{w}"] for w in weights)
+    words = sum(sums[f"n_{w}"] for w in weights) if words is None else words
     folders = max(1, min(FOLDERS, -(-words // FOLDER_WORDS)))
     files = max(1, -(-words // (folders * FILE_WORDS)))
     stats = {"n": F.size("ords")}
@@ -269,10 +287,11 @@ def _removed(before: Version, gone: DataFrame, version: int, weights: list[str])
     return out
 
 
-def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dict[str, tuple[Column, str]], gone: DataFrame | None = None, id_col: str = "id", keep: list[str] = ()) -> Version:
+def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dict[str, tuple[Column, str]], gone: DataFrame | None = None, id_col: str = "id", keep: list[str] = (), only: list[str] | None = None) -> Version:
     """The next version: `chunks` are in it in place of those with their ids, and chunks whose ids are in the first column of
     `gone` are not. `fields`: name -> (text, weight); the weights are the same in all versions. Ids are unique within
-    `chunks`; null texts have no words. `keep`: columns of chunks that the index keeps."""
+    `chunks`; null texts have no words. `keep`: columns of chunks that the index keeps. `only`: the words that the chunks can
+    be found by, if not all; their numbers of words count all."""
     before = current(spark, path)
     weights = sorted({w for _, w in fields.values()})
     if before.number and tuple(weights) != before.weights:
@@ -286,11 +305,13 @@ def change(spark: SparkSession, path: str, chunks: DataFrame | None, fields: dic
         of = lambda weight: F.flatten(F.array(*[T.words(c) for c, w in fields.values() if w == weight]))
         rows = chunks.select(F.col(id_col).alias("id"), *keep, *[of(w).alias(f"words_{w}") for w in weights])
         # both kinds in one file: a writer by kind would sort all that a task makes
-        cut, celled = f"{path}/cut", _celled(rows, weights, number)
+        cut, celled = f"{path}/cut", _celled(rows, weights, number, only)
         celled.write.mode("overwrite").parquet(cut)
         made = spark.read.schema(celled.schema).parquet(cut)
         made.filter("kind = 0").drop("kind", *_block_columns(weights)).write.mode("overwrite").parquet(f"{path}/written/segment={number}/kind=0")
-        new = _put(before, number, made.filter("kind = 1").drop("kind"), weights)
+        blocks = made.filter("kind = 1").drop("kind")
+        words = None if only is None else blocks.agg(F.coalesce(F.sum(F.size("ords")), F.lit(0))).first()[0]
+        new = _put(before, number, blocks, weights, words)
         segments += [new] * bool(new["docs"])
         spark.range(0).write.mode("overwrite").parquet(cut)  # the blocks are in the postings now
     return _commit(before, segments, weights)
@@ -573,3 +594,14 @@ def search_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 1
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     found = found.select("q", "id", F.round(score, DIGITS).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.join(sets, "q").join(asked, "ws").select("qid", "rank", "id", "score")
+
+
+def scan_many(chunks: DataFrame, fields: dict[str, tuple[Column, str]], questions: DataFrame, k: int = 15, qid: str = "qid", text: str = "text", id_col: str = "id") -> DataFrame:
+    """As `search_many`, over chunks that no index holds: one pass over the texts writes an index of the words asked, so that
+    others are neither sorted nor written. Beyond `WORDS_SENT` words it writes one of all."""
+    spark = chunks.sparkSession
+    asked = questions.select(F.explode(T.words(F.col(text))).alias("tok")).distinct()
+    wanted = [r["tok"] for r in asked.limit(WORDS_SENT + 1).collect()]
+    path = shared_folder(spark, "asked")
+    change(spark, path, chunks, fields, id_col=id_col, only=sorted(wanted) if len(wanted) <= WORDS_SENT else None)
+    return search_many(spark, path, questions, k, qid, text)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.retrieval import DIGITS, top
+from quarry.streaming.windows import once
 
 LEAST = 0.3
 #: Rows of a folder, and folders at most.
@@ -98,9 +99,14 @@ def rows_like(spark: SparkSession, path: str, query: str, k: int = 20, where: Co
 
 
 def rows_like_many(spark: SparkSession, path: str, questions: DataFrame, k: int = 20, by: str = "id", least: float = LEAST, qid: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, rank, name, similarity, other columns): as `rows_like`, for every question."""
+    """(qid, rank, name, similarity, other columns): as `rows_like`, for every question.
+
+    Rows of one name are alike, so no question has more than the first k of each; only these meet the questions."""
     _, rows, _ = _tables(spark, path)
-    found = rows.join(similar_many(spark, path, questions, least, qid, text), "name")
+    like = once(similar_many(spark, path, questions, least, qid, text))
+    first = F.row_number().over(Window.partitionBy("name").orderBy(by))
+    few = rows.join(like.select("name").distinct(), "name", "left_semi").withColumn("first", first).filter(F.col("first") <= k).drop("first")
+    found = few.join(like, "name")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), by))).filter(F.col("rank") <= k)
 
 

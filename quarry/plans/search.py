@@ -36,6 +36,10 @@ def written(spark: SparkSession, d: str, name: str, build: Callable[[str], objec
     return _WRITTEN[key]
 
 
+def has_written(spark: SparkSession, d: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, d, name) in _WRITTEN
+
+
 def _index(spark: SparkSession, d: str) -> str:
     return written(spark, d, "lexical", lambda path: lexical.write(plans._docs(spark, d), plans._fields(), path))
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import names, retrieval, strategies
+from quarry.operators import lexical, names, retrieval, strategies
+from quarry.plans import answers, search
 
 NAMES = ["getUser", "get_user", "getUsers", "setUser", "user getter", "x", "", "élan vital", "getUser", None, "a b c d e f", "userget", "get user list all"]
 
@@ -39,6 +40,25 @@ def test_names_like_many(spark, stored):
         assert sorted(got.get(qid, [])) == want, text
 
 
+def test_only_the_first_rows_of_a_name_meet_the_questions(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"blue ring{'s' if i % 3 == 0 else ''}") for i in range(90)], "id long, symbol string")
+    names.write(rows, "symbol", str(tmp_path), ["id"])
+    found = names.rows_like_many(spark, str(tmp_path), spark.createDataFrame([(1, "blue ring"), (2, "ring")], "qid long, text string"), 4)
+    assert "row_number() windowspecdefinition(name" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(q, n, r["id"], r["name"]) for q, text in ((1, "blue ring"), (2, "ring")) for n, r in enumerate(names.rows_like(spark, str(tmp_path), text, 4).collect(), 1)]
+    assert sorted((r["qid"], r["rank"], r["id"], r["name"]) for r in found.collect()) == want
+
+
+def test_answers_need_no_index_of_all_words(spark, small, monkeypatch):
+    """A session without an index writes none for the questions' few words, and finds what one with an index does."""
+    rows = lambda: sorted(map(tuple, answers.answers_many(spark, small).collect()))
+    search._index(spark, small)
+    stored = rows()
+    monkeypatch.setattr(search, "_WRITTEN", {})
+    monkeypatch.setattr(lexical, "write", None)
+    assert rows() == stored and len(stored) > 0
+
+
 def test_lists_outside_the_lengths_are_not_read(spark, tmp_path):
     rows = spark.createDataFrame([(i, "common " * (1 + i // 10) + " ".join(f"w{j}" for j in range(i))) for i in range(60)], "id long, symbol string")
     names.write(rows, "symbol", str(tmp_path), ["id"])

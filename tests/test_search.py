@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import context, lexical, retrieval, strategies
+from quarry.streaming.windows import shared_folder
 
 DOCS = "id long, name string, text string"
 
@@ -137,6 +138,26 @@ def test_many_questions_in_blocks(spark, tmp_path, fields, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("sent", [200_000, 2])
+def test_many_questions_without_an_index(spark, fields, monkeypatch, sent):
+    """Only words that are asked are written, and lengths count all words; beyond so many words, all are written."""
+    monkeypatch.setattr(lexical, "WORDS_SENT", sent)
+    rows = ROWS + [(10 + i, "alpha" if i % 2 else None, "beta " * (i % 5) + "gamma " * (i % 3) + "other") for i in range(30)]
+    docs, paths = spark.createDataFrame(rows, DOCS), []
+    monkeypatch.setattr(lexical, "shared_folder", lambda s, name: paths.append(shared_folder(s, name)) or paths[-1])
+    asked = [(1, "alpha"), (2, "Beta alpha"), (3, "missing"), (4, "é"), (5, None), (6, " ?")]
+    got = sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in lexical.scan_many(docs, fields, spark.createDataFrame(asked, "qid long, text string"), 4).collect())
+    want = []
+    for qid, text in asked:
+        best = sorted(map(tuple, retrieval.text_search(docs, text or "", fields).collect()), key=lambda r: (-r[1], r[0]))[:4]
+        want += [(qid, n, i, s) for n, (i, s) in enumerate(best, 1)]
+    assert got == want
+    held = {r["tok"] for r in lexical.current(spark, paths[0])._table("postings").select("tok").collect()}
+    assert held == ({"alpha", "beta", "é"} if sent > 2 else {"alpha", "beta", "é", "gamma", "other"})
+    for none in (docs.filter("false"), docs):
+        assert lexical.scan_many(none, fields, spark.createDataFrame([(1, None), (2, "zzz")], "qid long, text string")).count() == 0
+
+
 def test_a_write_keeps_no_blocks_beside_the_postings(spark, tmp_path, fields):
     path = f"{tmp_path}/w"
     lexical.write(spark.createDataFrame(ROWS, DOCS), fields, path)
